@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skarn.llm import bpe, counts, idcodec, langid, neardup, secrets
+from skarn.llm import bpe, chat, counts, decontam, idcodec, langid, neardup, secrets, spans, topk
 from skarn.llm.common import table
 
 
@@ -34,6 +34,10 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
 
 
+def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.render(table(spark, sf_dir, "conversations"))
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
@@ -42,11 +46,25 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("held_out", F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2)
 
 
+def op7_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.digest(spans.remove(table(spark, sf_dir, "documents")))
+
+
 def op8_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.group(table(spark, sf_dir, "documents"), k=2, percent=80)
 
 
+def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return topk.search(vectors, vectors.where("vec_id % 50 = 0"), k=5, scale=256.0)
+
+
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.digest(decontam.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_bpe, op2_token_counts, op3_token_files, op4_secrets, op6_language, op8_near_dup)
+    f.__name__: f
+    for f in (op1_bpe, op2_token_counts, op3_token_files, op4_secrets, op5_chat, op6_language, op7_span_dedup, op8_near_dup, op9_topk, op10_decontaminate)
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op5_chat": chat.SQL}
