@@ -1,10 +1,533 @@
-"""The query catalogue over the sf tables, and its SQL."""
+"""The query catalogue over the sf tables: each operator applied to real columns, with DuckDB SQL beside it.
+
+Columns that the tables lack (headers, continuations, source code) are derived from those they have, in the same
+way on both sides. Results are flat; whole numbers are longs, other ones are rounded to six digits.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from skarn.functions import configs, pycode
+from skarn.functions import text as X
+from skarn.operators import fix, graph, health, prompts, report, scoring, segment
+from skarn.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None):
+    def add(f):
+        QUERIES[f.__name__] = lambda spark, sf_dir: flat(f(lambda name: table(spark, sf_dir, name)))
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def flat(df: DataFrame) -> DataFrame:
+    kinds = dict(df.dtypes)
+    cast = {c: F.col(c).cast("long") for c, k in kinds.items() if k in ("int", "smallint", "tinyint")}
+    return df.withColumns(cast | {c: F.round(c, 6) for c, k in kinds.items() if k in ("double", "float")})
+
+
+# --- derived inputs ---
+
+NL = "chr(10)"
+WS = "chr(9)||chr(10)||chr(11)||chr(12)||chr(13)||' '"
+UNITS_SQL = f"""u AS (SELECT doc_id, source, lang, n_chars, CAST(n_chars % 6 AS DOUBLE) AS depth, CAST(1 + n_chars % 11 AS DOUBLE) AS cc,
+  CAST(len(string_split(text, {NL})) AS DOUBLE) AS loc, length(text) // 4 AS tokens, n_chars % 3 <> 0 AS typed FROM documents)"""
+LINES_SQL = f"""l0 AS (SELECT doc_id, unnest(string_split(text, {NL})) AS line, generate_subscripts(string_split(text, {NL}), 1) AS lineno, len(string_split(text, {NL})) AS n FROM documents),
+l AS (SELECT doc_id, line, lineno FROM l0 WHERE NOT (line = '' AND lineno = n))"""
+
+
+def units(t) -> DataFrame:
+    """A unit for each document."""
+    d = t("documents")
+    return d.select(
+        "doc_id", "source", "lang", "n_chars",
+        (F.col("n_chars") % 6).cast("double").alias("depth"),
+        (1 + F.col("n_chars") % 11).cast("double").alias("complexity"),
+        F.size(X.lines(F.col("text"))).cast("double").alias("loc"),
+        X.token_estimate(F.col("text")).alias("tokens"),
+        (F.col("n_chars") % 3 != 0).alias("is_typed"),
+    ).withColumn("acl", X.acl_code(F.col("complexity"), F.col("loc"), F.col("depth")))
+
+
+def lines(t) -> DataFrame:
+    return segment.numbered_lines(t("documents"), "doc_id", "text")
+
+
+def markdown_lines(t) -> DataFrame:
+    mark = F.expr("repeat('#', 1 + length(line) % 4)")
+    return lines(t).withColumn("line", F.when(F.length("line") % 7 == 0, F.concat(mark, F.lit(" "), "line")).otherwise(F.col("line")))
+
+
+MARKDOWN_SQL = f"""{LINES_SQL},
+m AS (SELECT doc_id, lineno, CASE WHEN length(line) % 7 = 0 THEN repeat('#', CAST(1 + length(line) % 4 AS INTEGER)) || ' ' || line ELSE line END AS line FROM l),
+g AS (SELECT *, sum(CASE WHEN starts_with(line, '#') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY lineno) AS ord FROM m),
+s AS (SELECT doc_id, CAST(ord AS BIGINT) AS ord, CASE WHEN ord = 0 THEN 1 ELSE min(lineno) END AS lineno, count(*) AS loc,
+  CASE WHEN ord = 0 THEN '# Introduction' ELSE trim(arg_min(line, lineno), {WS}) END AS name, length(string_agg(line, {NL} ORDER BY lineno)) // 4 AS tokens
+  FROM g GROUP BY doc_id, ord),
+md AS (SELECT *, length(regexp_extract(name, '^(#+)', 1)) AS depth FROM s),
+mu AS (SELECT *, CAST(depth AS DOUBLE) * 1.5::DOUBLE + CAST(tokens AS DOUBLE) / 100 AS acl FROM md)"""
+
+
+def docker_lines(t) -> DataFrame:
+    return lines(t).withColumn("line", F.replace("line", F.lit(","), F.lit(" &&")))
+
+
+DOCKER_SQL = f"""{LINES_SQL},
+k AS (SELECT doc_id, lineno, replace(line, ',', ' &&') AS line FROM l),
+k2 AS (SELECT *, length(line) % 3 = 0 AS more FROM k WHERE trim(line, {WS}) <> '' AND NOT starts_with(trim(line, {WS}), '#')),
+k3 AS (SELECT *, CASE WHEN coalesce(lag(more) OVER (PARTITION BY doc_id ORDER BY lineno), FALSE) THEN 0 ELSE 1 END AS opens FROM k2),
+k4 AS (SELECT *, sum(opens) OVER (PARTITION BY doc_id ORDER BY lineno) AS ord FROM k3),
+k5 AS (SELECT doc_id, CAST(ord AS BIGINT) AS ord, min(lineno) AS lineno, max(lineno) - min(lineno) + 1 AS loc, string_agg(line, {NL} ORDER BY lineno) AS content, arg_max(more, lineno) AS open
+  FROM k4 GROUP BY doc_id, ord),
+k6 AS (SELECT *, upper(replace(regexp_extract(content, '^\\s*(\\S+)', 1), 'ß', 'ss')) AS name, regexp_split_to_array(trim(content, {WS}), '\\s+') AS w,
+  CAST((length(content) - length(replace(content, '&&', ''))) // 2 + length(content) - length(replace(content, ';', '')) + 1 AS DOUBLE) AS cc FROM k5 WHERE NOT open),
+ku AS (SELECT *, greatest(0, cc - 1) * 1.5::DOUBLE + CAST(loc AS DOUBLE) * 0.5::DOUBLE AS acl,
+  CASE WHEN name = 'FROM' THEN len(w) <= 1 OR lower(w[2]) = 'scratch' OR (contains(w[2], ':') AND NOT ends_with(w[2], ':latest')) WHEN name = 'ADD' THEN FALSE WHEN name = 'RUN' THEN NOT contains(content, 'sudo ') AND NOT contains(content, 'apt-get upgrade') ELSE TRUE END AS ok FROM k6)"""
+
+
+# --- text metrics ---
+
+
+@query(f"""SELECT doc_id, CAST(len(list_filter(string_split(text, {NL}), lambda x: trim(x, {WS}) <> '' AND NOT starts_with(trim(x, {WS}), '#'))) AS BIGINT) AS code_loc,
+CAST(len(list_filter(string_split(text, {NL}), lambda x: trim(x, {WS}) <> '')) AS BIGINT) AS filled_loc FROM documents""")
+def q01_loc(t):
+    c = F.col("text")
+    return t("documents").select("doc_id", X.code_loc(c).alias("code_loc"), X.filled_loc(c).alias("filled_loc"))
+
+
+@query("SELECT lang, CAST(sum(length(text) // 4) AS BIGINT) AS tokens, max(length(text) // 4) AS longest, count(*) AS n FROM documents GROUP BY lang")
+def q02_token_estimate(t):
+    tokens = X.token_estimate(F.col("text"))
+    return t("documents").groupBy("lang").agg(F.sum(tokens).alias("tokens"), F.max(tokens).alias("longest"), F.count("*").alias("n"))
+
+
+@query(f"""WITH {UNITS_SQL} SELECT doc_id, round(depth * 2 + cc * 1.5::DOUBLE + loc / 50, 6) AS code, round(depth * 1.5::DOUBLE + tokens / 100::DOUBLE, 6) AS markdown,
+round(greatest(0, cc - 1) * 1.5::DOUBLE + loc * 0.5::DOUBLE, 6) AS docker, round(depth * 2 + loc / 50, 6) AS config FROM u""")
+def q03_acl_formulas(t):
+    cc, loc, depth = F.col("complexity"), F.col("loc"), F.col("depth")
+    return units(t).select(
+        "doc_id", F.col("acl").alias("code"), X.acl_markdown(F.col("tokens"), depth).alias("markdown"), X.acl_docker(cc, loc).alias("docker"), X.acl_config(depth, loc).alias("config")
+    )
+
+
+@query(f"""WITH {UNITS_SQL}, a AS (SELECT source, depth * 2 + cc * 1.5::DOUBLE + loc / 50 AS acl FROM u)
+SELECT source, count(*) AS n_units, count(*) FILTER (acl > 15) AS n_red, count(*) FILTER (acl > 10 AND acl <= 15) AS n_yellow,
+15 * count(*) FILTER (acl > 15) AS lost_red, 5 * count(*) FILTER (acl > 10 AND acl <= 15) AS lost_yellow, round(max(acl), 6) AS max_acl FROM a GROUP BY source""")
+def q04_acl_tiers(t):
+    s = scoring.unit_stats(units(t), "source", F.lit(15), F.lit(10))
+    return s.select("source", "n_units", "n_red", "n_yellow", (F.col("n_red") * 15).alias("lost_red"), (F.col("n_yellow") * 5).alias("lost_yellow"), "max_acl")
+
+
+SMALL = replace(scoring.RULES["Python"], bloat_limit=20, bloat_step=5)
+
+
+@query(f"""WITH {UNITS_SQL}, b AS (SELECT doc_id, CAST(loc AS BIGINT) AS loc, tokens, greatest(0, (CAST(loc AS BIGINT) - 20) // 5) AS lost FROM u)
+SELECT doc_id, greatest(0, 100 - lost - CASE WHEN tokens > 500 THEN 15 ELSE 0 END) AS score,
+concat_ws(', ', CASE WHEN lost > 0 THEN 'Bloated File: ' || loc || ' lines (-' || lost || ')' END,
+  CASE WHEN tokens > 500 THEN 'Cumulative Token Budget Exceeded: ' || format('{{:,}}', tokens) || ' > 500 (-15)' END) AS issues FROM b""")
+def q05_bloat_token_penalty(t):
+    one = units(t).select("doc_id", F.col("loc").cast("int").alias("loc"), F.col("tokens").alias("cumulative"), F.col("complexity"))
+    given = {"token_limit": 500, "type_safety": 90, "n_units": 1, "n_red": 0, "n_yellow": 0, "type_index": 100.0}
+    c = scoring.penalised("Python", rules=SMALL)
+    return one.withColumns({k: F.lit(v) for k, v in given.items()}).select("doc_id", c["score"].alias("score"), c["issues"].alias("issues"))
+
+
+@query("""WITH a AS (SELECT d.source, count(*) AS n, sum(l.quality) * 100.0::DOUBLE / count(*) AS type_index FROM labels l JOIN documents d USING (doc_id) GROUP BY d.source)
+SELECT source, n, round(type_index, 6) AS type_index, CASE WHEN type_index < 90 THEN 'Type Safety Index ' || printf('%.0f', type_index) || '% < 90% (-20)' ELSE '' END AS issue FROM a""")
+def q06_type_coverage(t):
+    rows = t("labels").join(t("documents").select("doc_id", "source"), "doc_id")
+    s = rows.groupBy("source").agg(F.count("*").alias("n"), (F.sum("quality") * 100.0 / F.count("*")).alias("type_index"))
+    issue = F.when(F.col("type_index") < 90, F.concat(F.lit("Type Safety Index "), X.percent(F.col("type_index")), F.lit("% < 90% (-20)"))).otherwise("")
+    return s.withColumn("issue", issue)
+
+
+@query(f"WITH {MARKDOWN_SQL} SELECT doc_id, ord, name, lineno, loc, tokens, depth AS nesting_depth, round(acl, 6) AS acl FROM mu")
+def q07_md_sections(t):
+    return segment.sections(markdown_lines(t), "doc_id").select("doc_id", "ord", "name", "lineno", "loc", "tokens", "nesting_depth", "acl")
+
+
+MD_SCORE_SQL = f"""{MARKDOWN_SQL},
+mt AS (SELECT doc_id, count(*) AS n, count(*) FILTER (acl > 6) AS red, count(*) FILTER (acl > 4 AND acl <= 6) AS yellow, sum(tokens) AS tokens, sum(loc) AS loc, avg(CAST(tokens AS DOUBLE) / 100) AS complexity FROM mu GROUP BY doc_id),
+mb AS (SELECT *, greatest(0, (loc - 20) // 25) AS lost FROM mt),
+mf AS (SELECT doc_id, greatest(0, 100 - lost - CASE WHEN tokens > 500 THEN 15 ELSE 0 END - 15 * red - 5 * yellow) AS score, complexity,
+  concat_ws(', ', CASE WHEN lost > 0 THEN 'Bloated Documentation: ' || loc || ' lines (-' || lost || ')' END,
+    CASE WHEN tokens > 500 THEN 'Cumulative Token Budget Exceeded: ' || format('{{:,}}', CAST(tokens AS BIGINT)) || ' > 500 (-15)' END,
+    CASE WHEN red > 0 THEN red || ' Red ACL sections detected. Ensure headers group content logically (-' || red * 15 || ')' END,
+    CASE WHEN yellow > 0 THEN yellow || ' Yellow ACL sections detected. Consider breaking down large documentation chunks (-' || yellow * 5 || ')' END) AS issues FROM mb)"""
+
+
+def markdown_results(t) -> DataFrame:
+    u = segment.sections(markdown_lines(t), "doc_id")
+    s = scoring.unit_stats(u, "doc_id", F.lit(6), F.lit(4))
+    sizes = u.groupBy("doc_id").agg(F.sum("tokens").alias("cumulative"), F.sum("loc").alias("loc"))
+    rows = s.join(sizes, "doc_id").withColumns({"token_limit": F.lit(500), "type_safety": F.lit(90)})
+    c = scoring.penalised("Markdown", rules=replace(scoring.RULES["Markdown"], bloat_limit=20))
+    return rows.select("doc_id", *[v.alias(k) for k, v in c.items()])
+
+
+@query(f"WITH {MD_SCORE_SQL} SELECT doc_id, CAST(score AS BIGINT) AS score, issues, round(complexity, 6) AS complexity, 100.0::DOUBLE AS type_coverage FROM mf")
+def q08_md_file_score(t):
+    return markdown_results(t)
+
+
+@query(f"WITH {DOCKER_SQL} SELECT doc_id, ord, name, lineno, loc, cc AS complexity, round(acl, 6) AS acl FROM ku")
+def q09_docker_instructions(t):
+    u = segment.instructions(docker_lines(t), "doc_id", F.length("line") % 3 == 0)
+    return u.select("doc_id", "ord", "name", "lineno", "loc", "complexity", "acl")
+
+
+PRACTICE_SQL = """p AS (SELECT p_partkey, CASE p_partkey % 5
+  WHEN 0 THEN 'FROM ' || split_part(p_name, ' ', 1) || CASE p_size % 4 WHEN 0 THEN '' WHEN 1 THEN ':latest' ELSE ':' || p_size END
+  WHEN 1 THEN 'FROM --platform=linux ' || CASE WHEN p_size % 2 = 0 THEN 'Scratch' ELSE p_type END
+  WHEN 2 THEN 'ADD ' || p_name WHEN 3 THEN 'RUN ' || CASE WHEN p_size % 3 = 0 THEN 'sudo ' ELSE '' END || p_name ELSE 'COPY ' || p_name END AS content FROM part)"""
+
+
+@query(f"""WITH {PRACTICE_SQL}, w AS (SELECT *, string_split(content, ' ') AS w FROM p), i AS (SELECT *, CASE WHEN starts_with(w[2], '--') AND len(w) > 2 THEN w[3] ELSE w[2] END AS image FROM w)
+SELECT p_partkey, w[1] AS name, CASE w[1] WHEN 'FROM' THEN lower(image) = 'scratch' OR (contains(image, ':') AND NOT ends_with(image, ':latest'))
+WHEN 'ADD' THEN FALSE WHEN 'RUN' THEN NOT contains(content, 'sudo ') ELSE TRUE END AS ok FROM i""")
+def q10_docker_practices(t):
+    sql = PRACTICE_SQL.split("SELECT p_partkey, ", 1)[1].rsplit(" AS content FROM part)", 1)[0]
+    p = t("part").select("p_partkey", F.expr(sql).alias("content"))
+    name = X.instruction_name(F.col("content"))
+    return p.select("p_partkey", name.alias("name"), X.practice_ok(name, F.col("content")).alias("ok"))
+
+
+@query(f"""WITH {DOCKER_SQL}, a AS (SELECT doc_id, count(*) AS n, sum(loc) AS loc, count(*) FILTER (acl > 15) AS red, count(*) FILTER (acl > 10 AND acl <= 15) AS yellow, sum(CAST(ok AS INTEGER)) * 100.0::DOUBLE / count(*) AS idx FROM ku GROUP BY doc_id),
+b AS (SELECT *, greatest(0, (loc - 10) // 10) AS lost FROM a)
+SELECT doc_id, CAST(greatest(0, 100 - lost - 15 * red - 5 * yellow - CASE WHEN idx < 90 THEN 20 ELSE 0 END) AS BIGINT) AS score, concat_ws(', ', CASE WHEN lost > 0 THEN 'Bloated Dockerfile: ' || loc || ' lines (-' || lost || ')' END,
+CASE WHEN red > 0 THEN red || ' Red ACL instructions detected (-' || 15 * red || ')' END, CASE WHEN yellow > 0 THEN yellow || ' Yellow ACL instructions detected (-' || 5 * yellow || ')' END,
+CASE WHEN idx < 90 THEN 'Best Practices Compliance ' || printf('%.0f', idx) || '% < 90% (-20)' END) AS issues FROM b""")
+def q11_docker_file_score(t):
+    u = segment.instructions(docker_lines(t), "doc_id", F.length("line") % 3 == 0)
+    s = scoring.unit_stats(u, "doc_id", F.lit(15), F.lit(10)).join(u.groupBy("doc_id").agg(F.sum("loc").alias("loc")), "doc_id")
+    rows = s.withColumns({"cumulative": F.lit(0), "token_limit": F.lit(32000), "type_safety": F.lit(90)})
+    c = scoring.penalised("Docker", rules=replace(scoring.RULES["Docker"], bloat_limit=10))
+    return rows.select("doc_id", c["score"].alias("score"), c["issues"].alias("issues"))
+
+
+# --- configuration files ---
+
+
+def customer_json(t) -> DataFrame:
+    """JSON whose depth follows the key; every tenth text is cut off."""
+    n = (1 + F.col("c_custkey") % 9).cast("int")
+    text = F.concat(F.expr("repeat('{\"k[\": [', cast(1 + c_custkey % 9 as int))"), F.lit('{"e": {}, "s": "}]"}'), F.expr("repeat(']}', cast(1 + c_custkey % 9 as int))"))
+    return t("customer").select("c_custkey", n.alias("n"), text.alias("text"))
+
+
+@query("SELECT c_custkey, 2 * (1 + c_custkey % 9) AS depth, round(4 * CAST(1 + c_custkey % 9 AS DOUBLE) + 1 / 50::DOUBLE, 6) AS acl FROM customer")
+def q12_config_depth(t):
+    depth = configs.json_depth(F.col("text"))
+    return customer_json(t).select("c_custkey", depth.alias("depth"), X.acl_config(depth, F.lit(1)).alias("acl"))
+
+
+@query("""WITH a AS (SELECT c_custkey, c_custkey % 10 <> 0 AS valid, round(4 * CAST(1 + c_custkey % 9 AS DOUBLE) + 1 / 50::DOUBLE, 6) AS acl FROM customer)
+SELECT c_custkey, CAST(CASE WHEN NOT valid THEN 80 WHEN acl > 15 THEN 85 WHEN acl > 10 THEN 95 ELSE 100 END AS BIGINT) AS score,
+CASE WHEN NOT valid THEN 'Malformed Configuration File (-20)' WHEN acl > 15 THEN 'Red ACL detected: ' || printf('%.1f', acl) || ' > 15 (-15)'
+WHEN acl > 10 THEN 'Yellow ACL detected: ' || printf('%.1f', acl) || ' > 10 (-5)' ELSE '' END AS issues FROM a""")
+def q13_config_score(t):
+    cut = F.when(F.col("c_custkey") % 10 == 0, F.expr("left(text, length(text) - 1)")).otherwise(F.col("text"))
+    rows = customer_json(t).withColumn("text", cut)
+    rows = rows.withColumn("valid", F.try_parse_json("text").isNotNull()).withColumn("acl", X.acl_config(configs.json_depth(F.col("text")), F.lit(1)))
+    given = {"cumulative": 0, "token_limit": 32000, "acl_red": 15, "acl_yellow": 10}
+    c = scoring.config_penalised()
+    return rows.withColumns({k: F.lit(v) for k, v in given.items()}).select("c_custkey", c["score"].alias("score"), c["issues"].alias("issues"))
+
+
+# --- graphs ---
+
+
+@query("""WITH f AS (SELECT DISTINCT source || '/' || lang || '/m' || doc_id % 50 AS stem FROM documents),
+i AS (SELECT DISTINCT source || '/' || lang || '/m' || doc_id % 50 || '.py' AS src, CASE doc_id % 3 WHEN 0 THEN 'm' || (doc_id * 7) % 50 WHEN 1 THEN lang || '/m' || (doc_id * 7) % 50 ELSE 'src1/' || lang || '/m' || (doc_id * 7) % 50 END AS s FROM documents)
+SELECT DISTINCT i.src, f.stem || '.py' AS dst FROM i JOIN f ON f.stem = i.s OR ends_with(f.stem, '/' || i.s) WHERE i.src <> f.stem || '.py'""")
+def q14_import_match(t):
+    d, k = t("documents"), F.concat(F.lit("m"), ((F.col("doc_id") * 7) % 50).cast("string"))
+    path = F.concat_ws("/", "source", "lang", F.concat(F.lit("m"), (F.col("doc_id") % 50).cast("string"), F.lit(".py")))
+    module = F.when(F.col("doc_id") % 3 == 0, k).when(F.col("doc_id") % 3 == 1, F.concat_ws(".", "lang", k)).otherwise(F.concat_ws(".", F.lit("src1"), "lang", k))
+    rows = d.select(path.alias("rel_path"), module.alias("module"))
+    return graph.module_edges(rows, rows.select("rel_path").distinct())
+
+
+@query("""WITH e AS (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem), g AS (SELECT l_partkey, count(*) AS n FROM e GROUP BY 1)
+SELECT CAST(p_partkey AS VARCHAR) AS node, coalesce(n, 0) AS inbound, coalesce(n, 0) > 30 AS god FROM part LEFT JOIN g ON l_partkey = p_partkey""")
+def q15_inbound_god_modules(t):
+    nodes = t("part").select(F.col("p_partkey").cast("string").alias("node"))
+    edges = t("lineitem").select(F.col("l_suppkey").cast("string").alias("src"), F.col("l_partkey").cast("string").alias("dst")).distinct()
+    return graph.inbound(nodes, edges).withColumn("god", F.col("inbound") > 30)
+
+
+NATION_SQL = """e AS (SELECT DISTINCT c.c_nationkey AS src, s.s_nationkey AS dst FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer c ON c_custkey = o_custkey
+  JOIN supplier s ON s_suppkey = l_suppkey WHERE l_extendedprice > 104800 AND c.c_nationkey <> s.s_nationkey),
+r AS (SELECT src AS a, dst AS b FROM e UNION SELECT r.a, e.dst FROM r JOIN e ON e.src = r.b)"""
+
+
+def nation_edges(t) -> DataFrame:
+    rows = t("lineitem").where("l_extendedprice > 104800").join(t("orders"), F.col("o_orderkey") == F.col("l_orderkey"))
+    rows = rows.join(t("customer"), F.col("c_custkey") == F.col("o_custkey")).join(t("supplier"), F.col("s_suppkey") == F.col("l_suppkey"))
+    return rows.where("c_nationkey <> s_nationkey").select(F.col("c_nationkey").alias("src"), F.col("s_nationkey").alias("dst")).distinct()
+
+
+@query(f"WITH RECURSIVE {NATION_SQL} SELECT CAST(a AS BIGINT) AS a, CAST(b AS BIGINT) AS b FROM r")
+def q16_transitive_closure(t):
+    return graph.closure(nation_edges(t))
+
+
+@query(f"""WITH RECURSIVE {NATION_SQL}, x AS (SELECT a, b FROM r UNION SELECT n_nationkey, n_nationkey FROM nation)
+SELECT CAST(a AS BIGINT) AS node, CAST(sum(length(n_name)) AS BIGINT) AS cumulative FROM x JOIN nation ON n_nationkey = b GROUP BY a""")
+def q17_context_tokens(t):
+    return graph.context_tokens(t("nation").select(F.col("n_nationkey").alias("node"), F.length("n_name").alias("tokens")), nation_edges(t))
+
+
+@query(f"WITH RECURSIVE {NATION_SQL} SELECT CAST(a AS BIGINT) AS node FROM r WHERE a = b")
+def q18_cycle_members(t):
+    return graph.closure(nation_edges(t)).where("a = b").select(F.col("a").alias("node"))
+
+
+@query(None)
+def q18b_cycles(t):
+    name = lambda c: F.lpad(F.col(c).cast("string"), 2, "0")
+    edges = nation_edges(t).select(name("src").alias("src"), name("dst").alias("dst"))
+    return graph.cycles(t("nation").select(name("n_nationkey").alias("node")), edges)
+
+
+# --- project health ---
+
+HOST_SQL = "h AS (SELECT regexp_extract(url, '^https?://([^/?#]+)', 1) AS host, count(*) AS n FROM pages GROUP BY 1)"
+
+
+def hosts(t) -> DataFrame:
+    return t("pages").groupBy(F.regexp_extract("url", r"^https?://([^/?#]+)", 1).alias("path")).agg(F.count("*").alias("files"))
+
+
+@query(f"""WITH {HOST_SQL} SELECT round(sum(n) / count(*)::DOUBLE, 6) AS avg_files, max(n) AS max_files, sum(n) / count(*)::DOUBLE > 15 OR max(n) > 10 AS warning,
+coalesce(string_agg(host, ',' ORDER BY host) FILTER (n > 10), '') AS crowded_dirs FROM h""")
+def q19_directory_entropy(t):
+    return health.entropy(hosts(t), crowded=10).withColumn("crowded_dirs", F.array_join("crowded_dirs", ","))
+
+
+SUFFIXES = ["7", "25", "x", "#top"]
+
+
+@query("SELECT page_id, url FROM pages WHERE ends_with(url, '7') OR ends_with(url, '25') OR ends_with(url, 'x') OR ends_with(url, '#top')")
+def q20_limit_to(t):
+    return fix.limited(t("pages").select("page_id", "url"), "url", SUFFIXES)
+
+
+REQUIRED = ["EN", "fr", "Klingon", "README.md", "De", "src1"]
+
+
+@query("""SELECT CAST(ord AS BIGINT) AS ord, name FROM (VALUES (0, 'EN'), (1, 'fr'), (2, 'Klingon'), (3, 'README.md'), (4, 'De'), (5, 'src1')) v(ord, name)
+WHERE NOT EXISTS (SELECT 1 FROM documents WHERE lower(lang) = lower(name))""")
+def q21_missing_docs(t):
+    d = t("documents")
+    required = d.sparkSession.createDataFrame(list(enumerate(REQUIRED)), "ord int, name string")
+    return health.missing_docs(required, d.select(F.col("lang").alias("name")))
+
+
+@query(f"""WITH {UNITS_SQL}, v AS (SELECT * FROM (VALUES ('en', 8, 12), ('de', NULL, 20), ('xx', 1, 2)) v(lang, yellow, red)),
+a AS (SELECT u.lang, depth * 2 + cc * 1.5::DOUBLE + loc / 50 AS acl, coalesce(yellow, 10) AS yellow, coalesce(red, 15) AS red FROM u LEFT JOIN v USING (lang))
+SELECT lang, CAST(yellow AS BIGINT) AS acl_yellow, CAST(red AS BIGINT) AS acl_red, count(*) FILTER (acl > red) AS n_red, count(*) FILTER (acl > yellow AND acl <= red) AS n_yellow FROM a GROUP BY ALL""")
+def q22_threshold_overlay(t):
+    u = units(t)
+    over = u.sparkSession.createDataFrame([("en", 8, 12), ("de", None, 20), ("xx", 1, 2)], "lang string, acl_yellow int, acl_red int")
+    rows = fix.with_thresholds(u, over, "lang")
+    return rows.groupBy("lang", "acl_yellow", "acl_red").agg(
+        F.count_if(X.is_red(F.col("acl"), F.col("acl_red"))).alias("n_red"), F.count_if(X.is_yellow(F.col("acl"), F.col("acl_yellow"), F.col("acl_red"))).alias("n_yellow")
+    )
+
+
+TERMS = ["License", "token", "baml", "THE", "stupid"]
+
+
+@query("""WITH x AS (SELECT source, unnest(['License', 'token', 'baml', 'THE', 'stupid']) AS term, text FROM documents)
+SELECT source, string_agg(DISTINCT term, ',' ORDER BY term) AS found FROM x WHERE contains(lower(text), lower(term)) GROUP BY source""")
+def q23_framework_scan(t):
+    d = t("documents").select("source", F.explode(X.contained_terms(F.col("text"), TERMS)).alias("term"))
+    return d.groupBy("source").agg(F.array_join(F.array_sort(F.collect_set("term")), ",").alias("found"))
+
+
+# --- prompts ---
+
+
+def all_texts(t) -> DataFrame:
+    parts = [("d", "documents", "doc_id", "text"), ("p", "pages", "page_id", "html")]
+    rows = [t(name).select(F.lit(k).alias("kind"), F.col(i).alias("id"), F.col(c).alias("text")) for k, name, i, c in parts]
+    turns = t("conversations").select(F.lit("c"), F.col("conv_id") * 1000 + F.col("turn"), "text")
+    return rows[0].union(rows[1]).union(turns)
+
+
+TEXTS_SQL = "x AS (SELECT 'd' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'p', page_id, html FROM pages UNION ALL SELECT 'c', conv_id * 1000 + turn, text FROM conversations)"
+ROLE_SQL = "regexp_matches({0}, '(?i)(you are|act as|your role)')"
+SCAFFOLD_SQL = "regexp_matches({0}, '(?i)(step by step|reasoning|think|plan|step \\d+|phase \\d+)')"
+DELIMITER_SQL = "regexp_matches({0}, '(?i)(<[^>]+>|''''''|\"\"\"|```|\\{{\\{{.*?\\}}\\}})')"
+
+
+@query(f"WITH {TEXTS_SQL} SELECT kind, id, {ROLE_SQL.format('text')} AS role, {SCAFFOLD_SQL.format('text')} AS scaffold, {DELIMITER_SQL.format('text')} AS delimiter FROM x")
+def q24_prompt_standard(t):
+    c = prompts.checks(F.col("text"))
+    return all_texts(t).select("kind", "id", c["role_definition"].alias("role"), c["cognitive_scaffolding"].alias("scaffold"), c["delimiter_hygiene"].alias("delimiter"))
+
+
+def prompt_texts(t) -> DataFrame:
+    """Documents with list marks, labels, fences and negations put in by line length."""
+    n = F.length("line")
+    line = F.when(n % 11 == 0, F.concat(F.lit("* Never "), "line")).when(n % 11 == 1, F.concat(F.lit("2. currently it does NOT "), "line"))
+    line = line.when(n % 11 == 2, F.concat(F.lit("Sample of "), "line")).when(n % 11 == 3, F.concat(F.lit("  ```"), "line"))
+    line = line.when(n % 97 == 4, F.concat(F.lit("Example: "), "line")).otherwise(F.col("line"))
+    rows = lines(t).select("doc_id", "lineno", line.alias("line"))
+    return rows.groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("lineno", "line"))), lambda x: x["line"]), "\n").alias("text"))
+
+
+PROMPT_SQL = f"""{LINES_SQL},
+pl AS (SELECT doc_id, lineno, CASE WHEN length(line) % 11 = 0 THEN '* Never ' || line WHEN length(line) % 11 = 1 THEN '2. currently it does NOT ' || line WHEN length(line) % 11 = 2 THEN 'Sample of ' || line
+  WHEN length(line) % 11 = 3 THEN '  ```' || line WHEN length(line) % 97 = 4 THEN 'Example: ' || line ELSE line END AS line FROM l),
+po AS (SELECT *, sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY lineno) - length(line) - 1 AS before, sum(length(line) + 1) OVER (PARTITION BY doc_id) - 1 AS total,
+  regexp_matches(line, '(?i)(example|sample)') AS names, starts_with(trim(line, {WS}), '```') AS fence FROM pl),
+pf AS (SELECT *, names AND (coalesce(lead(fence, 1) OVER (PARTITION BY doc_id ORDER BY lineno), FALSE) OR coalesce(lead(fence, 2) OVER (PARTITION BY doc_id ORDER BY lineno), FALSE)) AS shown,
+  length(line) - length(regexp_replace(line, '(?is)^.*(not|don''t|do not|never)', '', '')) AS last_end, regexp_extract(line, '(?is)^.*(do not|don''t|not|never)', 1) AS last_hit FROM po),
+pd AS (SELECT doc_id, string_agg(line, {NL} ORDER BY lineno) AS text, bool_or(shown) AS after,
+  bool_or(last_hit <> '' AND before + last_end - length(CASE WHEN lower(last_hit) = 'do not' THEN 'do not' ELSE last_hit END) >= 0.2::DOUBLE * total
+    AND NOT regexp_matches(line, '(?i)currently.*not') AND regexp_matches(trim(line, {WS}), '^(\\*|-|\\d+\\.)')) AS negative FROM pf GROUP BY doc_id),
+pr AS (SELECT *, {ROLE_SQL.format("text")} AS role, {SCAFFOLD_SQL.format("text")} AS scaffold, {DELIMITER_SQL.format("text")} AS delimiter,
+  regexp_matches(text, '(?is)(example:|input:.*?output:)') OR regexp_matches(text, '(?im)^#+.*(Example|Examples)') OR after AS few_shot FROM pd)"""
+
+
+@query(f"WITH {PROMPT_SQL} SELECT doc_id, few_shot FROM pr")
+def q25_prompt_few_shot(t):
+    return prompt_texts(t).select("doc_id", prompts.few_shot(F.col("text")).alias("few_shot"))
+
+
+@query(f"WITH {PROMPT_SQL} SELECT doc_id, negative FROM pr")
+def q26_prompt_negative(t):
+    return prompt_texts(t).select("doc_id", prompts.negative_constraint(F.col("text")).alias("negative"))
+
+
+@query(f"""WITH {PROMPT_SQL} SELECT doc_id, CAST(greatest(0, least(100, 25 * (CAST(role AS INTEGER) + CAST(scaffold AS INTEGER) + CAST(delimiter AS INTEGER) + CAST(few_shot AS INTEGER)) - 10 * CAST(negative AS INTEGER))) AS BIGINT) AS score,
+CAST(4 - (CAST(role AS INTEGER) + CAST(scaffold AS INTEGER) + CAST(delimiter AS INTEGER) + CAST(few_shot AS INTEGER)) + CAST(negative AS INTEGER) AS BIGINT) AS n_improvements FROM pr""")
+def q27_prompt_score(t):
+    rows = prompts.lint(prompt_texts(t), "doc_id", "text")
+    return rows.select("doc_id", "score", F.size("improvements").alias("n_improvements"))
+
+
+# --- project score and reports ---
+
+
+@query(f"""WITH RECURSIVE {NATION_SQL}, {MD_SCORE_SQL}, {HOST_SQL},
+god AS (SELECT count(*) AS n FROM (SELECT l_partkey FROM (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem) GROUP BY 1 HAVING count(*) > 30)),
+miss AS (SELECT count(*) AS n FROM (VALUES ('EN'), ('README.md')) v(name) WHERE NOT EXISTS (SELECT 1 FROM documents WHERE lower(lang) = lower(name))),
+pen AS (SELECT (SELECT n FROM miss) * 15 + (SELECT n FROM god) * 10 + (SELECT count(*) FROM h WHERE n > 25) * 5 + (SELECT count(*) FROM r WHERE a = b) * 5 AS p)
+SELECT round(avg(score), 6) AS file_score, CAST((SELECT p FROM pen) AS BIGINT) AS penalty,
+round(least(100, avg(score) * 0.8::DOUBLE + greatest(0, 100 - (SELECT p FROM pen)) * 0.2::DOUBLE + 5), 6) AS final_score FROM mf""")
+def q28_project_score(t):
+    files = markdown_results(t).agg(F.avg("score").alias("file_score"))
+    edges = t("lineitem").select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst")).distinct()
+    gods = edges.groupBy("dst").count().where("count > 30").agg(F.count("*").alias("gods"))
+    crowded = hosts(t).where("files > 25").agg(F.count("*").alias("crowded"))
+    cyclic = graph.closure(nation_edges(t)).where("a = b").agg(F.count("*").alias("cycles"))
+    d = t("documents")
+    required = d.sparkSession.createDataFrame([(0, "EN"), (1, "README.md")], "ord int, name string")
+    missing = health.missing_docs(required, d.select(F.col("lang").alias("name"))).agg(F.count("*").alias("missing"))
+    rows = files.crossJoin(gods).crossJoin(crowded).crossJoin(cyclic).crossJoin(missing)  # one row each
+    penalty = scoring.project_penalty(F.col("missing"), F.lit(False), F.col("gods"), F.col("crowded"), F.col("cycles"))
+    return rows.select("file_score", penalty.alias("penalty"), scoring.final_score(F.col("file_score"), penalty, F.lit(True), F.lit(False)).alias("final_score"))
+
+
+@query("""WITH f AS (SELECT doc_id, CAST(doc_id AS VARCHAR) AS file, CAST(n_chars % 30 AS DOUBLE) AS complexity, CASE WHEN n_chars % 7 = 0 THEN 'Circular dependency' ELSE '' END AS issues, CAST(n_chars % 101 AS DOUBLE) AS coverage FROM documents)
+SELECT CAST(0 AS BIGINT) AS ord, file, 'High Complexity: ' || file AS finding, 'Refactor units.' AS recommendation FROM f WHERE complexity > 20
+UNION ALL SELECT 1, file, 'Circular Dependency: ' || file, 'Use DI.' FROM f WHERE contains(issues, 'Circular dependency') UNION ALL SELECT 2, file, 'Low Type Safety: ' || file, 'Add PEP 484 hints.' FROM f WHERE coverage < 90""")
+def q29_recommendations(t):
+    n = F.col("n_chars")
+    f = t("documents").select(F.col("doc_id").cast("string").alias("file"), (n % 30).cast("double").alias("complexity"), F.when(n % 7 == 0, "Circular dependency").otherwise("").alias("issues"), (n % 101).cast("double").alias("type_coverage"))
+    return report.recommendations(f).select("ord", "file", "finding", "recommendation")
+
+
+@query("""WITH s AS (SELECT source, avg(CAST(n_chars % 101 AS DOUBLE)) + 40 * (count(*) % 2) - 10 * (count(*) % 3) AS score FROM documents GROUP BY source)
+SELECT source, CASE WHEN score >= 90 THEN '#4c1' WHEN score >= 70 THEN '#97ca00' WHEN score >= 50 THEN '#dfb317' ELSE '#e05d44' END AS color, CAST(trunc(score) AS BIGINT) || '/100' AS label FROM s""")
+def q30_badge(t):
+    n = F.count("*")
+    s = t("documents").groupBy("source").agg((F.avg((F.col("n_chars") % 101).cast("double")) + 40 * (n % 2) - 10 * (n % 3)).alias("score"))
+    return s.select("source", X.badge_color(F.col("score")).alias("color"), F.concat(F.col("score").cast("long").cast("string"), F.lit("/100")).alias("label"))
+
+
+@query(f"""WITH {UNITS_SQL}, a AS (SELECT source, doc_id, depth * 2 + cc * 1.5::DOUBLE + loc / 50 AS acl FROM u)
+SELECT source, doc_id, round(acl, 6) AS acl, row_number() OVER (PARTITION BY source ORDER BY acl DESC, doc_id) AS rank FROM a QUALIFY rank <= 3""")
+def q31_topn(t):
+    return report.ranked(units(t).select("source", "doc_id", "acl"), "acl", 3, "source", ("doc_id",))
+
+
+@query(f"WITH {UNITS_SQL}, a AS (SELECT doc_id, typed, depth * 2 + cc * 1.5::DOUBLE + loc / 50 AS acl FROM u) SELECT doc_id, round(acl, 6) AS acl, typed AS is_typed FROM a WHERE acl > 15 OR NOT typed")
+def q32_fix_violations(t):
+    return fix.violations(units(t)).select("doc_id", "acl", "is_typed")
+
+
+@query(f"""WITH r AS (SELECT source, string_agg('### File: `' || lang || '/' || doc_id || '` - ' || CASE WHEN doc_id % 2 = 0 THEN 'High Cognitive Load' ELSE 'Low Type Safety' END || {NL} || 'Fix ' || doc_id, {NL} ORDER BY doc_id) AS text FROM documents GROUP BY source)
+SELECT lang || '/' || doc_id AS file, CASE WHEN doc_id % 2 = 0 THEN 'High Cognitive Load' ELSE 'Low Type Safety' END AS kind, 'Fix ' || doc_id AS prompt FROM documents""")
+def q33_issue_parse(t):
+    d = t("documents")
+    entry = F.concat(F.lit("### File: `"), "lang", F.lit("/"), F.col("doc_id").cast("string"), F.lit("` - "), F.when(F.col("doc_id") % 2 == 0, "High Cognitive Load").otherwise("Low Type Safety"), F.lit("\nFix "), F.col("doc_id").cast("string"))
+    rows = d.groupBy("source").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("doc_id", entry.alias("e")))), lambda x: x["e"]), "\n").alias("text"))
+    return fix.parsed_issues(rows, "text").select("file", "kind", "prompt")
+
+
+@query("SELECT user_id FROM events WHERE value > 100 INTERSECT SELECT user_id FROM events WHERE event_type = (SELECT min(event_type) FROM events)")
+def q34_diff_intersection(t):
+    e = t("events")
+    first = e.agg(F.min("event_type").alias("event_type"))
+    return e.where("value > 100").select("user_id").intersect(e.join(first, "event_type").select("user_id"))
+
+
+def source_rows(t) -> DataFrame:
+    """Python source whose facts follow from the key: nested ifs, a return type for even keys."""
+    n = (F.col("p_partkey") % 5).cast("int")
+    ifs = F.array_join(F.transform(F.sequence(F.lit(1), n + 1), lambda k: F.concat(F.expr("repeat(' ', 4)"), F.repeat(F.lit("    "), k - 1), F.lit("if x > "), k.cast("string"), F.lit(":\n"))), "")
+    tail = F.concat(F.repeat(F.lit("    "), n + 2), F.lit("return x\n"))
+    head = F.concat(F.lit("import os.path\nfrom .pkg import y\n\ndef f"), F.col("p_partkey").cast("string"), F.when(F.col("p_partkey") % 2 == 0, "(x) -> int:\n").otherwise("(x):\n"))
+    return t("part").select(F.col("p_partkey").cast("string").alias("rel_path"), F.concat(head, ifs, tail).alias("content"))
+
+
+@query("""SELECT CAST(p_partkey AS VARCHAR) AS rel_path, 'f' || p_partkey AS name, CAST(4 AS BIGINT) AS lineno, CAST(p_partkey % 5 + 2 AS DOUBLE) AS complexity, p_partkey % 5 + 3 AS loc,
+round(2 * CAST(p_partkey % 5 + 1 AS DOUBLE) + 1.5::DOUBLE * (p_partkey % 5 + 2) + (p_partkey % 5 + 3) / 50::DOUBLE, 6) AS acl, p_partkey % 2 = 0 AS is_typed, p_partkey % 5 + 1 AS nesting_depth FROM part""")
+def q35_python_units(t):
+    return pycode.facts(source_rows(t)).select("rel_path", F.inline("units"))
+
+
+@query("""SELECT CAST(p_partkey AS VARCHAR) AS rel_path, 'def f' || p_partkey || CASE WHEN p_partkey % 2 = 0 THEN '(x) -> int:' ELSE '(x):' END AS signatures, 'os.path:0,pkg:1' AS imports FROM part""")
+def q36_signatures_imports(t):
+    f = pycode.facts(source_rows(t))
+    names = F.array_join(F.transform("imports", lambda i: F.concat_ws(":", i["module"], i["level"].cast("string"))), ",")
+    return f.select("rel_path", F.array_join("signatures", "\n").alias("signatures"), names.alias("imports"))
+
+
+@query(f"""WITH f AS (SELECT lang, arg_min(text, doc_id) AS readme, arg_max(text, doc_id) AS agents, string_agg(source, {NL} ORDER BY doc_id) AS sigs FROM documents GROUP BY lang)
+SELECT lang, length(readme || {NL} || agents || {NL} || sigs) // 4 AS token_count, length(readme || {NL} || agents || {NL} || sigs) // 4 > 800 AS alert FROM f""")
+def q37_critical_context(t):
+    signatures = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("doc_id", "source"))), lambda x: x["source"]), "\n")
+    f = t("documents").groupBy("lang").agg(F.min_by("text", "doc_id").alias("readme"), F.max_by("text", "doc_id").alias("agents"), signatures.alias("sigs"))
+    tokens = X.token_estimate(health.critical_context(F.col("readme"), F.col("agents"), F.col("sigs")))
+    return f.select("lang", tokens.alias("token_count"), (tokens > 800).alias("alert"))
+
+
+@query(f"""WITH {UNITS_SQL}, a AS (SELECT doc_id, n_chars % 101 AS score, depth * 2 + cc * 1.5::DOUBLE + loc / 50 AS acl FROM u)
+SELECT doc_id, score, CASE WHEN acl > 15 THEN '🔴 Red' ELSE '🟡 Yellow' END AS status FROM a WHERE acl > 10 AND score < 100""")
+def q38_verbosity_filter(t):
+    rows = units(t).withColumn("score", F.col("n_chars") % 101)
+    return report.visible(report.over_target(rows)).select("doc_id", "score", "status")
+
+
+@query("""WITH a AS (SELECT page_id, unnest(regexp_extract_all(html, 'href="(/[^"]*)"', 1)) AS href FROM pages), p AS (SELECT DISTINCT page_id, href FROM a)
+SELECT href AS node, count(*) AS inbound FROM p GROUP BY href""")
+def q39_pages_link_graph(t):
+    edges = t("pages").select(F.col("page_id").cast("string").alias("src"), F.explode(F.regexp_extract_all("html", F.lit('href="(/[^"]*)"'), F.lit(1))).alias("dst")).distinct()
+    return graph.inbound(edges.select(F.col("dst").alias("node")).distinct(), edges)
+
