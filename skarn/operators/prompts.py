@@ -26,7 +26,7 @@ EMPTY = "Prompt is empty."
 #: Score from which a prompt passes.
 PROMPT_PASS = 80
 
-_LINE_ENDS = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
+_LINE_ENDS = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 
 
 def few_shot(text: Column) -> Column:
