@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from skarn.functions import configs, pycode
 from skarn.functions import text as X
-from skarn.operators import fix, graph, health, prompts, report, scoring, segment
+from skarn.operators import changelog, fix, graph, health, prompts, report, scoring, segment
 from skarn.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -531,3 +531,54 @@ def q39_pages_link_graph(t):
     edges = t("pages").select(F.col("page_id").cast("string").alias("src"), F.explode(F.regexp_extract_all("html", F.lit('href="(/[^"]*)"'), F.lit(1))).alias("dst")).distinct()
     return graph.inbound(edges.select(F.col("dst").alias("node")).distinct(), edges)
 
+
+
+@query("""WITH p AS (SELECT p_partkey, 'c' || p_partkey || ' ' || CASE p_size % 4 WHEN 0 THEN 'feat: ' WHEN 1 THEN 'Fix(ui): ' WHEN 2 THEN 'chore: ' ELSE 'feature ' END || p_name AS line, p_size FROM part)
+SELECT p_partkey AS ord, CASE p_size % 4 WHEN 0 THEN '🚀 Features' WHEN 1 THEN '🐛 Bug Fixes' ELSE '⚙️ Maintenance' END AS category,
+'- ' || substr(line, strpos(line, ' ') + 1) || ' (c' || p_partkey || ')' AS entry FROM p""")
+def q40_commit_categories(t):
+    kind = F.col("p_size") % 4
+    prefix = F.when(kind == 0, "feat: ").when(kind == 1, "Fix(ui): ").when(kind == 2, "chore: ").otherwise("feature ")
+    line = F.concat(F.lit("c"), F.col("p_partkey").cast("string"), F.lit(" "), prefix, "p_name")
+    return changelog.categorised(t("part").select(F.col("p_partkey").alias("ord"), line.alias("line")))
+
+
+@query("""WITH f AS (SELECT lang || '/' || source || '.py' AS rel_path, count(*) AS n FROM documents GROUP BY 1),
+t AS (SELECT rel_path, CASE WHEN n % 3 = 0 THEN '# h' || n ELSE 'x = ' || n END AS content FROM f)
+SELECT rel_path, CASE WHEN starts_with(content, '#') THEN 0 ELSE 1 END::BIGINT AS loc, (length(content) // 4)::BIGINT AS tokens, 'Python' AS language FROM t""")
+def q41_file_metrics(t):
+    f = t("documents").groupBy(F.concat("lang", F.lit("/"), "source", F.lit(".py")).alias("rel_path")).agg(F.count("*").alias("n"))
+    n = F.col("n").cast("string")
+    c = f.select("rel_path", F.when(F.col("n") % 3 == 0, F.concat(F.lit("# h"), n)).otherwise(F.concat(F.lit("x = "), n)).alias("content"))
+    return c.select("rel_path", X.code_loc(F.col("content")).alias("loc"), X.token_estimate(F.col("content")).alias("tokens"), X.language(F.col("rel_path")).alias("language"))
+
+
+@query("""SELECT c_custkey, '/' || c_mktsegment || CASE WHEN c_custkey % 4 = 0 THEN '/.git/' ELSE '/src/' END || c_custkey AS path, c_custkey % 4 = 0 AS hidden FROM customer""")
+def q42_hidden_paths(t):
+    path = F.concat(F.lit("/"), "c_mktsegment", F.when(F.col("c_custkey") % 4 == 0, "/.git/").otherwise("/src/"), F.col("c_custkey").cast("string"))
+    return t("customer").select("c_custkey", path.alias("path"), X.hidden_path(path).alias("hidden"))
+
+
+@query("""WITH e AS (SELECT max(CASE WHEN lower(s) = 'src3' THEN 1 ELSE 0 END) = 1 AS agents_md, FALSE AS linter_config, FALSE AS lock_file, FALSE AS baml_detected FROM (SELECT DISTINCT source AS s FROM documents)) SELECT * FROM e""")
+def q43_environment(t):
+    names = t("documents").select(F.when(F.col("source") == "src3", "Agents.MD").otherwise(F.col("source")).alias("name")).distinct()
+    return health.environment(names.withColumn("is_dir", F.lit(False)))
+
+
+@query("""WITH d AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN '```python' || chr(10) || lang || chr(10) || '```' WHEN 1 THEN 'a ```' || chr(10) || source || '``` b' ELSE '  ' || lang || ' ' END AS answer, lang, source FROM documents)
+SELECT doc_id, CASE WHEN doc_id % 3 = 1 THEN source ELSE lang END AS code FROM d""")
+def q44_fenced_code(t):
+    k = F.col("doc_id") % 3
+    answer = F.when(k == 0, F.concat(F.lit("```python\n"), "lang", F.lit("\n```"))).when(k == 1, F.concat(F.lit("a ```\n"), "source", F.lit("``` b"))).otherwise(F.concat(F.lit("  "), "lang", F.lit(" ")))
+    return fix.fenced(t("documents").select("doc_id", answer.alias("answer")), "answer").select("doc_id", "code")
+
+
+@query("""WITH f AS (SELECT DISTINCT source || '/' || lang || '/m' || doc_id % 20 || CASE WHEN doc_id % 20 = 0 THEN '/__init__.py' ELSE '.py' END AS p, source || '/' || lang || '/m' || doc_id % 20 AS stem FROM documents),
+i AS (SELECT DISTINCT source || '/' || lang || '/m' || doc_id % 20 || CASE WHEN doc_id % 20 = 0 THEN '/__init__.py' ELSE '.py' END AS src, source, lang, doc_id % 20 AS k, 'm' || (doc_id * 3) % 20 AS m FROM documents)
+SELECT DISTINCT i.src, f.p AS dst FROM i JOIN f ON f.stem = CASE WHEN k = 0 THEN source || '/' || lang || '/m0/' || m ELSE source || '/' || lang || '/' || m END WHERE i.src <> f.p""")
+def q45_relative_imports(t):
+    d = t("documents")
+    k = F.col("doc_id") % 20
+    path = F.concat("source", F.lit("/"), "lang", F.lit("/m"), k.cast("string"), F.when(k == 0, "/__init__.py").otherwise(".py"))
+    rows = d.select(path.alias("rel_path"), F.concat(F.lit("m"), ((F.col("doc_id") * 3) % 20).cast("string")).alias("module"), F.lit(1).alias("level"))
+    return graph.package_edges(rows, rows.select("rel_path").distinct())
