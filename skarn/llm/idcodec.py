@@ -26,11 +26,11 @@ from skarn.llm.common import durable
 
 BLOCK = 8192
 #: Ids after which a frame ends, at the next document.
-FRAME = 768 * BLOCK
+FRAME = 512 * BLOCK
 #: Slots of a lane's order-1 and order-2 tables.
 SLOTS = 1 << 12
 #: Blocks coded side by side; bounds memory.
-LANES = 768
+LANES = 512
 #: Bits of a share, and of an order-0 frequency.
 BITS = 15
 ONE = 1 << BITS

@@ -1,8 +1,9 @@
 """Substring deduplication with sliding sentence spans (operator 7).
 
-Texts are cut into sentences: after ``.``, ``!`` or ``?`` and white space, and at line ends. Every run of ``size``
-consecutive sentences with at least ``min_words`` words is hashed (in lower case, white space folded). Of each hash
-that occurs more than once, the first occurrence, by document id and place, stays; the sentences of all others go.
+Texts are cut into sentences: after ``.``, ``!`` or ``?`` and white space, and at line ends. At every sentence begins a
+span, the shortest run of at least ``size`` sentences and ``min_words`` words; a sentence of ``long_words`` words is a
+span of its own as well. Spans are hashed (in lower case, white space folded). Of each hash that occurs more than
+once, the first occurrence, by document id and place, stays; the sentences of all others go.
 """
 
 from __future__ import annotations
@@ -16,8 +17,8 @@ from pyspark.sql import functions as F
 
 from skarn.llm.common import durable
 
-#: Sentences of a span, and the words it needs: shorter runs repeat by chance.
-SIZE, MIN_WORDS = 2, 10
+#: Sentences of a span, and the words it needs: shorter runs repeat by chance. A sentence that long doesn't either.
+SIZE, MIN_WORDS, LONG_WORDS = 2, 10, 20
 
 SENTENCE = re.compile(r"[^.!?\n]*(?:[.!?]+(?![ \t\r\n.!?])[^.!?\n]*)*(?:[.!?]+(?:[ \t\r\n]+|\Z)|\n\s*|\Z)")
 
@@ -27,21 +28,25 @@ def sentences(text: str | None) -> list[str]:
     return [s for s in SENTENCE.findall(text) if s] if text else []
 
 
-def span_hashes(parts: list[str], size: int, min_words: int) -> list[tuple[int, int]]:
-    """``(hash, first sentence)`` of each span; a text of fewer sentences has none."""
+def span_hashes(parts: list[str], size: int, min_words: int, long_words: int) -> list[tuple[int, int, int]]:
+    """``(hash, first sentence, end)`` of each span."""
     words = [s.lower().split() for s in parts]
-    one = np.array([xxhash.xxh64_intdigest(" ".join(w)) for w in words], np.uint64)
-    if len(one) < size:
-        return []
-    h = one[: len(one) - size + 1].copy()
-    for k in range(1, size):
-        h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + one[k : len(one) - size + 1 + k]
-    n = np.cumsum([0, *map(len, words)])
-    enough = n[size:] - n[:-size] >= min_words
-    return [(v, i) for i, v in enumerate(h.view(np.int64).tolist()) if enough[i]]
-
-
-def _spans(docs: DataFrame, size: int, min_words: int) -> DataFrame:
+    one = np.array([xxhash.xxh64_intdigest(" ".join(w)) for w in words], np.uint64).tobytes()
+    lens = list(map(len, words))
+    out, j, n = [], 0, 0  # n words stand in sentences i to j
+    for i, length in enumerate(lens):
+        while j < len(lens) and (j < i + size or n < min_words):
+            n += lens[j]
+            j += 1
+        if j >= i + size and n >= min_words:
+            out.append((xxhash.xxh64_intdigest(one[8 * i : 8 * j]) - (1 << 63), i, j))
+        if length >= long_words:
+            out.append((xxhash.xxh64_intdigest(one[8 * i : 8 * i + 8]) - (1 << 63), i, i + 1))
+        n -= length
+    return out
+
+
+def _spans(docs: DataFrame, size: int, min_words: int, long_words: int) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
@@ -49,7 +54,7 @@ def _spans(docs: DataFrame, size: int, min_words: int) -> DataFrame:
             for k in range(0, b.num_rows, 1000):
                 ids, hashes, places = [], [], []
                 for doc, text in zip(b.column(0).slice(k, 1000).to_pylist(), b.column(1).slice(k, 1000).to_pylist()):
-                    for h, i in span_hashes(sentences(text), size, min_words):
+                    for h, i, _ in span_hashes(sentences(text), size, min_words, long_words):
                         ids.append(doc)
                         hashes.append(h)
                         places.append(i)
@@ -58,14 +63,14 @@ def _spans(docs: DataFrame, size: int, min_words: int) -> DataFrame:
     return docs.mapInArrow(run, "h long, id long, place int")
 
 
-def remove(docs: DataFrame, size: int = SIZE, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove(docs: DataFrame, size: int = SIZE, min_words: int = MIN_WORDS, long_words: int = LONG_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, text, n_sentences, removed array<int>, n_words_removed`` of every row; ``text`` is what stays.
 
     Null text stays null and has no sentences. Rows that share an id are versions of one document: what one of them
     loses, equal spans in equal places of the others lose too. Rows with a null id are not compared and stay whole.
     """
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    spans = durable(_spans(src.where("id is not null and text is not null"), size, min_words), "spans")
+    spans = durable(_spans(src.where("id is not null and text is not null"), size, min_words, long_words), "spans")
     firsts = spans.groupBy("h").agg(F.min(F.struct("id", "place")).alias("first"), F.count("*").alias("n")).where("n > 1").select("h", "first")
     later = spans.join(firsts, "h").where(F.struct("id", "place") != F.col("first"))
     gone = later.groupBy("id").agg(F.collect_set(F.struct("place", "h")).alias("places"))
@@ -77,8 +82,8 @@ def remove(docs: DataFrame, size: int = SIZE, min_words: int = MIN_WORDS, id_col
             texts, n, removed, words = [], [], [], []
             for text, places in zip(b.column("text").to_pylist(), b.column("places").to_pylist()):
                 parts = sentences(text)
-                own = {(i, h) for h, i in span_hashes(parts, size, min_words)} if places else ()
-                out = sorted({p["place"] + k for p in places or () for k in range(size) if (p["place"], p["h"]) in own})
+                own = {(i, h): j for h, i, j in span_hashes(parts, size, min_words, long_words)} if places else {}
+                out = sorted({k for p in places or () for k in range(p["place"], own.get((p["place"], p["h"]), 0))})
                 drop = set(out)
                 texts.append(text if not out else "".join(s for k, s in enumerate(parts) if k not in drop))
                 n.append(len(parts))
