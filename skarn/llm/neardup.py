@@ -176,10 +176,12 @@ def group(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id"
     linked = components(links, "a", "b").select(F.col("node").alias("rep"), F.col("component"))
     found = classes.join(linked, "rep", "left").select("digest", "rep", F.coalesce("component", "rep").alias("component"))
     out = sketches.select("id", "n", "digest").join(found, "digest", "left")
+    known = F.col("id").isNotNull()
+    component = F.when(known, F.coalesce("component", "id"))
     return out.select(
         F.col("id").alias("doc_id"),
         F.col("n").alias("n_shingles"),
-        F.coalesce("rep", "id").alias("class_id"),
-        F.coalesce("component", "id").alias("component_id"),
-        F.coalesce(F.col("id") == F.coalesce("component", "id"), F.lit(True)).alias("kept"),
+        F.when(known, F.coalesce("rep", "id")).alias("class_id"),
+        component.alias("component_id"),
+        (~known | (F.col("id") == component)).alias("kept"),
     )

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skarn.llm import bpe, chat, counts, decontam, idcodec, langid, neardup, secrets, spans, topk
+from skarn.llm import bpe, chat, counts, decontam, idcodec, langid, neardup, secrets, spans, sql, topk
 from skarn.llm.common import table
 
 
@@ -60,11 +60,11 @@ def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontam.digest(decontam.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+    return decontam.digest(decontam.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))).drop("n_near_items")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (op1_bpe, op2_token_counts, op3_token_files, op4_secrets, op5_chat, op6_language, op7_span_dedup, op8_near_dup, op9_topk, op10_decontaminate)
 }
-ORACLE_SQL: dict[str, str] = {"op5_chat": chat.SQL}
+ORACLE_SQL: dict[str, str] = sql.ORACLE_SQL

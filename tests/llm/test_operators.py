@@ -84,12 +84,13 @@ def test_chat_collapses_snapshots(spark):
     assert chat.render(df.limit(0)).collect() == []
 
 
-def test_chat_sql(spark):
+@pytest.mark.parametrize("name", ["op5_chat", "op8_near_dup", "op9_topk", "op10_decontaminate"])
+def test_sql(spark, name):
     from skarn.llm.queries import ORACLE_SQL, QUERIES
     from tests.compare import difference, duck
 
     sf = "/root/testdata/sf0.001"
-    assert difference(QUERIES["op5_chat"](spark, sf), duck(sf), ORACLE_SQL["op5_chat"]) == ""
+    assert difference(QUERIES[name](spark, sf), duck(sf), ORACLE_SQL[name]) == ""
 
 
 # --- language ID ---
