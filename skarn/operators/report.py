@@ -153,10 +153,10 @@ def prompts_section(results: list[dict], thresholds: dict, issues: list[str] | N
     return out
 
 
-def markdown_report(results: list[dict], final: float, path: str, profile: dict, issues: list[str] | None = None, style: str = "full", health: dict | None = None, thresholds: dict | None = None, version: str = "1") -> str:
+def markdown_report(results: list[dict], final: float, path: str, profile: dict, issues: list[str] | None = None, style: str = "full", health: dict | None = None, thresholds: dict | None = None, version: str = "1", title: str = "Report") -> str:
     """The whole report; ``collapsed`` keeps the summary, ``actionable`` leaves out what passes, ``full`` has everything."""
     t = THRESHOLDS | (thresholds or {})
-    out = f"# Agent Readiness Scorecard Report v{version}\n\n**Target**: `{path}`\n**Profile**: {profile.get('description', '')}\n"
+    out = f"# {title} v{version}\n\n**Target**: `{path}`\n**Profile**: {profile.get('description', '')}\n"
     out += f"**Overall Score: {final:.1f}/100** - {'✅ PASSED' if final >= PASS_MARK else '❌ FAILED'}\n\n"
     if issues:
         out += "## ⚠️ Project Issues\n\n" + "".join(f"- {x}\n" for x in issues) + "\n"
@@ -188,7 +188,7 @@ def advisor_report(results: list[dict], gods: dict[str, int], entropy: dict[str,
     return out + "\n## 📁 Directory Entropy\n\n" + ("".join(f"- `{d}`: {n} files\n" for d, n in entropy.items()) or "None.\n")
 
 
-def badge(score: float) -> str:
+def badge(score: float, name: str = "Agent Score") -> str:
     """An SVG badge; the label truncates the score."""
     color = "#4c1" if score >= 90 else "#97ca00" if score >= 70 else "#dfb317" if score >= 50 else "#e05d44"
     label, left, right = f"{int(score)}/100", 85, 50
@@ -197,5 +197,5 @@ def badge(score: float) -> str:
         f'<svg xmlns="http://www.w3.org/2000/svg" width="{left + right}" height="20" role="img" aria-label="Agent Score: {label}">'
         f"<title>Agent Score: {label}</title>"
         f'<rect width="{left}" height="20" fill="#555"/><rect x="{left}" width="{right}" height="20" fill="{color}"/>'
-        f'<g fill="#fff" text-anchor="middle" font-family="Verdana,sans-serif" font-size="11">{text(left / 2, "Agent Readiness")}{text(left + right / 2, label)}</g></svg>'
+        f'<g fill="#fff" text-anchor="middle" font-family="Verdana,sans-serif" font-size="11">{text(left / 2, name)}{text(left + right / 2, label)}</g></svg>'
     )

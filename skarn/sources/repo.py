@@ -19,7 +19,8 @@ from skarn.functions import text as X
 #: Directories that an analysis never enters, besides hidden ones.
 SKIPPED = {"node_modules", "venv", ".venv"}
 EXTENSIONS = (".py", ".md", ".js", ".jsx", ".ts", ".tsx", ".json", ".yaml", ".yml", ".toml")
-CONFIG_TABLE = "agent-readiness-scorecard"
+#: The table of ``pyproject.toml`` that holds a project's settings; callers may name another.
+CONFIG_TABLE = "skarn"
 
 FILES = "rel_path string, dir string, name string, ext string, size long, path string"
 
@@ -135,12 +136,12 @@ def merged(base: dict, over: dict) -> dict:
     return out
 
 
-def load_config(path: str, defaults: dict) -> dict:
+def load_config(path: str, defaults: dict, table: str = CONFIG_TABLE) -> dict:
     """``defaults`` with the project's own table of ``pyproject.toml`` laid over; on any error the defaults."""
     base = path if os.path.isdir(path) else os.path.dirname(os.path.abspath(path))
     try:
         with open(os.path.join(base, "pyproject.toml"), "rb") as f:
-            return merged(defaults, tomllib.load(f).get("tool", {}).get(CONFIG_TABLE, {}))
+            return merged(defaults, tomllib.load(f).get("tool", {}).get(table, {}))
     except (OSError, ValueError):
         return dict(defaults)
 

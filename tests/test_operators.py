@@ -186,7 +186,7 @@ def test_rendered():
     unit = {"name": "fn1", "acl": 18.0, "loc": 3, "complexity": 2.0}
     rows = [{"file": "a.py", "score": 60, "issues": "1 Red", "type_coverage": 50.0, "function_metrics": [unit]}, {"file": "good.py", "score": 100, "issues": "", "type_coverage": 100.0, "function_metrics": []}]
     full = report.markdown_report(rows, 70.0, ".", {"description": "x"}, ["God Modules Detected (Inbound > 50): m.py"])
-    assert "# Agent Readiness Scorecard Report v" in full and "Overall Score: 70.0/100" in full and "PASSED" in full and "🔴 Red" in full and "God Module `m.py`" in full and "good.py" in full
+    assert "# Report v1" in full and "Overall Score: 70.0/100" in full and "PASSED" in full and "🔴 Red" in full and "God Module `m.py`" in full and "good.py" in full
     assert "good.py" not in report.markdown_report(rows, 50, ".", {}, style="actionable") and "File Analysis" not in report.markdown_report(rows, 50, ".", {}, style="collapsed")
     assert "✅ All functions meet the Agent Cognitive Load (ACL) target of <= 10." in report.acl_section([])
     assert "95/100" in report.badge(95.9) and "#4c1" in report.badge(95)
