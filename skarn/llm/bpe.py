@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 #: Entries of a worker's memo of chunks; when it is full it starts anew, so memory stays bounded.
-MEMO = 800_000
+MEMO = 250_000
 
 
 def byte_alphabet() -> list[str]:

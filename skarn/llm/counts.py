@@ -19,7 +19,7 @@ from skarn.llm.bpe import Bpe, worker_encoder
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 #: Entries of a worker's memo of chunks.
-MEMO = 800_000
+MEMO = 250_000
 
 
 def whole_tokens(model: Bpe) -> frozenset[str]:
