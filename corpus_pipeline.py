@@ -24,7 +24,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Rows with a null id stay, and texts without words, which are linked with nothing.
     """
     lost = neardup.group(docs, k=5, percent=80).where(~F.col("kept")).select("doc_id")
-    out = docs.join(lost, "doc_id", "left_anti").select(docs.columns)
+    out = docs.join(lost.hint("merge"), "doc_id", "left_anti").select(docs.columns)
     # Rows that share an id are one document: only then is a choice between them needed.
     if not docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
         rows = F.struct(*[F.col(c) for c in docs.columns])
@@ -40,7 +40,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """
     found = decontam.find(docs, table(spark, sf_dir, "benchmark"))
     hit = found.where(F.size("hits") > 0).select("doc_id").distinct()
-    return docs.join(hit, "doc_id", "left_anti").select(docs.columns)
+    return docs.join(hit.hint("merge"), "doc_id", "left_anti").select(docs.columns)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
