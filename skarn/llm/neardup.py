@@ -170,7 +170,7 @@ def group(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id"
     task = member.select("family", "block", "rep", other.alias("o")).select("family", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "rep")
     texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).cast("string").alias("text"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    tasks = task.join(texts, "rep").select("family", "i", "j", "block", "rep", "text")
+    tasks = task.join(texts.hint("merge"), "rep").select("family", "i", "j", "block", "rep", "text")
     tasks = tasks.repartition(n, "family", "i", "j").sortWithinPartitions("family", "i", "j", "block", "rep")
     links = _verify(tasks, k, percent)
     linked = components(links, "a", "b").select(F.col("node").alias("rep"), F.col("component"))
