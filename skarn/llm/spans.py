@@ -93,7 +93,7 @@ def remove(docs: DataFrame, size: int = SIZE, min_words: int = MIN_WORDS, long_w
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text", "n_sentences", "removed", "n_words_removed"])
 
     schema = "doc_id long, text string, n_sentences long, removed array<int>, n_words_removed long"
-    return src.join(gone, "id", "left").select("id", "text", "places").mapInArrow(run, schema)
+    return src.join(gone.hint("merge"), "id", "left").select("id", "text", "places").mapInArrow(run, schema)
 
 
 def digest(cleaned: DataFrame) -> DataFrame:
