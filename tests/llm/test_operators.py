@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 from itertools import combinations
 
 import numpy as np
@@ -54,6 +55,47 @@ def test_literals_follow_names(text, found):
     assert [text[i:j] for i, j, _ in secrets.literal_spans(text)] == found
 
 
+@pytest.mark.parametrize(
+    "text,found",
+    [
+        ('{"password":\n  "hunter2-hunter2"}', ["hunter2-hunter2"]),
+        ('SECRET = (\n    "a8Zk29-LLq-77"  # note\n    "b8Zk29-LLq-77"\n)\n', ["a8Zk29-LLq-77", "b8Zk29-LLq-77"]),
+        ('SECRETS = [\n  "a8Zk29-LLq-77",\n  "b8Zk29-LLq-77",\n]\n', ["a8Zk29-LLq-77", "b8Zk29-LLq-77"]),
+        ('SECRET = \\\n    "hunter2-hunter2"', ["hunter2-hunter2"]),
+        ('SECRET = "a8Zk29-LLq-77" + \\\n    "b8Zk29-LLq-77"', ["a8Zk29-LLq-77", "b8Zk29-LLq-77"]),
+        ("password: |\n  hunter2-hunter2\nuser: bob", ["hunter2-hunter2"]),
+        ("- password: >-\n    hunter2-hunter2\n  user: Zx81-Qw73-Pl29", ["hunter2-hunter2"]),
+        ("password:\n  hunter2-hunter2\n", ["hunter2-hunter2"]),
+        ("secrets:\n- a8Zk29-LLq-77\n- b8Zk29-LLq-77\n", ["a8Zk29-LLq-77", "b8Zk29-LLq-77"]),
+        ("password:\nuser_Zx81-Qw73: bob", []),
+        ('SECRET = """hunter2-hunter2"""', ["hunter2-hunter2"]),
+        ("SECRET = '''\nhunter2-hunter2\n'''\nx = 1", ["hunter2-hunter2"]),
+        ("const token = `\n  Zx81-Qw73-Pl29\n`;", ["Zx81-Qw73-Pl29"]),
+        ('SECRET = b"hunter2-hunter2"', ["hunter2-hunter2"]),
+        ('password: str = "hunter2-hunter2"', ["hunter2-hunter2"]),
+        ('password: dict[str, str] | None = "hunter2-hunter2"', ["hunter2-hunter2"]),
+        ('const token: string = "Zx81-Qw73-Pl29";', ["Zx81-Qw73-Pl29"]),
+        ('token?: string | undefined = "Zx81-Qw73-Pl29";', ["Zx81-Qw73-Pl29"]),
+        ("const API_KEY: &'static str = \"Zx81-Qw73-Pl29\";", ["Zx81-Qw73-Pl29"]),
+        ('def f(password: str = "hunter2-hunter2", n: int = 3):', ["hunter2-hunter2"]),
+        ('A: str = (\n  "a8Zk29-LLq-77")\nclient_secret = [A]', ["a8Zk29-LLq-77"]),
+        ('if token: title = "a8Zk29-LLq-77"', []),
+        ('else: password = "hunter2-hunter2"', ["hunter2-hunter2"]),
+        ('name: str = "a8Zk29-LLq-77"\ndef f(token: str): pass', []),
+        ('doc = """\npassword = "hunter2-hunter2"\n"""', ["hunter2-hunter2"]),
+    ],
+)
+def test_literals_on_later_lines_and_behind_types(text, found):
+    assert [text[i:j] for i, j, _ in sorted(secrets.literal_spans(text))] == found
+
+
+def test_open_values_cost_no_more_than_the_text():
+    began = time.perf_counter()
+    for t in ("a = (\n" * 50_000, "token: (\n" * 50_000, "a: b [ " * 50_000, 'a = """\n' * 50_000, "token:\n- x\n" * 50_000, "a = [" + '"b",\n' * 50_000):
+        secrets.find_spans(t)
+    assert time.perf_counter() - began < 30
+
+
 def test_secret_frames(spark):
     rows = [(1, "token = abcdefghijklmnop é", "a"), (2, None, "b"), (3, "", "c"), (1, "token = abcdefghijklmnop é", "a"), (None, "deadbeefdeadbeef01", "d")]
     df = spark.createDataFrame(rows, "doc_id long, text string, spans string")
