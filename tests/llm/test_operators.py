@@ -89,9 +89,40 @@ def test_literals_on_later_lines_and_behind_types(text, found):
     assert [text[i:j] for i, j, _ in sorted(secrets.literal_spans(text))] == found
 
 
+@pytest.mark.parametrize(
+    "text,found",
+    [
+        ("DB_PASSWORD=Xy7kq9LmP2!vR4tZ", ["Xy7kq9LmP2!vR4tZ"]),
+        ("password: p@ssw0rd-2024", ["p@ssw0rd-2024"]),
+        ("password: p@ssw0rd-2024 # note", ["p@ssw0rd-2024"]),
+        ("password = !p@ssw0rd-2024\nuser = x", ["!p@ssw0rd-2024"]),
+        ("password=+p@ssw0rd-2024", ["+p@ssw0rd-2024"]),
+        ("password=Pass(word)99-2024", ["Pass(word)99-2024"]),
+        ("{password: p@ssw0rd-2024, user: bob}", ["p@ssw0rd-2024"]),
+        ("{password: p@ssw0rd-2024}", ["p@ssw0rd-2024"]),
+        ("connect(password=p@ssw0rd-2024)", ["p@ssw0rd-2024"]),
+        ("host=db;password=p@ssw0rd-2024;user=Zx81-Qw73-Pl29", ["p@ssw0rd-2024"]),
+        ("<b>token = Zx81-Qw73~Pl29</b><p>", ["Zx81-Qw73~Pl29"]),
+        ("url=https://h/?token=Zx81-Qw73~Pl29&x=1", ["Zx81-Qw73~Pl29"]),
+        ('api_key = os.environ["API_KEY_2024x"]', []),
+        ("password = getpass.getpass(prompt, Zx81)", []),
+        ("password = cfg->get_password2", []),
+        ("password = $DATABASE_PASSWORD2", []),
+        ("A = 'a8Zk29-LLq-77'\nclient_secret: A, other: b", ["a8Zk29-LLq-77"]),
+    ],
+)
+def test_unquoted_values_are_whole(text, found):
+    assert [text[i:j] for i, j, _ in sorted(secrets.literal_spans(text))] == found
+
+
+def test_unquoted_values_are_redacted_whole(spark):
+    df = spark.createDataFrame([(1, "DB_PASSWORD=Xy7kq9LmP2!vR4tZ\nA=1")], "doc_id long, text string")
+    assert secrets.redact(df).first()["text"] == "DB_PASSWORD=[REDACTED]\nA=1"
+
+
 def test_open_values_cost_no_more_than_the_text():
     began = time.perf_counter()
-    for t in ("a = (\n" * 50_000, "token: (\n" * 50_000, "a: b [ " * 50_000, 'a = """\n' * 50_000, "token:\n- x\n" * 50_000, "a = [" + '"b",\n' * 50_000):
+    for t in ("a = (\n" * 50_000, "token: (\n" * 50_000, "a: b [ " * 50_000, 'a = """\n' * 50_000, "token:\n- x\n" * 50_000, "a = [" + '"b",\n' * 50_000, "a=b" * 50_000, "a=(" * 50_000, "token:x(" * 50_000, "token=b" * 50_000):
         secrets.find_spans(t)
     assert time.perf_counter() - began < 30
 
