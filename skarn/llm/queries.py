@@ -47,7 +47,7 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spans.digest(spans.remove(table(spark, sf_dir, "documents")))
+    return spans.digest(spans.remove(table(spark, sf_dir, "documents"), tails=True))
 
 
 def op8_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:

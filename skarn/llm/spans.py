@@ -2,7 +2,8 @@
 
 Texts are cut into sentences: after ``.``, ``!`` or ``?`` and white space, and at line ends. At every sentence begins a
 span, the shortest run of at least ``size`` sentences and ``min_words`` words; a sentence of ``long_words`` words is a
-span of its own as well. Spans are hashed (in lower case, white space folded). Of each hash that occurs more than
+span of its own as well. With ``tails``, at every sentence ends one too, the shortest such run backwards, so that
+the short sentences that close a passage are covered. Spans are hashed (in lower case, white space folded). Of each hash that occurs more than
 once, the first occurrence, by document id and place, stays; the sentences of all others go.
 """
 
@@ -28,7 +29,7 @@ def sentences(text: str | None) -> list[str]:
     return [s for s in SENTENCE.findall(text) if s] if text else []
 
 
-def span_hashes(parts: list[str], size: int, min_words: int, long_words: int) -> list[tuple[int, int, int]]:
+def span_hashes(parts: list[str], size: int, min_words: int, long_words: int, tails: bool = False) -> list[tuple[int, int, int]]:
     """``(hash, first sentence, end)`` of each span."""
     words = [s.lower().split() for s in parts]
     one = np.array([xxhash.xxh64_intdigest(" ".join(w)) for w in words], np.uint64).tobytes()
@@ -43,10 +44,20 @@ def span_hashes(parts: list[str], size: int, min_words: int, long_words: int) ->
         if length >= long_words:
             out.append((xxhash.xxh64_intdigest(one[8 * i : 8 * i + 8]) - (1 << 63), i, i + 1))
         n -= length
+    if tails:
+        begun = {(i, j) for _, i, j in out}
+        i, n = 0, 0  # n words stand in sentences i to j
+        for j, length in enumerate(lens, 1):
+            n += length
+            while j - i > size and n - lens[i] >= min_words:
+                n -= lens[i]
+                i += 1
+            if j - i >= size and n >= min_words and (i, j) not in begun:
+                out.append((xxhash.xxh64_intdigest(one[8 * i : 8 * j]) - (1 << 63), i, j))
     return out
 
 
-def _spans(docs: DataFrame, size: int, min_words: int, long_words: int) -> DataFrame:
+def _spans(docs: DataFrame, size: int, min_words: int, long_words: int, tails: bool) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
@@ -54,7 +65,7 @@ def _spans(docs: DataFrame, size: int, min_words: int, long_words: int) -> DataF
             for k in range(0, b.num_rows, 1000):
                 ids, hashes, places = [], [], []
                 for doc, text in zip(b.column(0).slice(k, 1000).to_pylist(), b.column(1).slice(k, 1000).to_pylist()):
-                    for h, i, _ in span_hashes(sentences(text), size, min_words, long_words):
+                    for h, i, _ in span_hashes(sentences(text), size, min_words, long_words, tails):
                         ids.append(doc)
                         hashes.append(h)
                         places.append(i)
@@ -63,14 +74,14 @@ def _spans(docs: DataFrame, size: int, min_words: int, long_words: int) -> DataF
     return docs.mapInArrow(run, "h long, id long, place int")
 
 
-def remove(docs: DataFrame, size: int = SIZE, min_words: int = MIN_WORDS, long_words: int = LONG_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove(docs: DataFrame, size: int = SIZE, min_words: int = MIN_WORDS, long_words: int = LONG_WORDS, id_col: str = "doc_id", text_col: str = "text", tails: bool = False) -> DataFrame:
     """``doc_id, text, n_sentences, removed array<int>, n_words_removed`` of every row; ``text`` is what stays.
 
     Null text stays null and has no sentences. Rows that share an id are versions of one document: what one of them
     loses, equal spans in equal places of the others lose too. Rows with a null id are not compared and stay whole.
     """
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    spans = durable(_spans(src.where("id is not null and text is not null"), size, min_words, long_words), "spans")
+    spans = durable(_spans(src.where("id is not null and text is not null"), size, min_words, long_words, tails), "spans")
     firsts = spans.groupBy("h").agg(F.min(F.struct("id", "place")).alias("first"), F.count("*").alias("n")).where("n > 1").select("h", "first")
     later = spans.join(firsts, "h").where(F.struct("id", "place") != F.col("first"))
     gone = later.groupBy("id").agg(F.collect_set(F.struct("place", "h")).alias("places"))
@@ -82,7 +93,7 @@ def remove(docs: DataFrame, size: int = SIZE, min_words: int = MIN_WORDS, long_w
             texts, n, removed, words = [], [], [], []
             for text, places in zip(b.column("text").to_pylist(), b.column("places").to_pylist()):
                 parts = sentences(text)
-                own = {(i, h): j for h, i, j in span_hashes(parts, size, min_words, long_words)} if places else {}
+                own = {(i, h): j for h, i, j in span_hashes(parts, size, min_words, long_words, tails)} if places else {}
                 out = sorted({k for p in places or () for k in range(p["place"], own.get((p["place"], p["h"]), 0))})
                 drop = set(out)
                 texts.append(text if not out else "".join(s for k, s in enumerate(parts) if k not in drop))

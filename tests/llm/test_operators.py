@@ -240,6 +240,33 @@ def test_repeated_spans_go(spark):
         assert got[k]["text"] == "".join(s for i, s in enumerate(spans.sentences(t)) if i not in gone[k])
 
 
+def test_tails_of_repeated_passages_go(spark, tmp_path):
+    """The registered query against brute force over the runs that begin and end at each sentence."""
+    from skarn.llm.queries import QUERIES
+
+    rng = random.Random(7)
+    passage = ". ".join(prose(rng, 9) for _ in range(4)) + ". Yes it is. So it was. "
+    rows = [(k, prose(rng, 12) + ". " + passage + prose(rng, 12) + f". {k}.") for k in range(6)] + [(9, "")]
+    rows += [(10 + k, "".join(rng.choice(["No. ", "Go on. ", passage, prose(rng, 11) + ". "]) for _ in range(6))) for k in range(20)]
+    gone, keys = plain_removed(rows, 2, 10, 20), {}
+    for d, t in rows:
+        parts = [tuple(s.lower().split()) for s in spans.sentences(t)]
+        words = lambda i, j: sum(map(len, parts[i:j]))  # noqa: B023, E731
+        runs = {(i, j) for j in range(len(parts) + 1) for i in [max((i for i in range(j - 1) if words(i, j) >= 10), default=None)] if i is not None}
+        runs |= {(i, j) for i in range(len(parts)) for j in [min((j for j in range(i + 2, len(parts) + 1) if words(i, j) >= 10), default=None)] if j}
+        runs |= {(i, i + 1) for i in range(len(parts)) if len(parts[i]) >= 20}
+        for i, j in runs:
+            keys.setdefault(tuple(parts[i:j]), []).append((d, i, j))
+    more = {d: set(g) for d, g in gone.items()}
+    for places in keys.values():
+        for d, i, j in sorted(places)[1:]:
+            more[d] |= set(range(i, j))
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r["removed"] for r in QUERIES["op7_span_dedup"](spark, str(tmp_path)).collect()}
+    assert got == {d: ",".join(map(str, sorted(g))) for d, g in more.items()}
+    assert more[1] == {1, 2, 3, 4, 5, 6} and gone[1] != more[1]
+
+
 def test_span_edges(spark):
     same = "One two three four five. Six seven eight nine ten. "
     df = spark.createDataFrame([(1, same), (1, same), (None, same), (2, None), (3, ""), (4, same + same)], "doc_id long, text string")
