@@ -64,6 +64,10 @@ def codewords(n: int) -> np.ndarray:
     return best
 
 
+def has_letter(text: str | None) -> bool:
+    return bool(text) and any(map(str.isalpha, text))
+
+
 @dataclass
 class Model:
     languages: list[str]
@@ -74,7 +78,7 @@ class Model:
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Language, score (0 to 1) and whether it is ambiguous."""
         n = len(texts)
-        readable = np.array([bool(t) and any(map(str.isalpha, t)) for t in texts], bool)
+        readable = np.array(list(map(has_letter, texts)), bool)
         if not self.languages:
             return [UNKNOWN] * n, np.zeros(n), np.ones(n, bool)
         margin = features(texts) @ self.weights[:-1] + self.weights[-1]
@@ -145,7 +149,8 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
 
 def accepted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, whose text has a language; only null texts and texts without a letter go."""
+    """The rows of ``docs``, all columns, whose text has a language; only null texts and texts without a letter go,
+    whether any label was learned or not."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 
@@ -155,8 +160,12 @@ def accepted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
         for b in batches:
             for i in range(0, b.num_rows, 512):
                 part = b.slice(i, 512)
-                lang = shared.value.predict(part.column(at).to_pylist())[0]
-                yield part.filter(pa.array([x != UNKNOWN for x in lang]))
+                texts = part.column(at).to_pylist()
+                if shared.value.languages:
+                    keep = [x != UNKNOWN for x in shared.value.predict(texts)[0]]
+                else:
+                    keep = list(map(has_letter, texts))
+                yield part.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 

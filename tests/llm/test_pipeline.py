@@ -54,6 +54,11 @@ def test_stages(spark, tmp_path):
         assert got[d]["decoded_sha256"] == hashlib.sha256(t.encode()).hexdigest()
 
 
+def test_texts_stay_without_labels(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "some text", None, "s", 9), (2, None, None, "s", 0), (3, "12 34", None, "s", 5)], COLUMNS)
+    assert [r["doc_id"] for r in corpus_pipeline.language(spark, docs, str(tmp_path)).collect()] == [1]
+
+
 def test_shared_ids_and_no_rows(spark, tmp_path):
     _, sf = tables(spark, tmp_path)
     twice = spark.createDataFrame([(1, "b c d e f g", "en", "s", 1), (1, "b c d e f g", "en", "s", 1), (1, "other text of the same id", "en", "s", 1), (None, "no id here at all", "en", "s", 1)], COLUMNS)
