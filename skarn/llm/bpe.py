@@ -1,16 +1,15 @@
 """Byte-pair encoding and decoding by a pair occurrence index (operator 1), and the tokenizer that others share.
 
-The words of a whole batch are laid out as one linked symbol sequence. An index maps every mergeable
-pair to all positions where it occurs. Active ranks are taken from a heap in ascending order; all
-occurrences of a rank are merged at once, and only the lists of the neighbouring pairs are updated.
-Because each word always sees its own lowest rank first, and equal ranks from left to right, the
-result is that of merging each word alone.
+The distinct words of a part of a partition are laid out as one linked symbol sequence. An index maps every
+mergeable pair to all positions where it occurs. Active ranks are applied in ascending order, and only the lists of
+the neighbouring pairs are updated. Consecutive ranks of which none uses the token of another form a wave (122 waves for
+50,000 merges): their lists lie together and are merged at once, overlapping occurrences by rank and then from the left.
+So each word sees its own lowest rank first, and the result is that of merging each word alone.
 """
 
 from __future__ import annotations
 
 import hashlib
-import heapq
 import json
 import re
 from collections.abc import Iterable, Iterator
@@ -23,8 +22,8 @@ from pyspark.sql import functions as F
 #: The pre-token patterns of the two public vocabularies.
 BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-#: Entries of a worker's memo of chunks; when it is full it starts anew, so memory stays bounded.
-MEMO = 250_000
+#: Bytes of text that are encoded together; bounds memory, however long texts are.
+PART = 8 << 20
 
 
 def byte_alphabet() -> list[str]:
@@ -47,6 +46,8 @@ class Bpe:
         self.added = {a["content"]: a["id"] for a in spec.get("added_tokens", [])}
         if any(a["single_word"] or a["lstrip"] or a["rstrip"] or a["normalized"] for a in spec.get("added_tokens", [])):
             raise ValueError("unsupported added-token options")
+        if any(c.isspace() for t in self.added for c in t):
+            raise ValueError("an added token holds white space")
         self.special = re.compile("|".join(map(re.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
         self.size = 1 + max([*vocab.values(), *self.added.values()])
         alphabet = byte_alphabet()
@@ -57,9 +58,7 @@ class Bpe:
         known = [(r, vocab[a], vocab[b], vocab[a + b]) for r, (a, b) in enumerate(merges)]
         rank, left, right, new = (np.array(x, np.int64) for x in zip(*known))
         self.left, self.right, self.new = left.astype(np.int32), right.astype(np.int32), new.astype(np.int32)
-        key = left * self.size + right
-        order = np.argsort(key, kind="stable")
-        self.keys, self.ranks = key[order], rank[order].astype(np.int32)
+        self.tables = self._tables(left * self.size + right, rank.astype(np.int32))
         back = {c: b for b, c in enumerate(alphabet)}
         self.bytes_of = [b""] * self.size
         self.text_of = [""] * self.size
@@ -76,94 +75,142 @@ class Bpe:
                 raise ValueError("two merges make the same token; ascending ranks would not be exact")
         if any(max(made.get(a, -1), made.get(b, -1)) >= r for r, a, b, _ in known):
             raise ValueError("a merge comes before those that make its parts")
+        self.wave = np.zeros(len(known) + 1, np.int16)  # of each rank; the last one stands for "no merge"
+        first = wave = 0
+        for k, (_, a, b, _) in enumerate(known):
+            if max(made.get(a, -1), made.get(b, -1)) >= rank[first]:
+                first, wave = k, wave + 1
+            self.wave[k] = wave
+        self.waves = wave + 1
+        self.wave[-1] = self.waves
+        if rank.tolist() != list(range(len(known))):
+            raise ValueError("ranks are not consecutive")
 
     @classmethod
     def from_file(cls, path: str) -> Bpe:
         with open(path, encoding="utf-8") as f:
             return cls(json.load(f))
 
+    @staticmethod
+    def _slot(key: np.ndarray, k: int, bits: int) -> np.ndarray:
+        return (key.astype(np.uint64) * np.uint64((0x9E3779B97F4A7C15 + 0x632BE59BD9B4E01A * k) % 2**64)) >> np.uint64(64 - bits)
+
+    def _tables(self, keys: np.ndarray, ranks: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Hash tables of pairs: one entry a slot, what collides goes to the next table."""
+        out = []
+        self.bits = max(4, (4 * len(keys)).bit_length())
+        while len(keys):
+            slot = self._slot(keys, len(out), self.bits)
+            _, own = np.unique(slot, return_index=True)
+            key, rank = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, -1, np.int32)
+            key[slot[own]], rank[slot[own]] = keys[own], ranks[own]
+            out.append((key, rank))
+            keys, ranks = np.delete(keys, own), np.delete(ranks, own)
+        return out
+
     # --- pair occurrence index ---
 
     def rank_of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Rank of each pair, or -1."""
         key = a.astype(np.int64) * self.size + b
-        at = np.searchsorted(self.keys, key)
-        at[at == len(self.keys)] = 0
-        return np.where(self.keys[at] == key, self.ranks[at], np.int32(-1))
+        out = np.full(len(key), -1, np.int32)
+        rest = None  # those that no table has had yet
+        for k, (keys, ranks) in enumerate(self.tables):
+            slot = self._slot(key, k, self.bits)
+            found = keys[slot] == key
+            if rest is None:
+                out[found] = ranks[slot[found]]
+                rest = np.flatnonzero(~found)
+            else:
+                out[rest[found]] = ranks[slot[found]]
+                rest = rest[~found]
+            key = key[~found]
+        return out
+
+    @staticmethod
+    def choose(p: np.ndarray, q: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of occurrences in order, those to merge now, and those that may still be merged after them.
+
+        An occurrence goes before those that it overlaps if its rank is lower, or equal and it stands to the left.
+        In a run of overlapping occurrences of one rank every second one is merged.
+        """
+        touch = q[:-1] == p[1:]
+        if not touch.any():
+            return np.ones(len(p), bool), np.zeros(len(p), bool)
+        same = touch & (rank[:-1] == rank[1:])
+        head = np.concatenate([[True], ~same])
+        run = np.flatnonzero(head)
+        nth = np.arange(len(p)) - np.repeat(run, np.diff(np.concatenate([run, [len(p)]])))
+        lower_right = np.concatenate([touch & (rank[1:] < rank[:-1]), [False]])
+        lower_left = np.concatenate([[False], touch & (rank[:-1] < rank[1:])])
+        blocked = np.repeat(lower_left[run], np.diff(np.concatenate([run, [len(p)]])))
+        take = (nth % 2 == 0) & ~blocked & ~lower_right
+        gone = take.copy()
+        gone[1:] |= touch & take[:-1]
+        gone[:-1] |= touch & take[1:]
+        return take, ~gone
 
     def encode_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words, one after another, and the offsets of the words in them (one more than words)."""
         lens = np.fromiter(map(len, words), np.int64, len(words))
-        data = np.frombuffer(b"".join(words), np.uint8)
+        return self.encode_bytes(np.frombuffer(b"".join(words), np.uint8), np.cumsum(lens))
+
+    def encode_bytes(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same of words that lie one after another in ``data`` up to ``ends``."""
         n = len(data)
-        ends = np.cumsum(lens)
         if not n:
-            return np.zeros(0, np.int32), np.zeros(len(words) + 1, np.int64)
-        tails = ends[lens > 0] - 1
+            return np.zeros(0, np.int32), np.zeros(len(ends) + 1, np.int64)
+        tails = ends[np.diff(ends, prepend=0) > 0] - 1
         sym = self.first[data]
         sym[tails] = self.last[data[tails]]
         nxt = np.arange(1, n + 1, dtype=np.int32)
         prv = np.arange(-1, n - 1, dtype=np.int32)
         nxt[tails] = -1
         prv[tails[:-1] + 1] = -1
-        index: dict[int, list[np.ndarray]] = {}
-        heap: list[int] = []
+        index: list[list[np.ndarray]] = [[] for _ in range(self.waves)]
 
-        def post(pos: np.ndarray, rank: np.ndarray) -> None:
-            live = rank >= 0
-            pos, rank = pos[live], rank[live]
+        def post(pos: np.ndarray) -> None:
+            """Enter the pairs that begin at these positions."""
+            wave = self.wave[self.rank_of(sym[pos], sym[nxt[pos]])]
+            live = wave < self.waves
+            pos, wave = pos[live], wave[live]
             if not len(pos):
                 return
-            if len(pos) > 1:
-                order = np.argsort(rank, kind="stable")
-                pos, rank = pos[order], rank[order]
-                cuts = np.flatnonzero(rank[1:] != rank[:-1]) + 1
-                starts = [0, *cuts.tolist(), len(pos)]
-            else:
-                starts = [0, 1]
-            heads = rank[starts[:-1]].tolist()
-            for r, i, j in zip(heads, starts, starts[1:]):
-                if r in index:
-                    index[r].append(pos[i:j])
-                else:
-                    index[r] = [pos[i:j]]
-                    heapq.heappush(heap, r)
-
-        at = np.flatnonzero(nxt >= 0).astype(np.int32)
-        post(at, self.rank_of(sym[at], sym[at + 1]))
-        while heap:
-            r = heapq.heappop(heap)
-            lists = index.pop(r)
-            a, b, new = self.left[r], self.right[r], self.new[r]
-            p = lists[0] if len(lists) == 1 else np.concatenate(lists)
-            q = nxt[p]
-            live = (sym[p] == a) & (q >= 0)
-            live &= sym[q] == b
-            p = p[live]
-            if len(lists) > 1 or a == b:
-                p = np.unique(p)
-            if not len(p):
+            order = np.argsort(wave, kind="stable")
+            pos, wave = pos[order], wave[order]
+            cuts = np.flatnonzero(wave[1:] != wave[:-1]) + 1
+            starts = [0, *cuts.tolist(), len(pos)]
+            for w, i, j in zip(wave[starts[:-1]].tolist(), starts, starts[1:]):
+                index[w].append(pos[i:j])
+
+        post(np.flatnonzero(nxt >= 0).astype(np.int32))
+        for wave in range(self.waves):
+            lists, index[wave] = index[wave], []
+            if not lists:
                 continue
+            p = np.sort(np.concatenate(lists))
+            p = p[np.concatenate([[True], p[1:] != p[:-1]])]
+            p = p[(sym[p] >= 0) & (nxt[p] >= 0)]
             q = nxt[p]
-            if a == b and len(p) > 1:  # overlapping occurrences: every second one of each run, from the left
-                fresh = np.ones(len(p), bool)
-                fresh[1:] = q[:-1] != p[1:]
-                run = np.flatnonzero(fresh)
-                nth = np.arange(len(p)) - np.repeat(run, np.diff([*run, len(p)]))
-                p = p[nth % 2 == 0]
-                q = nxt[p]
-            nn = nxt[q]
-            sym[p] = new
-            sym[q] = -1
-            nxt[p] = nn
-            right = nn >= 0
-            prv[nn[right]] = p[right]
-            before = prv[p]
-            before = before[before >= 0]
-            after = p[right]
-            pos = np.concatenate([before, after])
-            if len(pos):
-                post(pos, self.rank_of(sym[pos], sym[nxt[pos]]))
+            rank = self.rank_of(sym[p], sym[q])
+            live = self.wave[rank] == wave
+            p, q, rank = p[live], q[live], rank[live]
+            merged = []
+            while len(p):
+                take, rest = self.choose(p, q, rank)
+                a, b = p[take], q[take]
+                nn = nxt[b]
+                sym[a] = self.new[rank[take]]
+                sym[b] = -1
+                nxt[a] = nn
+                right = nn >= 0
+                prv[nn[right]] = a[right]
+                merged.append(a)
+                p, q, rank = p[rest], q[rest], rank[rest]
+            if merged:
+                p = np.concatenate(merged)
+                before = prv[p]
+                post(np.concatenate([before[before >= 0], p[nxt[p] >= 0]]))
         alive = sym >= 0
         count = np.concatenate([[0], np.cumsum(alive)])
         return sym[alive], count[np.concatenate([[0], ends])]
@@ -173,124 +220,170 @@ class Bpe:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
 
 
+#: Classes of bytes: white space, letters, digits, other ASCII, apostrophe, beyond ASCII.
+_SPACE, _LETTER, _DIGIT, _OTHER, _QUOTE, _WIDE = range(6)
+_CLASS = np.full(256, _OTHER, np.uint8)
+_CLASS[[*range(9, 14), *range(0x1C, 0x21)]] = _SPACE
+_CLASS[[*range(65, 91), *range(97, 123)]] = _LETTER
+_CLASS[48:58] = _DIGIT
+_CLASS[ord("'")] = _QUOTE
+_CLASS[128:] = _WIDE
+
+
+def ragged(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """The positions of runs, one run after another."""
+    ends = np.cumsum(lens)
+    return np.repeat(starts - ends + lens, lens) + np.arange(ends[-1] if len(ends) else 0)
+
+
+def text_buffer(column) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes and end offsets of an Arrow string column; null is empty text."""
+    import pyarrow as pa
+
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    column = column.cast(pa.large_binary()).fill_null(b"")
+    n = len(column)
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + n + 1] if n else np.zeros(1, np.int64)
+    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
+    return data[offsets[0] : offsets[-1]], offsets[1:] - offsets[0]
+
+
 class ByteLevelEncoder:
     """Texts to ids for byte-level vocabularies without a normaliser.
 
-    A text is cut at single spaces into chunks; each cut is a pre-token border as long as no other white
-    space touches the space. The ids of distinct chunks are remembered, so a chunk that occurs often is
-    pre-tokenised and merged once. Texts where white space meets a space take the pattern as a whole.
+    Texts are cut before single spaces into pieces; each cut is a pre-token border as long as no other white space
+    touches the space. Distinct pieces of a part are pre-tokenised and merged once, and their ids gathered.
     """
 
-    def __init__(self, model: Bpe, memo: int = MEMO):
-        self.model, self.memo = model, memo
+    def __init__(self, model: Bpe, part: int = PART):
+        self.model, self.part = model, part
         self.pattern = regex.compile(BYTE_LEVEL_PATTERN)
         self.dtype = np.dtype("<u2" if model.size <= 1 << 16 else "<u4")
-        self.known: dict[str, bytes | None] = {}
+        self.heads = np.unique(np.array([t.encode()[0] for t in model.added], np.uint8))
 
     @staticmethod
-    def chunks(text: str) -> list:
-        """Keys of a text's chunks: the first one as a tuple, each other one without its leading space."""
-        out: list = text.split(" ")
-        out[0] = (out[0],)
-        return out
-
-    def learn(self, chunks: set) -> None:
-        """Encode chunks that are not known yet."""
-        names: list = []
-        ends: list[int] = []  # of each chunk's pre-tokens
+    def borders(buf: np.ndarray) -> np.ndarray:
+        """Positions of single spaces where a text may be cut; too few only make pieces longer."""
+        at = np.flatnonzero(buf == 0x20)
+        at = at[(at > 0) & (at < len(buf) - 1)]
+        before, after = buf[at - 1], buf[at + 1]
+        ok = (_CLASS[before] != _SPACE) & (_CLASS[after] != _SPACE)
+        # White space beyond ASCII: U+0085 and U+00A0 after a byte C2, and characters that begin with E1 to E3.
+        ok &= ~((after == 0xC2) & np.isin(buf[np.minimum(at + 2, len(buf) - 1)], (0x85, 0xA0))) & ~((after >= 0xE1) & (after <= 0xE3))
+        two, three = buf[np.maximum(at - 2, 0)], buf[np.maximum(at - 3, 0)]
+        ok &= ~((two == 0xC2) & ((before == 0x85) | (before == 0xA0))) & ~((before >= 0x80) & (before < 0xC0) & (three >= 0xE1) & (three <= 0xE3))
+        return at[ok]
+
+    def _distinct(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of distinct pieces, and where each one's begin and end."""
+        starts = ends - np.diff(ends, prepend=0)
+        kind = _CLASS[data]
+        lead = starts[(ends - starts > 1) & (data[starts] == 0x20)]
+        kind[lead] = kind[lead + 1]  # a leading space belongs to the class of the byte after it
+        hard = np.concatenate([[0], np.cumsum((kind == _SPACE) | (kind == _QUOTE) | (kind == _WIDE) | np.isin(data, self.heads))])
+        simple = hard[ends] == hard[starts]
+        # Simple pieces: pre-tokens end where the class changes.
+        lens = (ends - starts)[simple]
+        at = ragged(starts[simple], lens)
+        easy, kind, upto = data[at], kind[at], np.cumsum(lens)
+        cut = np.zeros(len(easy) + 1, bool)
+        cut[1:-1] = kind[1:] != kind[:-1]
+        cut[upto] = True
+        # Other pieces by the pattern, between special tokens; a special token is an empty word at first.
         words: list[bytes] = []
-        known, findall = self.known, self.pattern.findall
-        for c in chunks:
-            if type(c) is tuple:
-                head = c[0]
-                if head[-1:].isspace():
-                    known[c] = None
-                    continue
-                words += [w.encode("utf-8", "surrogatepass") for w in findall(head)]
-            elif c.isalpha():
-                words.append((" " + c).encode("utf-8", "surrogatepass"))
-            elif not c or c[0].isspace() or c[-1].isspace():
-                known[c] = None  # white space touches the cut
-                continue
-            else:
-                words += [w.encode("utf-8", "surrogatepass") for w in findall(" " + c)]
-            names.append(c)
-            ends.append(len(words))
-        ids, at = self.model.encode_words(words)
-        raw = ids.astype(self.dtype).tobytes()
-        i = 0
-        for c, j in zip(names, (at[ends] * self.dtype.itemsize).tolist() if ends else []):
-            known[c] = raw[i:j]
-            i = j
-
-    def encode_batch(self, texts: list[str | None]) -> Iterator[np.ndarray]:
-        """The ids of each text; null is empty text."""
-        known = self.known
-        special = self.model.special
-        step = 0
-        while step < len(texts):
-            unseen: set = set()
-            held = []
-            for t in texts[step:]:
-                parts = None
-                if t and not (special and special.search(t)):
-                    parts = self.chunks(t)
-                    unseen |= set(parts).difference(known)
-                held.append(parts)
-                if len(unseen) >= self.memo // 8:
-                    break
-            if len(known) + len(unseen) > self.memo:  # the memo starts anew, so nothing of the run is known
-                known.clear()
-                unseen = {c for parts in held if parts for c in parts}
-            self.learn(unseen)
-            for k, parts in enumerate(held):
-                if parts is None:
-                    yield self._whole(texts[step + k]) if texts[step + k] else np.zeros(0, self.dtype)
-                    continue
-                got = list(map(known.__getitem__, parts))
-                held[k] = parts = None
-                yield self._whole(texts[step + k]) if None in got else np.frombuffer(b"".join(got), self.dtype)
-            step += len(held)
-
-    def _whole(self, text: str) -> np.ndarray:
-        """By the pattern over the whole text, between special tokens."""
-        out = []
-        at = 0
-        for m in [*(self.model.special.finditer(text) if self.model.special else []), None]:
-            pre = self.pattern.findall(text[at : m.start() if m else len(text)])
-            out.append(self.model.encode_words([w.encode("utf-8", "surrogatepass") for w in pre])[0])
-            if m:
-                out.append(np.array([self.model.added[m[0]]]))
+        marks: list[tuple[int, int]] = []
+        until = []
+        raw, findall, special = data.tobytes(), self.pattern.findall, self.model.special
+        for i, j in zip(starts[~simple].tolist(), ends[~simple].tolist()):
+            text = raw[i:j].decode("utf-8", "surrogatepass")
+            at = 0
+            for m in special.finditer(text) if special else ():
+                words += [w.encode("utf-8", "surrogatepass") for w in findall(text[at : m.start()])] + [b""]
+                marks.append((len(words) - 1, self.model.added[m[0]]))
                 at = m.end()
-        return np.concatenate(out).astype(self.dtype)
+            words += [w.encode("utf-8", "surrogatepass") for w in findall(text[at:])]
+            until.append(len(words))
+        word_ends = np.concatenate([np.flatnonzero(cut), len(easy) + np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))]).astype(np.int64)
+        n_easy = len(word_ends) - len(words)
+        ids, offsets = self.model.encode_bytes(np.concatenate([easy, np.frombuffer(b"".join(words), np.uint8)]), word_ends)
+        if marks:
+            which = n_easy + np.array([k for k, _ in marks])
+            ids = np.insert(ids, offsets[which], [i for _, i in marks])
+            more = np.zeros(len(offsets), np.int64)
+            more[which + 1] = 1
+            offsets = offsets + np.cumsum(more)
+        last = np.zeros(len(ends), np.int64)
+        last[simple] = np.cumsum(cut)[upto]
+        last[~simple] = n_easy + np.array(until, np.int64)
+        first = np.zeros(len(ends), np.int64)
+        first[simple] = np.concatenate([[0], last[simple]])[:-1]
+        first[~simple] = np.concatenate([[n_easy], last[~simple]])[:-1]
+        return ids, offsets[first], offsets[last]
+
+    def _part(self, buf: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of a part, and how many stand before each of the ``ends``, which are borders as well."""
+        import pyarrow as pa
 
+        begins = np.zeros(len(buf) + 1, bool)
+        begins[0] = begins[self.borders(buf)] = begins[ends] = True
+        begins[-1] = False
+        starts = np.flatnonzero(begins)
+        pieces = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(np.append(starts, len(buf))), pa.py_buffer(buf)]).dictionary_encode()
+        which = pieces.indices.to_numpy()
+        ids, first, last = self._distinct(*text_buffer(pieces.dictionary))
+        lens = (last - first)[which]
+        return ids[ragged(first[which], lens)].astype(self.dtype), np.concatenate([[0], np.cumsum(lens)])[np.searchsorted(starts, ends)]
+
+    def encode(self, buf: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts that lie one after another in ``buf`` (UTF-8) up to ``ends``, and where each text's ids end."""
+        texts, ends = ends, ends[np.diff(ends, prepend=0) > 0]
+        out, upto = [np.zeros(0, self.dtype)], [np.zeros(1, np.int64)]
+        at = n = 0
+        while at < len(buf):
+            stop, size = len(buf), self.part
+            while at + size < len(buf):  # a part ends at a border or a text's end
+                i, j = np.searchsorted(ends, [at, at + size], side="right")
+                border = self.borders(buf[at : at + size])[-1:]
+                if j > i or len(border):
+                    stop = max([*ends[i:j][-1:].tolist(), *(at + border).tolist()])
+                    break
+                size *= 2
+            i, j = np.searchsorted(ends, [at, stop], side="right")
+            ids, before = self._part(buf[at:stop], ends[i:j] - at)
+            out.append(ids)
+            upto.append(before + n)
+            n += len(ids)
+            at = stop
+        return np.concatenate(out), np.concatenate(upto)[np.searchsorted(ends, texts, side="right")]
 
-_ENCODERS: dict = {}
+    def encode_batch(self, texts: list[str | None]) -> Iterator[np.ndarray]:
+        """The ids of each text; null is empty text."""
+        import pyarrow as pa
 
+        return self.encode_column(pa.array(texts, pa.large_string()))
 
-def worker_encoder(kind, model: Bpe):
-    """One encoder a worker process and kind; its memo outlives batches and tasks."""
-    if kind not in _ENCODERS:
-        _ENCODERS[kind] = kind(model)
-    return _ENCODERS[kind]
+    def encode_column(self, column) -> Iterator[np.ndarray]:
+        """The ids of each text of an Arrow column."""
+        ids, ends = self.encode(*text_buffer(column))
+        return (ids[i:j] for i, j in zip([0, *ends.tolist()], ends.tolist()))
 
 
 def encode(docs: DataFrame, model: Bpe, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows ``(id, ids array<int>)``: every whole text encoded; null and empty texts give no ids.
 
-    Repeated rows stay; other columns are ignored, whatever their names.
+    Repeated rows stay; other columns are ignored, whatever their names. Texts of any length are encoded in parts of
+    ``PART`` bytes; beside its text and ids a long one takes no more memory than a part.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the vocabulary
 
     def run(batches):
         import pyarrow as pa
 
-        enc = worker_encoder(ByteLevelEncoder, shared.value)
+        enc = ByteLevelEncoder(shared.value)
         for b in batches:
-            got = list(enc.encode_batch(b.column(1).to_pylist()))
-            ids = pa.array(np.concatenate([np.zeros(0, np.int32), *got]).astype(np.int32))
-            ends = np.cumsum([0, *map(len, got)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends), ids)], ["id", "ids"])
+            ids, ends = enc.encode(*text_buffer(b.column(1)))
+            ends = pa.array(np.concatenate([[0], ends]).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(ends, pa.array(ids.astype(np.int32)))], ["id", "ids"])
 
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     return src.mapInArrow(run, "id long, ids array<int>")
@@ -320,16 +413,15 @@ def round_trip(docs: DataFrame, model: Bpe, id_col: str = "doc_id", text_col: st
     def run(batches):
         import pyarrow as pa
 
-        enc = worker_encoder(ByteLevelEncoder, shared.value)
-        sha, decimal, bytes_of = hashlib.sha256, enc.model.decimal, enc.model.bytes_of
+        enc = ByteLevelEncoder(shared.value)
+        sha, decimal, bytes_of = hashlib.sha256, enc.model.decimal.__getitem__, enc.model.bytes_of.__getitem__
         for b in batches:
             n, a, d = [], [], []
-            for ids in enc.encode_batch(b.column(1).to_pylist()):
+            for ids in enc.encode_column(b.column(1)):
                 ids = ids.tolist()
                 n.append(len(ids))
-                a.append(sha(",".join([decimal[i] for i in ids]).encode()).hexdigest())
-                raw = b"".join([bytes_of[i] for i in ids])
-                d.append(sha(raw.decode("utf-8", "replace").encode()).hexdigest())
+                a.append(sha(",".join(map(decimal, ids)).encode()).hexdigest())
+                d.append(sha(b"".join(map(bytes_of, ids)).decode("utf-8", "replace").encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))

@@ -9,17 +9,19 @@ from __future__ import annotations
 
 import unicodedata
 
+import numpy as np
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skarn.llm.bpe import Bpe, worker_encoder
+from skarn.llm.bpe import PART, Bpe, text_buffer
 
 #: Fixed value: the pre-token pattern of the public vocabulary.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
-#: Entries of a worker's memo of chunks.
-MEMO = 250_000
+#: ASCII white space.
+_SPACE = np.zeros(256, bool)
+_SPACE[[*range(9, 14), 32]] = True
 
 
 def whole_tokens(model: Bpe) -> frozenset[str]:
@@ -37,14 +39,12 @@ def whole_tokens(model: Bpe) -> frozenset[str]:
 
 
 class WordCounter:
-    """Counts of tokens of texts; remembers those of white-space chunks."""
+    """Counts of tokens of texts; distinct chunks between white space are counted once a part."""
 
-    def __init__(self, model_and_proven: tuple[Bpe, frozenset[str]], memo: int = MEMO):
-        self.model, self.proven = model_and_proven
-        self.memo = memo
+    def __init__(self, model: Bpe, proven: frozenset[str], part: int = PART):
+        self.model, self.proven, self.part = model, proven, part
         self.pattern = regex.compile(WORD_PATTERN)
         self.space = regex.compile(r"\s+")
-        self.known: dict[str, int] = {}
         self.merged = 0  # pre-tokens that needed merging
 
     @staticmethod
@@ -52,69 +52,91 @@ class WordCounter:
         """NFC, then lower case character by character (no final sigma)."""
         return unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower()
 
-    def learn(self, chunks: set[str]) -> None:
+    def pre_tokens(self, chunk: str) -> tuple[list[str], int]:
+        """Pre-tokens of a chunk that may hold special tokens and white space beyond ASCII, and the number of the former."""
+        special = self.model.special
+        parts = special.split(chunk) if special and special.search(chunk) else [chunk]
+        return [w for p in parts for c in self.space.split(p) for w in self.pattern.findall(self.normal(c))], len(parts) - 1
+
+    def sizes(self, chunks: list[str]) -> np.ndarray:
+        """Tokens of each chunk."""
+        out = np.ones(len(chunks), np.int64)
         rest: list[bytes] = []
-        spans: list[tuple[str, int, int]] = []
-        known, proven, findall = self.known, self.proven, self.pattern.findall
-        for c in chunks:
-            low = c.lower() if c.isascii() else self.normal(c)
-            if low in proven:
-                known[c] = 1
-                continue
-            whole, start = 0, len(rest)
-            for w in [low] if low.isalpha() else findall(low):
+        which, ends = [], []
+        proven = self.proven
+        for k, c in enumerate(chunks):
+            if c.isascii() and c.isalpha():
+                words, whole = [c.lower()], 0
+            else:
+                words, whole = self.pre_tokens(c)
+            start = len(rest)
+            for w in words:
                 if w in proven:
                     whole += 1
                 else:
                     rest.append(w.encode("utf-8", "surrogatepass"))
-            known[c] = whole
+            out[k] = whole
             if len(rest) > start:
-                spans.append((c, start, len(rest)))
+                which.append(k)
+                ends.append(len(rest))
         if rest:
-            _, at = self.model.encode_words(rest)
-            at = at.tolist()
-            for c, i, j in spans:
-                known[c] += at[j] - at[i]
+            at = self.model.encode_words(rest)[1]
+            out[which] += np.diff(at[np.array([0, *ends])])
             self.merged += len(rest)
+        return out
 
-    def pieces(self, text: str) -> tuple[list[str], int]:
-        """White-space chunks of a text, and the number of special tokens between them."""
-        if not (self.model.special and self.model.special.search(text)):
-            return self.chunks(text), 0
-        parts = self.model.special.split(text)
-        return [c for p in parts for c in self.chunks(p)], len(parts) - 1
+    def _part(self, buf: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Tokens before each of the ``ends``, at which chunks end."""
+        import pyarrow as pa
 
-    def chunks(self, text: str) -> list[str]:
-        """Cut at Unicode white space; ``str.split`` would also cut at the separators U+001C to U+001F, which are words here."""
-        if "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text:
-            return self.space.split(text)
-        return text.split()
+        word = ~_SPACE[buf]
+        first = word.copy()
+        first[1:] &= ~word[:-1]
+        inner = ends[ends < len(buf)]
+        first[inner] = word[inner]
+        starts = np.flatnonzero(first)
+        # A chunk is stored with the white space behind it: pieces then cover the buffer without a gap.
+        if not len(starts):
+            return np.zeros(len(ends), np.int64)
+        offsets = np.append(starts, len(buf))
+        pieces = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(buf)]).dictionary_encode()
+        sizes = self.sizes([x.decode("utf-8", "surrogatepass").strip(" \t\n\r\x0b\x0c") for x in pieces.dictionary.to_pylist()])
+        upto = np.concatenate([[0], np.cumsum(sizes[pieces.indices.to_numpy()])])
+        return upto[np.searchsorted(starts, ends)]
+
+    def count(self, buf: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Tokens of texts that lie one after another in ``buf`` (UTF-8) up to ``ends``."""
+        texts, ends = ends, ends[np.diff(ends, prepend=0) > 0]
+        upto = [np.zeros(1, np.int64)]
+        at = n = 0
+        while at < len(buf):
+            stop, size = len(buf), self.part
+            while at + size < len(buf):  # a part ends at white space or a text's end
+                i, j = np.searchsorted(ends, [at, at + size], side="right")
+                space = np.flatnonzero(_SPACE[buf[at + 1 : at + size]])[-1:] + 1
+                if j > i or len(space):
+                    stop = max([*ends[i:j][-1:].tolist(), *(at + space).tolist()])
+                    break
+                size *= 2
+            i, j = np.searchsorted(ends, [at, stop], side="right")
+            inside = np.append(ends[i:j] - at, stop - at)
+            before = self._part(buf[at:stop], inside) + n
+            upto.append(before[:-1])
+            n = int(before[-1])
+            at = stop
+        return np.diff(np.concatenate(upto)[np.searchsorted(ends, texts, side="right")], prepend=0)
 
     def count_batch(self, texts: list[str | None]) -> list[int]:
-        out: list[int] = []
-        known = self.known
-        step = 0
-        while step < len(texts):
-            unseen: set[str] = set()
-            held = []
-            for t in texts[step:]:
-                held.append(got := self.pieces(t or ""))
-                unseen |= set(got[0]).difference(known)
-                if len(unseen) >= self.memo // 8:
-                    break
-            if len(known) + len(unseen) > self.memo:
-                known.clear()
-                unseen = {c for parts, _ in held for c in parts}
-            self.learn(unseen)
-            out += [sum(map(known.__getitem__, parts)) + extra for parts, extra in held]
-            step += len(held)
-        return out
+        import pyarrow as pa
+
+        return self.count(*text_buffer(pa.array(texts, pa.large_string()))).tolist()
 
 
 def count_tokens(docs: DataFrame, model: Bpe, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_bytes, n_tokens, over_limit`` for every whole text.
 
-    Null text counts as empty: no bytes, no tokens. Repeated rows stay; other columns are ignored.
+    Null text counts as empty: no bytes, no tokens. Repeated rows stay; other columns are ignored. Texts of any length
+    are counted in parts of ``PART`` bytes.
     """
     shared = docs.sparkSession.sparkContext.broadcast((model, whole_tokens(model)))  # bounded by the vocabulary
 
@@ -122,9 +144,9 @@ def count_tokens(docs: DataFrame, model: Bpe, limit: int = 2048, id_col: str = "
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        counter = worker_encoder(WordCounter, shared.value)
+        counter = WordCounter(*shared.value)
         for b in batches:
-            n = counter.count_batch(b.column(1).to_pylist())
+            n = counter.count(*text_buffer(b.column(1)))
             size = pc.fill_null(pc.binary_length(b.column(1)), 0).cast(pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0), size, pa.array(n, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 

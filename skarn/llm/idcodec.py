@@ -4,288 +4,54 @@ Format. A row of the table is a frame: whole documents in ascending id order, wi
 a frame are cut into blocks of ``BLOCK`` ids. Each block is coded on its own from a fresh model and carries the
 CRC-32 of its ids, so any block can be read without the others and damage is found where it is.
 
-Model. Order 2 (hash of the last two ids) and order 1 (hash of the last id) each predict one id, with a
-confidence; order 0 predicts all ids the block has had so far, and one symbol for ids new to it, which are then
-coded with 16 bits. The three predictions are mixed: order 2 and order 1 get shares of the range that follow how
-often predictions of that confidence have come true in the block, order 0 gets the rest. Its frequencies are
-counted anew at positions that grow geometrically. A range coder of 48 bits codes each id within its share. All
-arithmetic is on integers, so coder and decoder agree on any machine. Many blocks are coded side by side, one
-vector lane each.
+Model. Order 2 and order 1 predict from counts of the ids that followed the last two ids and the last one in the block (of
+the 4 and the 12 followers that lead), order 0 from counts of all ids so far, renewed with every id. The three
+distributions are mixed; the weights are learned within the block, for each state of confidence. A range coder
+codes each id within its share of the mix; what the candidates leave stands for all other ids, which order 0 codes alone,
+and ids that are new to the block follow as plain bits. Any id below 2**32 - 1 can be coded. All arithmetic is on integers, so
+coder and decoder agree on any machine. They step from id to id and run in the JVM (``IdCoder.java``).
 """
 
 from __future__ import annotations
 
 import zlib
+from collections.abc import Callable
+from pathlib import Path
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from skarn.llm.bpe import Bpe, ByteLevelEncoder, worker_encoder
+from skarn.llm import jvm
+from skarn.llm.bpe import Bpe, ByteLevelEncoder, text_buffer
 from skarn.llm.common import durable
 
 BLOCK = 8192
 #: Ids after which a frame ends, at the next document.
-FRAME = 512 * BLOCK
-#: Slots of a lane's order-1 and order-2 tables.
-SLOTS = 1 << 12
-#: Blocks coded side by side; bounds memory.
-LANES = 512
-#: Bits of a share, and of an order-0 frequency.
-BITS = 15
-ONE = 1 << BITS
-CONFIDENCES = 16
+FRAME = 128 * BLOCK
+_SOURCE = Path(__file__).with_name("IdCoder.java")
 
-_U = np.uint64
-_TOP = _U(1 << 32)
-_MASK = _U((1 << 32) - 1)
 
+def encoder(spark: SparkSession, block: int = BLOCK) -> Callable[[Column], Column]:
+    """A column function: ids as little-endian unsigned 32-bit integers to their blocks, one after another.
 
-def _refreshes(size: int) -> set[int]:
-    """Positions at which order 0 is counted anew."""
-    out, t = set(), 64
-    while t < size:
-        out.add(t)
-        t = t * 3 // 2
-    return out
-
-
-class _Model:
-    """The model of ``lanes`` blocks; coder and decoder run the same steps."""
-
-    def __init__(self, lanes: int, size: int, inverse: bool):
-        self.lanes, self.size = lanes, size
-        lane = np.arange(lanes, dtype=np.int64)
-        self.lane, self.both = lane, np.concatenate([lane, lane + lanes])
-        self.table_at = self.both * SLOTS
-        self.guess = np.zeros(2 * lanes * SLOTS, np.uint16)
-        self.sure = np.zeros(2 * lanes * SLOTS, np.uint8)
-        self.share = np.tile((np.arange(CONFIDENCES, dtype=np.int32) * (ONE // 20) + 200), 2 * lanes)
-        self.share_at = self.both * CONFIDENCES
-        self.slot = np.zeros((lanes, ONE), np.uint16)  # order 0: place of the symbol that owns a frequency
-        self.ids = np.zeros((lanes, size + 1), np.uint16)
-        self.starts = np.zeros((lanes, size + 2), np.int32)
-        self.starts[:, 1:] = ONE
-        self.known = np.zeros(lanes, np.int64)  # symbols; the one after them stands for a new id
-        self.inverse = np.zeros(lanes << 16, np.uint16) if inverse else None
-        self.refreshes = _refreshes(size)
-        self.one = self.two = np.zeros(lanes, np.int64)
-
-    def count(self, t: int, past: np.ndarray) -> None:
-        """Order 0 from the first ``t`` ids of each lane; ``past``: (size, lanes)."""
-        keys = (past[:t].astype(np.int64) + (self.lane << 16)).ravel()
-        keys.sort()
-        new = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-        n = np.diff(np.concatenate([new, [len(keys)]]))
-        keys = keys[new]
-        lane, ids = keys >> 16, keys & 0xFFFF
-        first = np.searchsorted(lane, self.lane)
-        known = np.bincount(lane, minlength=self.lanes)
-        single = np.bincount(lane[n == 1], minlength=self.lanes)
-        escape = np.clip((single << BITS) // t, 32, ONE >> 1)
-        room = ONE - escape - known
-        freq = 1 + n * room[lane] // t
-        given = np.add.reduceat(freq, first)
-        escape = ONE - given
-        place = np.arange(len(ids)) - first[lane]
-        ends = np.cumsum(freq)
-        start = ends - freq - (np.concatenate([[0], ends])[first])[lane]
-        self.ids[lane, place] = ids
-        self.starts[lane, place] = start
-        self.starts[self.lane, known] = ONE - escape
-        self.starts[self.lane, known + 1] = ONE
-        every = np.concatenate([freq, escape])
-        where = np.concatenate([lane, self.lane])
-        places = np.concatenate([place, known])
-        order = np.argsort(where, kind="stable")
-        self.slot = np.repeat(places[order].astype(np.uint16), every[order]).reshape(self.lanes, ONE)
-        self.known = known
-        if self.inverse is not None:
-            self.inverse[keys] = place + 1
-
-    def predict(self) -> None:
-        """Guesses of orders 1 and 2 and their shares."""
-        h1 = (self.one + 1) * 0x9E3779B1
-        h2 = (h1 ^ ((self.two + 1) * 0x85EBCA6B)) * 0xC2B2AE35
-        self.at = self.table_at + ((np.concatenate([h2, h1]) >> 13) & (SLOTS - 1))
-        self.now = self.guess[self.at]
-        self.conf = self.sure[self.at]
-        self.cell = self.share_at + self.conf
-        self.odds = self.share[self.cell]
-        n = self.lanes
-        self.g2, self.g1 = self.now[:n], self.now[n:]
-        self.w2 = self.odds[:n].astype(np.int64)
-        w1 = (self.odds[n:] * (ONE - self.w2)) >> BITS
-        w1[self.g1 == self.g2] = 0
-        self.w = self.w2 + w1
-
-    def update(self, ids: np.ndarray) -> None:
-        hit = self.now == np.concatenate([ids, ids])
-        self.share[self.cell] = self.odds + ((hit * (ONE - 1024) + 128 - self.odds) >> 5)
-        conf = np.where(hit, np.minimum(self.conf + 1, CONFIDENCES - 1), self.conf >> 1)
-        swap = ~hit & (self.conf <= 1)
-        self.sure[self.at] = conf
-        at = self.at[swap]
-        self.guess[at] = np.concatenate([ids, ids])[swap]
-        self.one, self.two = ids, self.one
-
-
-def _spans(n: int):
-    for i in range(0, n, LANES):
-        yield i, min(n, i + LANES)
-
-
-def encode_blocks(ids: np.ndarray, block: int = BLOCK) -> list[bytes]:
-    """Code ids (below 65535) in independent blocks; each result is the CRC-32 of its ids, then the code."""
-    if len(ids) and int(ids.max()) >= 0xFFFF:
-        raise ValueError("ids must be below 65535")
-    out: list[bytes] = []
-    for i, j in _spans(-(-len(ids) // block)):
-        part = ids[i * block : j * block]
-        size = min(block, len(part))
-        full = np.zeros((j - i) * size, np.int64)
-        full[: len(part)] = part
-        for k, code in enumerate(_encode(full.reshape(j - i, size))):
-            crc = zlib.crc32(part[k * block : (k + 1) * block].astype("<u4").tobytes())
-            out.append(crc.to_bytes(4, "little") + code)
-    return out
-
-
-def _encode(ids: np.ndarray) -> list[bytes]:
-    """A short last lane is filled up with zeros, which the reader drops."""
-    lanes, size = ids.shape
-    ids = np.ascontiguousarray(ids.T)
-    model = _Model(lanes, size, inverse=True)
-    lane = model.lane
-    words = np.zeros((lanes, size * 3 + 8), np.uint16)
-    used = np.zeros(lanes, np.int64)
-    low, rng = np.zeros(lanes, _U), np.full(lanes, 1 << 48, _U)
-
-    def put(at: np.ndarray, start: np.ndarray, freq: np.ndarray, bits: int) -> None:
-        """Narrow the range of the lanes ``at`` to ``start`` and ``freq`` of ``2**bits``."""
-        r = rng[at] >> _U(bits)
-        new = low[at] + r * start.astype(_U)
-        over = new >> _U(48) > 0
-        if over.any():
-            new[over] &= _U((1 << 48) - 1)
-            who = at[over]
-            pos = used[who] - 1
-            while len(who):  # carry into the words that are out already
-                words[who, pos] += np.uint16(1)
-                again = words[who, pos] == 0
-                who, pos = who[again], pos[again] - 1
-        r *= freq.astype(_U)
-        while True:
-            small = np.flatnonzero(r < _TOP)
-            if not len(small):
-                break
-            who = at[small]
-            words[who, used[who]] = new[small] >> _U(32)
-            used[who] += 1
-            new[small] = (new[small] & _MASK) << _U(16)
-            r[small] <<= _U(16)
-        low[at], rng[at] = new, r
-
-    for t in range(size):
-        if t in model.refreshes:
-            model.count(t, ids)
-        now = ids[t]
-        model.predict()
-        hit2 = now == model.g2
-        hit1 = (now == model.g1) & ~hit2
-        place = model.inverse[(lane << 16) + now].astype(np.int64) - 1
-        new = place < 0
-        place = np.where(new, model.known, place)
-        start = model.starts[lane, place]
-        freq = model.starts[lane, place + 1] - start
-        rest = ONE - model.w
-        start = np.where(hit2, 0, np.where(hit1, model.w2 << BITS, (model.w << BITS) + start * rest))
-        freq = np.where(hit2, model.w2 << BITS, np.where(hit1, (model.w - model.w2) << BITS, freq * rest))
-        put(lane, start, freq, 2 * BITS)
-        esc = np.flatnonzero(new & ~hit1 & ~hit2)
-        if len(esc):
-            put(esc, now[esc], np.ones(len(esc), np.int64), 16)
-        model.update(now)
-    tail = np.stack([(low >> _U(s)) & _U(0xFFFF) for s in (32, 16, 0)], 1).astype("<u2")
-    return [words[k, : used[k]].astype("<u2").tobytes() + tail[k].tobytes() for k in range(lanes)]
-
-
-def decode_blocks(codes: list[bytes], n_ids: int, block: int = BLOCK) -> np.ndarray:
-    """The ids of consecutive blocks; a block whose checksum does not hold raises ``ValueError``."""
-    out = np.zeros(n_ids, np.uint16)
-    for i, j in _spans(len(codes)):
-        size = min(block, n_ids - i * block)
-        got = _decode([c[4:] for c in codes[i:j]], size)
-        for k in range(i, j):
-            ids = got[k - i, : min(block, n_ids - k * block)]
-            if zlib.crc32(ids.astype("<u4").tobytes()) != int.from_bytes(codes[k][:4], "little"):
-                raise ValueError(f"block {k} is damaged")
-            out[k * block : k * block + len(ids)] = ids
-    return out
-
-
-def _decode(codes: list[bytes], size: int) -> np.ndarray:
-    lanes = len(codes)
-    model = _Model(lanes, size, inverse=False)
-    lane = model.lane
-    width = max(len(c) // 2 for c in codes) + 4
-    words = np.zeros((lanes, width), np.uint16)
-    for k, c in enumerate(codes):
-        words[k, : len(c) // 2] = np.frombuffer(c[: len(c) // 2 * 2], "<u2")
-    code = (words[:, 0].astype(_U) << _U(32)) | (words[:, 1].astype(_U) << _U(16)) | words[:, 2].astype(_U)
-    used = np.full(lanes, 3, np.int64)
-    rng = np.full(lanes, 1 << 48, _U)
-    out = np.zeros((size, lanes), np.int64)
+    ``block``, the most ids of one, is a power of two up to 32768.
+    """
+    return jvm.function(spark, _SOURCE, "IdCoder", reads=False, block=block)
 
-    def take(at: np.ndarray, left: np.ndarray, width_now: np.ndarray) -> None:
-        """The range of the lanes ``at`` becomes ``width_now``, their code ``left`` within it."""
-        while True:
-            small = np.flatnonzero(width_now < _TOP)
-            if not len(small):
-                break
-            who = at[small]
-            left[small] = (left[small] << _U(16)) | words[who, np.minimum(used[who], width - 1)]
-            used[who] += 1
-            width_now[small] <<= _U(16)
-        code[at], rng[at] = left, width_now
 
-    most = _U((1 << 2 * BITS) - 1)
-    for t in range(size):
-        if t in model.refreshes:
-            model.count(t, out)
-        model.predict()
-        r = rng >> _U(2 * BITS)
-        v = np.minimum(code // r, most).astype(np.int64)
-        u = v >> BITS
-        hit2 = u < model.w2
-        hit1 = (u < model.w) & ~hit2
-        rest = ONE - model.w
-        x = np.clip((v - (model.w << BITS)) // rest, 0, ONE - 1)
-        place = model.slot[lane, x].astype(np.int64)
-        place = np.where(model.known > 0, place, 0)
-        start = model.starts[lane, place]
-        freq = model.starts[lane, place + 1] - start
-        ids = model.ids[lane, place].astype(np.int64)
-        start = np.where(hit2, 0, np.where(hit1, model.w2 << BITS, (model.w << BITS) + start * rest))
-        freq = np.where(hit2, model.w2 << BITS, np.where(hit1, (model.w - model.w2) << BITS, freq * rest))
-        take(lane, code - r * start.astype(_U), r * freq.astype(_U))
-        now = np.where(hit2, model.g2, np.where(hit1, model.g1, ids)).astype(np.int64)
-        esc = np.flatnonzero((place == model.known) & ~hit1 & ~hit2)
-        if len(esc):
-            r = rng[esc] >> _U(16)
-            got = np.minimum(code[esc] // r, _U(0xFFFF))
-            take(esc, code[esc] - r * got, r.copy())
-            now[esc] = got.astype(np.int64)
-        out[t] = now
-        model.update(now)
-    return np.ascontiguousarray(out.T).astype(np.uint16)
+def decoder(spark: SparkSession, block: int = BLOCK) -> Callable[[Column], Column]:
+    """The way back; a block whose checksum does not hold raises an error that names it."""
+    return jvm.function(spark, _SOURCE, "IdCoder", reads=True, block=block)
 
 
-def write_ids(docs: DataFrame, model: Bpe, end_id: int | None = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def write_ids(docs: DataFrame, model: Bpe, end_id: int | None = 2, id_col: str = "doc_id", text_col: str = "text", frame_ids: int = FRAME) -> DataFrame:
     """Encode every whole text, append ``end_id``, and write the file in ascending id order; returns the table read back.
 
-    A row is a frame: ``part`` and ``frame`` give its place in the file, ``doc_ids`` and ``lens`` its documents,
-    ``blocks`` its coded ids. Null text counts as empty; a null id sorts first; rows with equal ids stay next to one another.
+    A row is a frame: ``part`` and ``frame`` give its place in the file, ``at`` the ids of its part before it, ``doc_ids`` and
+    ``lens`` its documents, ``coded`` its blocks. Null text counts as empty; a null id sorts first; rows with equal ids stay
+    next to one another and, as order asks for it, in one part. A document is never split: a long one makes a long frame,
+    which takes four bytes an id in the JVM.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the vocabulary
 
@@ -293,27 +59,28 @@ def write_ids(docs: DataFrame, model: Bpe, end_id: int | None = 2, id_col: str =
         import pyarrow as pa
         from pyspark import TaskContext
 
-        enc = worker_encoder(ByteLevelEncoder, shared.value)
-        part, frame = TaskContext.get().partitionId(), 0
-        tail = np.array([] if end_id is None else [end_id], np.int64)
+        enc = ByteLevelEncoder(shared.value)
+        part, frame, at, size = TaskContext.get().partitionId(), 0, 0, 0
+        schema = pa.schema([("part", pa.int32()), ("frame", pa.int32()), ("at", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lens", pa.list_(pa.int64())), ("raw", pa.binary())])
+        tail = np.array([] if end_id is None else [end_id], "<u4")
         doc_ids: list = []
         held: list[np.ndarray] = []
-        size = 0
 
         def close():
-            ids = np.concatenate([*held, np.zeros(0, np.uint16)])
-            lens = list(map(len, held))
-            rows = {"part": [part], "frame": [frame], "doc_ids": [list(doc_ids)], "lens": [lens], "blocks": [encode_blocks(ids)]}
-            return pa.RecordBatch.from_pydict(rows, pa.schema([("part", pa.int32()), ("frame", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("lens", pa.list_(pa.int64())), ("blocks", pa.list_(pa.binary()))]))
+            rows = {"part": [part], "frame": [frame], "at": [at], "doc_ids": [doc_ids], "lens": [list(map(len, held))], "raw": [np.concatenate(held).tobytes()]}
+            return pa.RecordBatch.from_pydict(rows, schema)
 
         for b in batches:
-            for doc, ids in zip(b.column(0).to_pylist(), enc.encode_batch(b.column(1).to_pylist())):
+            ids, ends = enc.encode(*text_buffer(b.column(1)))
+            start = 0
+            for doc, end in zip(b.column(0).to_pylist(), ends.tolist()):
                 doc_ids.append(doc)
-                held.append(np.concatenate([ids, tail]).astype(np.uint16))
+                held.append(np.concatenate([ids[start:end], tail]).astype("<u4"))
+                start = end
                 size += len(held[-1])
-                if size >= FRAME:
+                if size >= frame_ids:
                     yield close()
-                    doc_ids, held, size, frame = [], [], 0, frame + 1
+                    doc_ids, held, at, size, frame = [], [], at + size, 0, frame + 1
         if doc_ids:
             yield close()
 
@@ -321,38 +88,36 @@ def write_ids(docs: DataFrame, model: Bpe, end_id: int | None = 2, id_col: str =
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     n = max(src.rdd.getNumPartitions(), int(spark.conf.get("spark.sql.shuffle.partitions")))
     ordered = src.repartitionByRange(n, F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), "text")
-    coded = ordered.mapInArrow(run, "part int, frame int, doc_ids array<long>, lens array<long>, blocks array<binary>")
-    return durable(coded, "token-ids", codec="none")
+    frames = ordered.mapInArrow(run, "part int, frame int, at long, doc_ids array<long>, lens array<long>, raw binary")
+    return durable(frames.select("part", "frame", "at", "doc_ids", "lens", encoder(spark)(F.col("raw")).alias("coded")), "token-ids", codec="none")
 
 
 def read_ids(frames: DataFrame, digest: bool = False) -> DataFrame:
     """Read a file that :func:`write_ids` wrote: ``doc_id, start, n_tokens`` and the ``ids``, or their CRC-32 if ``digest``.
 
-    ``start`` counts the ids of all documents before. Sums of frames give it: a window within each part of the
-    file, and one row a part across parts. A damaged block raises an error that names it.
+    ``start`` counts the ids of all documents before: those of the parts before, which one row a part adds up, and
+    those of the part itself. A damaged block raises an error that names it.
     """
     what = "ids_crc32 long" if digest else "ids array<int>"
-    sized = frames.withColumn("size", F.aggregate("lens", F.lit(0).cast("long"), lambda a, x: a + x))
-    parts = sized.groupBy("part").agg(F.sum("size").alias("part_size"))
+    size = F.aggregate("lens", F.lit(0).cast("long"), lambda a, x: a + x)
+    parts = frames.select("part", size.alias("size")).groupBy("part").agg(F.sum("size").alias("size"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.withColumn("part_base", F.coalesce(F.sum("part_size").over(before), F.lit(0))).select("part", "part_base")
-    within = Window.partitionBy("part").orderBy("frame").rowsBetween(Window.unboundedPreceding, -1)
-    bases = sized.select("part", "frame", "size").withColumn("base", F.coalesce(F.sum("size").over(within), F.lit(0)))
-    bases = bases.join(parts, "part").select("part", "frame", (F.col("base") + F.col("part_base")).alias("base"))
+    parts = parts.select("part", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("base"))
 
     def run(batches):
         import pyarrow as pa
 
         for b in batches:
-            for doc_ids, lens, blocks, base in zip(*(b.column(k).to_pylist() for k in ("doc_ids", "lens", "blocks", "base"))):
-                ids = decode_blocks(blocks, sum(lens))
+            for doc_ids, lens, base, raw in zip(*(b.column(k).to_pylist() for k in ("doc_ids", "lens", "base", "raw"))):
                 ends = np.cumsum([0, *lens])
                 starts = pa.array(ends[:-1] + base, pa.int64())
                 if digest:
-                    raw = ids.astype("<u4")
-                    last = pa.array([zlib.crc32(raw[i:j].tobytes()) for i, j in zip(ends, ends[1:])], pa.int64())
+                    view = memoryview(raw)
+                    last = pa.array([zlib.crc32(view[4 * i : 4 * j]) for i, j in zip(ends.tolist(), ends[1:].tolist())], pa.int64())
                 else:
-                    last = pa.array([ids[i:j].astype(np.int32) for i, j in zip(ends, ends[1:])], pa.list_(pa.int32()))
+                    last = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(raw, "<u4").astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), starts, pa.array(lens, pa.int64()), last], ["doc_id", "start", "n_tokens", what.split()[0]])
 
-    return frames.join(bases, ["part", "frame"]).select("doc_ids", "lens", "blocks", "base").mapInArrow(run, f"doc_id long, start long, n_tokens long, {what}")
+    based = frames.join(F.broadcast(parts), "part")  # one row a partition of the writer
+    rows = based.select("doc_ids", "lens", (F.col("at") + F.col("base")).alias("base"), decoder(frames.sparkSession)(F.col("coded")).alias("raw"))
+    return rows.mapInArrow(run, f"doc_id long, start long, n_tokens long, {what}")

@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from skarn.llm import bpe, counts, idcodec
 from skarn.llm.queries import tokenizer_path
@@ -41,10 +42,44 @@ def test_ids_and_text(byte_level):
     assert [model.decode_ids(x) for x in got] == [lib.decode(x, skip_special_tokens=False) for x in want]
 
 
-def test_memo_may_be_tiny(byte_level):
-    model, _ = byte_level
-    all_ = texts(60)
-    assert [x.tolist() for x in bpe.ByteLevelEncoder(model, memo=20).encode_batch(all_)] == [x.tolist() for x in bpe.ByteLevelEncoder(model).encode_batch(all_)]
+@pytest.mark.parametrize("part", [7, 100, 5000])
+def test_parts_may_be_tiny(byte_level, word_level, part):
+    all_ = texts(80, seed=5) + ["word " * 3000 + "end", "a" * 9000]
+    model, lib = byte_level
+    assert [x.tolist() for x in bpe.ByteLevelEncoder(model, part).encode_batch(all_)] == [e.ids for e in lib.encode_batch(all_, add_special_tokens=False)]
+    model, lib = word_level
+    counter = counts.WordCounter(model, counts.whole_tokens(model), part)
+    assert counter.count_batch(all_) == [len(e.ids) for e in lib.encode_batch(all_, add_special_tokens=False)]
+
+
+@pytest.mark.parametrize("word", ["a" * 30_001, "=" * 30_000, "ab" * 20_000, "aaab" * 10_000, "abcdefgh" * 5000])
+def test_long_runs_of_one_word(byte_level, word):
+    model, lib = byte_level
+    assert next(bpe.ByteLevelEncoder(model).encode_batch([word])).tolist() == lib.encode(word, add_special_tokens=False).ids
+
+
+def other_vocabulary(suffix=""):
+    """A vocabulary of bytes and ten merges."""
+    spec = {"type": "BPE", "end_of_word_suffix": suffix}
+    alphabet = bpe.byte_alphabet()
+    tokens = alphabet + ([c + suffix for c in alphabet] if suffix else [])
+    merges = [f"{a} {b}{suffix}" for a, b in ("he", "in", "re", "on", "at", "er", "an", "nd", "ou", "is")]
+    return bpe.Bpe({"model": spec | {"vocab": {t: i for i, t in enumerate(tokens + [m.replace(" ", "") for m in merges])}, "merges": merges}, "added_tokens": []})
+
+
+def test_two_vocabularies_in_one_session(spark, byte_level, word_level):
+    rows = spark.createDataFrame([(1, "the rain in spain is over")], "doc_id long, text string").repartition(1)
+    other = other_vocabulary()
+    for _ in range(2):
+        for model in (byte_level[0], other):
+            want = next(bpe.ByteLevelEncoder(model).encode_batch(["the rain in spain is over"])).tolist()
+            assert bpe.encode(rows, model).first()["ids"] == want
+            assert bpe.decode(bpe.encode(rows, model), model).first()["text"] == "the rain in spain is over"
+            assert bpe.round_trip(rows, model).first()["n_tokens"] == len(want)
+            assert idcodec.read_ids(idcodec.write_ids(rows, model)).first()["ids"] == want + [2]
+        for model in (word_level[0], other_vocabulary("</w>")):
+            want = counts.WordCounter(model, counts.whole_tokens(model)).count_batch(["the rain in spain is over"])
+            assert [counts.count_tokens(rows, model).first()["n_tokens"]] == want
 
 
 def test_broken_ids_decode_to_replacements(byte_level):
@@ -66,10 +101,10 @@ def test_counts(word_level):
     proven = counts.whole_tokens(model)
     assert all(len(lib.encode(w, add_special_tokens=False).ids) == 1 for w in random.Random(2).sample(sorted(proven), 300))
     all_ = texts(seed=2)
-    counter = counts.WordCounter((model, proven))
+    counter = counts.WordCounter(model, proven)
     assert counter.count_batch(all_) == [len(e.ids) for e in lib.encode_batch(all_, add_special_tokens=False)]
     before = counter.merged
-    counter.learn({"the", "and"})
+    assert counter.sizes(["the", "and"]).tolist() == [1, 1]
     assert counter.merged == before  # whole tokens are never merged
 
 
@@ -96,36 +131,70 @@ def test_count_frames(spark, word_level):
     assert counts.count_tokens(docs(spark).limit(0), model).collect() == []
 
 
-@pytest.mark.parametrize("n,block", [(0, 64), (1, 64), (64, 64), (65, 64), (5000, 512), (3000, 8192)])
-def test_codec_round_trip(n, block):
-    rng = np.random.default_rng(n)
-    for ids in (rng.integers(0, 50257, n), np.minimum(rng.zipf(1.3, n), 50256), np.full(n, 7), np.tile(np.arange(5), n)[:n]):
-        ids = ids.astype(np.uint16)
-        codes = idcodec.encode_blocks(ids, block)
-        assert len(codes) == -(-n // block) and (idcodec.decode_blocks(codes, n, block) == ids).all()
-
-
-def test_codec_compresses_and_blocks_stand_alone():
-    ids = np.tile(np.arange(100, dtype=np.uint16), 100)
-    codes = idcodec.encode_blocks(ids, 1000)
-    assert sum(map(len, codes)) < len(ids)
-    assert (idcodec.decode_blocks(codes[3:4], 1000, 1000) == ids[3000:4000]).all()
-
-
-def test_codec_finds_damage():
-    ids = np.random.default_rng(0).integers(0, 5000, 2000).astype(np.uint16)
-    codes = idcodec.encode_blocks(ids, 1000)
-    bad = bytearray(codes[1])
-    bad[40] ^= 1
-    with pytest.raises(ValueError, match="block 1"):
-        idcodec.decode_blocks([codes[0], bytes(bad)], 2000, 1000)
-    with pytest.raises(ValueError):
-        idcodec.encode_blocks(np.array([65535], np.uint16))
-
-
-def test_token_files(spark, byte_level, monkeypatch):
+def code(spark, rows, block, reads=False):
+    """Each of some arrays or byte strings through the coder, in one query."""
+    data = [(k, bytearray(np.asarray(x).astype("<u4").tobytes() if not reads else x)) for k, x in enumerate(rows)]
+    f = (idcodec.decoder if reads else idcodec.encoder)(spark, block)
+    return [bytes(r["x"]) for r in spark.createDataFrame(data, "k int, x binary").select("k", f(F.col("x")).alias("x")).orderBy("k").collect()]
+
+
+def heads(coded):
+    """Where the blocks of some code begin, and their ids, checksums, bits and bytes."""
+    at, out = 0, []
+    while at < len(coded):
+        out.append((at, *np.frombuffer(coded[at : at + 16], "<u4").tolist()))
+        at += 16 + out[-1][4]
+    return out
+
+
+@pytest.mark.parametrize("block", [64, 512, 8192, 32768])
+def test_codec_round_trip(spark, block):
+    rows = [np.zeros(0)]
+    for n in (1, 63, 64, 65, 5000, 20_000):
+        rng = np.random.default_rng(n)
+        rows += [rng.integers(0, 50257, n), np.minimum(rng.zipf(1.3, n), 50256), np.full(n, 7), np.tile(np.arange(5), n)[:n], rng.integers(0, 2**32 - 1, n), rng.integers(0, 2, n) * 65536 + 65535]
+        rows += [np.where(rng.random(n) < 0.9, np.arange(n) % 300, rng.integers(0, 300, n)), np.zeros(n), np.full(n, 2**32 - 2)]
+    coded = code(spark, rows, block)
+    for x, c in zip(rows, coded):
+        assert [h[1] for h in heads(c)] == [min(block, len(x) - i) for i in range(0, len(x), block)]
+        assert [h[2] for h in heads(c)] == [zlib.crc32(x[i : i + block].astype("<u4").tobytes()) for i in range(0, len(x), block)]
+    assert code(spark, coded, block, reads=True) == [np.asarray(x).astype("<u4").tobytes() for x in rows]
+
+
+def test_codec_compresses_and_blocks_stand_alone(spark):
+    ids = np.tile(np.arange(100), 100)
+    (coded,) = code(spark, [ids], 1024)
+    assert len(coded) < len(ids) / 2
+    at = [h[0] for h in heads(coded)] + [len(coded)]
+    assert code(spark, [coded[at[3] : at[4]]], 1024, reads=True) == [ids[3072:4096].astype("<u4").tobytes()]
+    skewed = np.minimum(np.random.default_rng(3).geometric(0.3, 8192), 50)
+    (coded,) = code(spark, [skewed], 8192)
+    p = np.bincount(skewed) / len(skewed)
+    assert len(coded) * 8 < 1.1 * len(skewed) * -(p[p > 0] * np.log2(p[p > 0])).sum()  # within a tenth of the entropy
+
+
+def test_codec_finds_damage(spark):
+    ids = np.random.default_rng(0).integers(0, 5000, 2000)
+    (coded,) = code(spark, [ids], 1024)
+    second = heads(coded)[1][0]
+    for where in (second + 4, second + 40, second + 200, len(coded) - 8):
+        bad = bytearray(coded)
+        bad[where] ^= 1
+        with pytest.raises(Exception, match="block 1 is damaged"):
+            code(spark, [bytes(bad)], 1024, reads=True)
+    for bad in (coded[:-20], coded[: second + 7], coded[:second] + b"\xff" * 16):
+        with pytest.raises(Exception, match="head is damaged"):
+            code(spark, [bad], 1024, reads=True)
+    with pytest.raises(Exception, match="must be below"):
+        code(spark, [np.array([2**32 - 1])], 1024)
+
+
+@pytest.mark.parametrize("frame_ids", [1, 4, 10_000])
+def test_token_files(spark, byte_level, frame_ids):
     model, lib = byte_level
-    frames = idcodec.write_ids(docs(spark), model)
+    frames = idcodec.write_ids(docs(spark).coalesce(1), model, frame_ids=frame_ids)
+    if frame_ids == 1:
+        assert frames.count() == 6  # several frames a part
     got = sorted(idcodec.read_ids(frames).collect(), key=lambda r: r["start"])
     assert [r["doc_id"] for r in got] == [None, 1, 1, 2, 3, 5]
     start = 0
