@@ -259,7 +259,8 @@ class ByteLevelEncoder:
         self.model, self.part = model, part
         self.pattern = regex.compile(BYTE_LEVEL_PATTERN)
         self.dtype = np.dtype("<u2" if model.size <= 1 << 16 else "<u4")
-        self.heads = np.unique(np.array([t.encode()[0] for t in model.added], np.uint8))
+        self.heads = np.zeros(256, bool)  # bytes that begin a special token
+        self.heads[[t.encode()[0] for t in model.added]] = True
 
     @staticmethod
     def borders(buf: np.ndarray) -> np.ndarray:
@@ -278,9 +279,13 @@ class ByteLevelEncoder:
         """Ids of distinct pieces, and where each one's begin and end."""
         starts = ends - np.diff(ends, prepend=0)
         kind = _CLASS[data]
+        # U+00C0 to U+023F are letters of two bytes, but for the signs U+00D7 and U+00F7.
+        two = np.flatnonzero((data >= 0xC3) & (data <= 0xC8))
+        kind[two] = kind[two + 1] = _LETTER
+        kind[two[(data[two] == 0xC3) & ((data[two + 1] == 0x97) | (data[two + 1] == 0xB7))]] = _WIDE
         lead = starts[(ends - starts > 1) & (data[starts] == 0x20)]
         kind[lead] = kind[lead + 1]  # a leading space belongs to the class of the byte after it
-        hard = np.concatenate([[0], np.cumsum((kind == _SPACE) | (kind == _QUOTE) | (kind == _WIDE) | np.isin(data, self.heads))])
+        hard = np.concatenate([[0], np.cumsum((kind == _SPACE) | (kind == _QUOTE) | (kind == _WIDE) | self.heads[data])])
         simple = hard[ends] == hard[starts]
         # Simple pieces: pre-tokens end where the class changes.
         lens = (ends - starts)[simple]

@@ -5,7 +5,7 @@ a frame are cut into blocks of ``BLOCK`` ids. Each block is coded on its own fro
 CRC-32 of its ids, so any block can be read without the others and damage is found where it is.
 
 Model. Order 2 and order 1 predict from counts of the ids that followed the last two ids and the last one in the block (of
-the 4 and the 12 followers that lead), order 0 from counts of all ids so far, renewed with every id. The three
+the 3 and the 6 followers that lead), order 0 from counts of all ids so far, renewed with every id. The three
 distributions are mixed; the weights are learned within the block, for each state of confidence. A range coder
 codes each id within its share of the mix; what the candidates leave stands for all other ids, which order 0 codes alone,
 and ids that are new to the block follow as plain bits. Any id below 2**32 - 1 can be coded. All arithmetic is on integers, so
