@@ -7,10 +7,11 @@ import sys
 
 from pyspark.sql import functions as F
 
+from skarn.functions import pycode
 from skarn.operators import fix, prompts, report, scoring
 from skarn.plans import analysis
 from skarn.session import session
-from skarn.sources import repo
+from skarn.sources import models, repo
 
 COMMANDS = ("score", "fix", "advise", "check-prompts")
 
@@ -21,6 +22,8 @@ def parser() -> argparse.ArgumentParser:
     s = sub.add_parser("score")
     s.add_argument("path", nargs="?", default=".")
     s.add_argument("--agent", default="generic")
+    s.add_argument("--fix", action="store_true", help="create missing documents first, and rewrite files if a model is named")
+    s.add_argument("--model", help="a language model for rewrites")
     s.add_argument("--fail-under", type=float, default=scoring.PASS_MARK)
     s.add_argument("--report")
     s.add_argument("--report-style", choices=["full", "actionable", "collapsed"], default="full")
@@ -34,6 +37,7 @@ def parser() -> argparse.ArgumentParser:
     f = sub.add_parser("fix")
     f.add_argument("path", nargs="?", default=".")
     f.add_argument("--agent", default="generic")
+    f.add_argument("--model", help="a language model; without one, violations are only listed")
     a = sub.add_parser("advise")
     a.add_argument("path", nargs="?", default=".")
     a.add_argument("--output")
@@ -45,10 +49,15 @@ def parser() -> argparse.ArgumentParser:
 def score(spark, o) -> int:
     limit = o.limit_to
     if o.diff:
-        changed = repo.changed_files(o.path, o.diff_base)
-        limit = changed if limit is None else [c for c in changed if any(c.endswith(x) for x in limit)]
+        changed = spark.createDataFrame([(c,) for c in repo.changed_files(o.path, o.diff_base)], "path string")
+        limit = [r["path"] for r in fix.changed(changed, "path", limit).orderBy("path").toLocalIterator()]
+    if o.fix:
+        repair(spark, o.path, o.agent, o.model)
     a = analysis.perform_analysis(spark, o.path, o.agent, limit, report_style=o.report_style)
     if o.verbosity != "quiet":
+        print(report.environment_table(a.health, analysis.directory_entropy(spark, o.path), analysis.critical_context(spark, o.path)))
+        for issue in a.project_issues:
+            print(issue)
         shown = report.visible(a.results, o.verbosity).orderBy("file")
         for r in shown.select("file", "score", "issues").toLocalIterator():
             print(f"{r['file']}: {r['score']} {r['issues']}")
@@ -64,10 +73,21 @@ def score(spark, o) -> int:
     return int(a.final_score < o.fail_under)
 
 
+def repair(spark, path: str, agent: str, model: str | None, generate=None) -> list[str]:
+    """Create missing documents; with a model, rewrite Python files that have violations. The paths written."""
+    made = fix.create_missing(path, agent)
+    generate = generate or (models.Model(model) if model else None)
+    if generate:
+        files = repo.python_files(spark, path)
+        units = analysis.inline(pycode.facts(files.where("content is not null")))
+        made += fix.apply_rewrites(path, fix.rewrites(files, units, generate).where("rewritten is not null").toLocalIterator())
+    return made
+
+
 def run_fix(spark, o) -> int:
-    """Create missing documents and list what a rewrite would address; no model is attached by default."""
-    for name in fix.create_missing(o.path, o.agent):
-        print(f"created {name}")
+    """Create missing documents, rewrite if a model is named, and list what is left."""
+    for name in repair(spark, o.path, o.agent, o.model):
+        print(f"created {name}" if not name.endswith(".py") else f"rewrote {name}")
     a = analysis.perform_analysis(spark, o.path, o.agent)
     for r in fix.violations(a.units.where(F.col("rel_path").endswith(".py"))).orderBy("rel_path", "lineno").toLocalIterator():
         print(f"{r['rel_path']}:{r['lineno']} {r['name']} ACL {r['acl']:.1f} typed {r['is_typed']}")

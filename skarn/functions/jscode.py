@@ -168,9 +168,11 @@ class Reader:
         """``(parameters, body, return type)`` if ``name (...) {`` begins at token ``i``."""
         if i < len(self.t) and self.t[i][0] in ("name", "str", "num") and self.text(i) not in _KEYWORDS and self.text(i - 1) not in (".", "new", "?."):
             j = i + 1
-            if self.text(j) == "<":
-                while j < len(self.t) and self.text(j) != "(":
+            if self.text(j) == "<":  # type parameters; a comparison has no ">(" of its own
+                while j < len(self.t) and self.text(j) not in ("(", ")", ";", "{", "}"):
                     j += 1
+                if self.text(j - 1) != ">":
+                    return None
             if self.text(j) == "(" and j in self.pair:
                 k, typed = self.return_type(self.pair[j])
                 if self.text(k) == "{" and k in self.pair:

@@ -40,9 +40,14 @@ def docker_loc(text: Column) -> Column:
     return F.when(text.isNull(), 0).otherwise(F.size(kept))
 
 
-def token_estimate(text: Column) -> Column:
+def tokens_of_length(length: Column) -> Column:
     """A quarter of the code points, rounded down."""
-    return F.coalesce(F.floor(F.length(text) / 4), F.lit(0)).cast("int")
+    return F.coalesce(F.floor(length / 4), F.lit(0)).cast("int")
+
+
+def token_estimate(text: Column) -> Column:
+    """That of a text."""
+    return tokens_of_length(F.length(text))
 
 
 # --- agent cognitive load ---

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,9 +46,10 @@ def package_edges(imports: DataFrame, files: DataFrame) -> DataFrame:
     exact = paths.select(F.col("rel_path").alias("dst"), F.regexp_replace("rel_path", r"(^|/)__init__\.py$|\.py$", "").alias("base"), (~F.col("rel_path").rlike(r"(^|/)__init__\.py$")).alias("is_file"))
     found = rel.join(exact, "base").groupBy("src", "base").agg(F.max_by("dst", "is_file").alias("dst")).select("src", "dst")
     want = imp.where("level = 0 and part <> ''").select("part").distinct()
-    # Every end of a path is a possible module, so ends are matched by equality here as well.
+    # Ends of paths are matched by equality here as well: those of a length that some module has, and a path's length bounds.
     stem = F.regexp_replace("rel_path", r"/__init__\.py$|\.py$", "")
-    ends = paths.select("rel_path", F.explode(F.transform(F.sequence(F.lit(1), F.length(stem)), lambda k: F.substring(stem, k, F.length(stem)))).alias("part"))
+    lengths = F.array(*[F.lit(r[0]) for r in want.select(F.length("part")).distinct().collect()]).cast("array<int>")
+    ends = paths.select("rel_path", F.explode(F.transform(F.filter(lengths, lambda n: n <= F.length(stem)), lambda n: F.right(stem, n))).alias("part"))
     first = want.join(ends, "part").groupBy("part").agg(F.min("rel_path").alias("dst"))
     absolute = imp.where("level = 0").select(F.col("rel_path").alias("src"), "part").distinct().join(first, "part").select("src", "dst")
     return found.union(absolute).where("src <> dst").distinct()
@@ -61,18 +64,23 @@ def inbound(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def closure(edges: DataFrame, start: DataFrame | None = None) -> DataFrame:
     """``a, b``: every node that can be reached from ``a`` in one step or more; ``start (a)`` limits where to start.
 
-    Semi-naive: each round joins only the pairs that the last one found. Rounds are written tables, so the plan
-    doesn't grow. A round costs two shuffles of the frontier.
+    Semi-naive: each round joins only the pairs that the last one found. Rounds are written tables, and what was found
+    becomes one table again every eighth round, so the plan stays short. A round costs two shuffles of the frontier. The
+    result itself can be as large as the square of the nodes.
     """
     steps = durable(edges.select("src", "dst").distinct(), "edges")
     found = steps.select(F.col("src").alias("a"), F.col("dst").alias("b"))
     if start is not None:
         found = found.join(start, "a", "left_semi")
     found = frontier = durable(found, "closure")
+    rounds = 0
     while not frontier.isEmpty():
+        rounds += 1
         reach = frontier.join(steps, frontier["b"] == steps["src"]).select("a", F.col("dst").alias("b")).distinct()
         frontier = durable(reach.join(found, ["a", "b"], "left_anti"), "frontier")
         found = found.unionByName(frontier)
+        if rounds % 8 == 0:
+            found = durable(found, "closure")
     return found
 
 
@@ -135,23 +143,30 @@ def weak_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def _per_component(nodes: DataFrame, edges: DataFrame, search) -> DataFrame:
+    """Cycles that ``search`` yields for each weakly connected component, which one task holds; rows leave in batches."""
     comp = weak_components(nodes, edges)
-    rows = comp.join(edges, comp["node"] == edges["src"], "left").select("comp", "node", "dst")
+    # Only components with an edge can hold a cycle.
+    rows = comp.join(edges, comp["node"] == edges["src"]).groupBy("comp").agg(F.collect_list(F.struct("src", "dst")).alias("edges"))
 
-    def run(pdf):
+    def run(batches):
         import pandas as pd
 
-        graph: dict[str, list[str]] = {}
-        for node, dst in zip(pdf["node"], pdf["dst"]):
-            graph.setdefault(node, [])
-            if isinstance(dst, str):
-                graph[node].append(dst)
-        out = [(pdf["comp"].iloc[0], i, k, f) for i, c in enumerate(search(graph)) for k, f in enumerate(c)]
-        return pd.DataFrame(out, columns=["comp", "nth", "pos", "file"])
+        names = ["comp", "nth", "pos", "file"]
+        for pdf in batches:
+            for comp, edges in zip(pdf["comp"], pdf["edges"]):
+                graph: dict[str, list[str]] = {}
+                for e in edges:
+                    graph.setdefault(e["src"], []).append(e["dst"])
+                    graph.setdefault(e["dst"], [])
+                out = []
+                for i, cycle in enumerate(search(graph)):
+                    out += [(comp, i, k, f) for k, f in enumerate(cycle)]
+                    if len(out) > 10_000:
+                        yield pd.DataFrame(out, columns=names)
+                        out = []
+                yield pd.DataFrame(out, columns=names)
 
-    # Only components with an edge can hold a cycle.
-    some = rows.where("dst is not null").select("comp").distinct()
-    return rows.join(some, "comp", "left_semi").groupBy("comp").applyInPandas(run, "comp string, nth int, pos int, file string")
+    return rows.mapInPandas(run, "comp string, nth long, pos int, file string")
 
 
 def cycles(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -162,12 +177,11 @@ def cycles(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return _per_component(nodes, edges, back_edge_cycles)
 
 
-def elementary_cycles(graph: dict[str, list[str]], most: int = 10_000) -> list[tuple[str, ...]]:
+def elementary_cycles(graph: dict[str, list[str]]) -> Iterator[tuple[str, ...]]:
     """Every elementary cycle, each from its smallest member on (a search bounded by the smallest node of each cycle).
 
-    There can be exponentially many; beyond ``most`` a ``ValueError`` is raised, none is dropped.
+    There can be exponentially many, so they are yielded one by one.
     """
-    out: list[tuple[str, ...]] = []
     back: dict[str, set[str]] = {}
     for a, bs in graph.items():
         for b in bs:
@@ -185,9 +199,7 @@ def elementary_cycles(graph: dict[str, list[str]], most: int = 10_000) -> list[t
         while stack:
             for node in stack[-1]:
                 if node == root:
-                    out.append(tuple(path))
-                    if len(out) > most:
-                        raise ValueError(f"more than {most} elementary cycles")
+                    yield tuple(path)
                 elif node in lead and node not in on:
                     path.append(node)
                     on.add(node)
@@ -196,9 +208,8 @@ def elementary_cycles(graph: dict[str, list[str]], most: int = 10_000) -> list[t
             else:
                 stack.pop()
                 on.discard(path.pop())
-    return out
 
 
-def simple_cycles(nodes: DataFrame, edges: DataFrame, most: int = 10_000) -> DataFrame:
-    """``comp, nth, pos, file``: every elementary cycle, loops included."""
-    return _per_component(nodes, edges, lambda g: elementary_cycles(g, most))
+def simple_cycles(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``comp, nth, pos, file``: every elementary cycle, loops included. However many there are, none is held or dropped."""
+    return _per_component(nodes, edges, elementary_cycles)

@@ -23,11 +23,14 @@ def missing_docs(required: DataFrame, present: DataFrame) -> DataFrame:
     return required.withColumn("low", F.lower("name")).join(have, "low", "left_anti").select("ord", "name")
 
 
-def environment(entries: DataFrame) -> DataFrame:
-    """One row of booleans from root entries ``name, is_dir``: ``agents_md, linter_config, lock_file, baml_detected``."""
+def environment(entries: DataFrame, project: str | None = None) -> DataFrame:
+    """One row of booleans from root entries ``name, is_dir``: ``agents_md, linter_config, lock_file, baml_detected``.
+
+    With ``project``, a column, a row for each of many projects.
+    """
     some = lambda c: F.coalesce(F.max(c), F.lit(False))
     baml = ((F.col("name") == "baml_src") & F.col("is_dir")) | (F.col("name") == "generators.baml")
-    return entries.agg(
+    return (entries if project is None else entries.groupBy(project)).agg(
         some(F.lower("name") == "agents.md").alias("agents_md"),
         some(F.col("name").isin(LINTERS)).alias("linter_config"),
         some(F.col("name").isin(LOCKS)).alias("lock_file"),
@@ -61,3 +64,13 @@ def crowded_directories(dirs: DataFrame, threshold: int = CROWDED) -> DataFrame:
 def critical_context(readme: Column, agents: Column, signatures: Column) -> Column:
     """The text that every agent reads first."""
     return F.concat_ws("", F.concat(readme, F.lit("\n")), F.concat(agents, F.lit("\n")), signatures)
+
+
+def joined_length(length: Column) -> Column:
+    """An aggregate: characters of all texts with a line feed between each two."""
+    return F.sum(length) + F.count(length) - 1
+
+
+def critical_length(readme: Column, agents: Column, signatures: Column) -> Column:
+    """Characters of :func:`critical_context`, from those of its parts."""
+    return readme + agents + 2 + F.coalesce(signatures, F.lit(0))

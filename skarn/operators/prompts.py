@@ -44,20 +44,26 @@ def few_shot(text: Column) -> Column:
 def negative_constraint(text: Column) -> Column:
     """Whether a list line beyond the first fifth forbids something.
 
-    Matches and the gaps between them give every match's place; its line is what stands around it up to line feeds.
+    A match never spans lines, so the text is cut once, at the line that holds the first fifth's end; of that line only
+    matches from there on count, of later ones all.
     """
-    hits = F.regexp_extract_all(text, F.lit(NEGATIVE), F.lit(0))
-    gaps = F.split(text, NEGATIVE, -1)
-
-    def worthy(k: Column) -> Column:
-        hit = F.get(hits, k)
-        begin = F.aggregate(F.slice(gaps, 1, k + 1), F.lit(0), lambda a, x: a + F.length(x)) + F.aggregate(F.slice(hits, 1, k), F.lit(0), lambda a, x: a + F.length(x))
-        before = F.element_at(F.split(F.substring(text, F.lit(1), begin), "\n", -1), -1)
-        after = F.get(F.split(F.substring(text, begin + F.length(hit) + 1, F.length(text)), "\n", -1), F.lit(0))
-        line = X.strip(F.concat(before, hit, after))
-        return (begin >= F.length(text) * 0.2) & ~line.rlike("(?id)currently.*not") & line.rlike(r"^(\*|-|\d+\.)")
-
-    return F.exists(F.transform(hits, lambda _, k: k), worthy)
+    first = F.ceil(F.length(text) * 0.2).cast("int")
+    upto = F.length(F.element_at(F.split(F.substring(text, F.lit(1), first), "\n", -1), -1))  # of the cut line
+    rows = F.split(F.substring(text, first - upto + 1, F.length(text)), "\n", -1)
+    cut = F.get(rows, F.lit(0))
+
+    def listed(line: Column) -> Column:
+        line = X.strip(line)
+        return ~line.rlike("(?id)currently.*not") & line.rlike(r"^(\*|-|\d+\.)")
+
+    # The three characters before tell whether a "not" belongs to a "do not" that began too early.
+    seen = F.least(upto, F.lit(3))
+    rest = F.substring(cut, upto - seen + 1, F.length(cut))
+    late = F.lit(False)
+    for n in range(4):
+        late = F.when(seen == n, rest.rlike(rf"(?is)^.{{{n}}}.*?((?<!do )not|don't|do not|never)")).otherwise(late)
+    later = F.exists(F.slice(rows, F.lit(2), F.greatest(F.size(rows) - 1, F.lit(0))), lambda line: line.rlike(NEGATIVE) & listed(line))
+    return F.coalesce(late & listed(cut), F.lit(False)) | later
 
 
 def checks(text: Column) -> dict[str, Column]:

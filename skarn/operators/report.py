@@ -79,18 +79,40 @@ def visible(results: DataFrame, verbosity: str = "summary") -> DataFrame:
     return results.where(F.col("score") < 100) if verbosity == "summary" else results
 
 
+def environment_checks(health: dict) -> list[tuple[str, bool | None, str]]:
+    """Check, whether it passes (null: nothing was found), and its details."""
+    eco = health.get("agentic_ecosystem") or {}
+    tools = [*(eco.get("found_frameworks") or []), *["baml"] * bool(health.get("baml_detected"))]
+    steering = eco.get("found_files") or []
+    return [
+        ("AGENTS.md", bool(health["agents_md"]), ""),
+        ("Lock File", bool(health["lock_file"]), ""),
+        ("Agent Frameworks", True if tools or eco.get("has_agent_frameworks") else None, ", ".join(dict.fromkeys(tools))),
+        ("Context Steering", True if eco.get("has_context_files") else None, ", ".join(steering)),
+    ]
+
+
+#: Marks and bonuses of the environment section.
+BONUS = {"Agent Frameworks": ("🤖", 10), "Context Steering": ("📜", 5)}
+
+
 def environment_section(health: dict) -> str:
     if not health:
         return ""
-    eco = health.get("agentic_ecosystem") or {}
-    mark = lambda ok: "✅ PASS" if ok else "❌ FAIL"
-    names = list(eco.get("found_frameworks") or [])
-    if health.get("baml_detected") and "baml" not in names:
-        names.append("baml")
-    tools = f"🤖 [PASS] ({', '.join(names)}) (+10)" if health.get("baml_detected") or eco.get("has_agent_frameworks") else "🟡 None"
-    steering = f"📜 [PASS] ({', '.join(eco.get('found_files') or [])}) (+5)" if eco.get("has_context_files") else "🟡 None"
-    rows = [("AGENTS.md", mark(health["agents_md"])), ("Lock File", mark(health["lock_file"])), ("Agent Frameworks", tools), ("Context Steering", steering)]
-    return "## 🏗️ Environment Health\n\n| Check | Status |\n| :--- | :--- |\n" + "".join(f"| {a} | {b} |\n" for a, b in rows) + "\n"
+    out = "## 🏗️ Environment Health\n\n| Check | Status |\n| :--- | :--- |\n"
+    for name, ok, detail in environment_checks(health):
+        icon, points = BONUS.get(name, ("", 0))
+        status = f"{icon} [PASS] ({detail}) (+{points})" if points and ok else "🟡 None" if ok is None else "✅ PASS" if ok else "❌ FAIL"
+        out += f"| {name} | {status} |\n"
+    return out + "\n"
+
+
+def environment_table(health: dict, entropy: dict, context: dict) -> str:
+    """The checks of a project's surroundings as lines of text, with directory entropy and critical context."""
+    rows = [(name, ("PASS" if ok else "None" if ok is None else "FAIL") + (f" ({detail})" if detail else "")) for name, ok, detail in environment_checks(health)]
+    rows.append(("Directory Entropy", f"{entropy['avg_files']:.1f} files/dir" + (" (warning)" if entropy["warning"] else "")))
+    rows.append(("Critical Token Count", f"{context['token_count']:,} tokens" + (" (alert)" if context["alert"] else "")))
+    return "Environment Health\n" + "\n".join(f"  {name:<22}{status}" for name, status in rows)
 
 
 def craft(context: str, request: str, actions: list[str], frame: str, template: str) -> str:
@@ -134,25 +156,33 @@ def filled(parts: tuple, **names: object) -> str:
     return craft(context, put(request), [put(a) for a in actions], put(frame), template) + "\n\n"
 
 
-def prompts_section(results: list[dict], thresholds: dict, issues: list[str] | None = None) -> str:
-    """Remediation prompts for god modules, then for each file below 90: red units, then types."""
+def remediations(results: list[dict], gods: list[str], thresholds: dict) -> list[tuple[str, str]]:
+    """Heading and prompt of each remediation: god modules, then red units and lacking types of files below 90."""
     t = THRESHOLDS | thresholds
-    out = "## 🤖 Agent Prompts for Remediation (CRAFT Format)\n\n"
-    for issue in issues or []:
-        if "God Module" in issue:
-            for mod in issue.split(": ")[1].split(", "):
-                out += f"### Project Issue: God Module `{mod}`\n" + filled(GOD_MODULE, mod=mod)
-    for r in results:
-        if r.get("score", 0) >= 90:
-            continue
-        red = [u["name"] for u in r.get("function_metrics") or [] if u["acl"] > t["acl_red"]]
-        if red:
-            out += f"### File: `{r['file']}` - High Cognitive Load\n" + filled(HIGH_LOAD, file=r["file"], names=", ".join(f"`{n}`" for n in red), yellow=t["acl_yellow"])
-        if r.get("type_coverage", 0) < t["type_safety"]:
-            out += f"### File: `{r['file']}` - Low Type Safety\n" + filled(LOW_TYPES, file=r["file"], types=t["type_safety"])
+    rules = [
+        ("High Cognitive Load", HIGH_LOAD, lambda r: [u["name"] for u in r.get("function_metrics") or [] if u["acl"] > t["acl_red"]]),
+        ("Low Type Safety", LOW_TYPES, lambda r: r.get("type_coverage", 0) < t["type_safety"]),
+    ]
+    out = [(f"Project Issue: God Module `{m}`", filled(GOD_MODULE, mod=m)) for m in gods]
+    weak = [r for r in results if r.get("score", 0) < 90]
+    for r, (kind, parts, applies) in ((r, rule) for r in weak for rule in rules):
+        if found := applies(r):
+            names = ", ".join(f"`{n}`" for n in found) if isinstance(found, list) else ""
+            out.append((f"File: `{r['file']}` - {kind}", filled(parts, file=r["file"], names=names, yellow=t["acl_yellow"], types=t["type_safety"])))
     return out
 
 
+def god_modules(issues: list[str] | None) -> list[str]:
+    """Modules that a project's issues name as god modules."""
+    return [m for x in issues or [] if x.startswith("God Module") for m in x.partition(": ")[2].split(", ")]
+
+
+def prompts_section(results: list[dict], thresholds: dict, issues: list[str] | None = None) -> str:
+    """All remediation prompts as Markdown."""
+    parts = remediations(results, god_modules(issues), thresholds)
+    return "## 🤖 Agent Prompts for Remediation (CRAFT Format)\n\n" + "".join(f"### {head}\n{prompt}" for head, prompt in parts)
+
+
 def markdown_report(results: list[dict], final: float, path: str, profile: dict, issues: list[str] | None = None, style: str = "full", health: dict | None = None, thresholds: dict | None = None, version: str = "1", title: str = "Report") -> str:
     """The whole report; ``collapsed`` keeps the summary, ``actionable`` leaves out what passes, ``full`` has everything."""
     t = THRESHOLDS | (thresholds or {})

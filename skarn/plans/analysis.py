@@ -6,6 +6,7 @@ Every file is read and parsed once; all that follows is joins and aggregations o
 from __future__ import annotations
 
 import os
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,7 +19,34 @@ from skarn.sources import repo
 from skarn.sources.tables import durable
 
 UNIT_COLUMNS = ["rel_path", "ord", "name", "lineno", "complexity", "loc", "acl", "is_typed", "nesting_depth"]
-LANGUAGES = ["Python", "JavaScript", "Markdown", "Docker", "Config"]
+
+
+@dataclass(frozen=True)
+class Analyzer:
+    """How files of a language are measured and scored; :func:`register` adds one.
+
+    ``units(files, tokens)`` gives ``UNIT_COLUMNS`` of the language's files, ``loc`` counts lines of a text, ``score()``
+    gives columns ``score, issues`` (and ``complexity, type_coverage``) over unit statistics. ``names`` is a regular
+    expression of file names, for languages that the engine doesn't know by itself.
+    """
+
+    language: str
+    units: Callable[[DataFrame, Callable[[Column], Column]], DataFrame]
+    loc: Callable[[Column], Column] = X.filled_loc
+    score: Callable[[], dict[str, Column]] | None = None
+    names: str | None = None
+
+    def scored(self) -> dict[str, Column]:
+        made = self.score() if self.score else scoring.penalised(self.language)
+        return {"complexity": F.lit(0.0), "type_coverage": F.lit(100.0)} | made
+
+
+ANALYZERS: dict[str, Analyzer] = {}
+
+
+def register(analyzer: Analyzer) -> None:
+    """Add a language, or replace one."""
+    ANALYZERS[analyzer.language] = analyzer
 
 
 @dataclass
@@ -63,67 +91,87 @@ def token_counter(name: str = "chars4"):
 def threshold_table(spark: SparkSession, config: dict, thresholds: dict | None) -> DataFrame:
     """``language`` and its thresholds: defaults, the project's, the caller's, the language's own, in that order."""
     rows = []
-    for lang in LANGUAGES:
+    for lang in ANALYZERS:
         t = scoring.THRESHOLDS | config.get("thresholds", {}) | (thresholds or {}) | config.get(lang.lower(), {}).get("thresholds", {})
         rows.append((lang, *[float(t[k]) if k.startswith("acl") else int(t[k]) for k in ("acl_yellow", "acl_red", "type_safety", "token_limit")]))
     return spark.createDataFrame(rows, "language string, acl_yellow double, acl_red double, type_safety int, token_limit int")
 
 
+def inline(facts: DataFrame) -> DataFrame:
+    return facts.select("rel_path", F.posexplode("units").alias("ord", "u")).select("rel_path", "ord", "u.*")
+
+
+def docker_units(files: DataFrame, tokens) -> DataFrame:
+    body = files.where("content is not null")
+    return segment.instructions(segment.numbered_lines(body, "rel_path", "content", r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"), "rel_path")
+
+
+def config_units(files: DataFrame, tokens) -> DataFrame:
+    conf = configs.facts(files).where("valid").join(files.select("rel_path", "name", "content"), "rel_path")
+    loc = X.code_loc(F.col("content"))
+    given = {"ord": F.lit(0), "lineno": F.lit(1), "complexity": F.lit(0.0), "loc": loc, "acl": X.acl_config(F.col("depth"), loc), "is_typed": F.lit(True), "nesting_depth": F.col("depth")}
+    return conf.withColumns(given)
+
+
+register(Analyzer("Python", lambda files, tokens: inline(pycode.facts(files.where("content is not null"))), X.code_loc))
+register(Analyzer("JavaScript", lambda files, tokens: inline(jscode.facts(files.where("content is not null"))), score=lambda: scoring.penalised("JavaScript", F.col("ext").isin(".ts", ".tsx"))))
+register(Analyzer("Markdown", lambda files, tokens: segment.sections(segment.numbered_lines(files.where("content <> ''"), "rel_path", "content"), "rel_path", tokens(F.col("content")))))
+register(Analyzer("Docker", docker_units, X.docker_loc))
+register(Analyzer("Config", config_units, X.code_loc, scoring.config_penalised))
+
+
+def recognised(files: DataFrame) -> DataFrame:
+    """Files with the languages of analyzers that have name patterns of their own."""
+    own = [a for a in ANALYZERS.values() if a.names]
+    language = F.col("language")
+    for a in own:
+        language = F.when(F.col("name").rlike(a.names), a.language).otherwise(language)
+    return files.withColumn("language", language) if own else files
+
+
 def units_of(files: DataFrame, tokens=X.token_estimate, javascript: bool = True) -> tuple[DataFrame, DataFrame]:
     """All units, and the facts of Python files (imports, signatures)."""
-    of = lambda lang: files.where(F.col("language") == lang)
     py = durable(pycode.facts(files.where("content is not null")), "python")
-    inline = lambda df: df.select("rel_path", F.posexplode("units").alias("ord", "u")).select("rel_path", "ord", "u.*")
-    parts = [inline(py.join(of("Python").select("rel_path"), "rel_path", "left_semi"))]
-    md = segment.sections(segment.numbered_lines(of("Markdown").where("content <> ''"), "rel_path", "content"), "rel_path", tokens(F.col("content")))
-    parts.append(md)
-    body = of("Docker").where("content is not null")
-    parts.append(segment.instructions(segment.numbered_lines(body, "rel_path", "content", r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"), "rel_path"))
-    if javascript:
-        parts.append(inline(jscode.facts(of("JavaScript").where("content is not null"))))
-    conf = configs.facts(of("Config")).where("valid").join(files.select("rel_path", "name", "content"), "rel_path")
-    loc = X.code_loc(F.col("content"))
-    acl = X.acl_config(F.col("depth"), loc)
-    parts.append(
-        conf.select("rel_path", F.lit(0).alias("ord"), "name", F.lit(1).alias("lineno"), F.lit(0.0).alias("complexity"), loc.alias("loc"), acl.alias("acl"), F.lit(True).alias("is_typed"), F.col("depth").alias("nesting_depth"))
-    )
-    units = parts[0].select(UNIT_COLUMNS)
-    for p in parts[1:]:
-        units = units.unionByName(p.select(UNIT_COLUMNS))
+    units = None
+    for lang, a in ANALYZERS.items():
+        of = files.where(F.col("language") == lang)
+        if lang == "JavaScript" and not javascript:
+            continue
+        # Python's facts are at hand: they hold the units too.
+        part = inline(py.join(of.select("rel_path"), "rel_path", "left_semi")) if lang == "Python" else a.units(of, tokens)
+        part = part.select(UNIT_COLUMNS)
+        units = part if units is None else units.unionByName(part)
     return durable(units, "units"), py
 
 
 def loc_of() -> Column:
-    c = F.col("content")
-    return (
-        F.when(F.col("language").isin("Python", "Config"), X.code_loc(c)).when(F.col("language") == "Docker", X.docker_loc(c)).otherwise(X.filled_loc(c))
-    )
+    loc = X.filled_loc(F.col("content"))
+    for lang, a in ANALYZERS.items():
+        loc = F.when(F.col("language") == lang, a.loc(F.col("content"))).otherwise(loc)
+    return loc
 
 
 def file_results(files: DataFrame, units: DataFrame, context: DataFrame, limits: DataFrame, javascript: bool = True) -> DataFrame:
     """A row a file with score, issues and nested units; ``context (rel_path, tokens, cumulative)``."""
     base = files.withColumn("loc", loc_of()).select("rel_path", "ext", "language", "loc", "content")
     base = base.withColumn("valid", F.col("content").isNotNull()).drop("content")
-    base = base.join(F.broadcast(limits), "language", "left").join(context, "rel_path", "left")  # five rows
+    base = fix.with_thresholds(base, F.broadcast(limits), "language").join(context, "rel_path", "left")  # a row a language
     base = base.withColumns({"tokens": F.coalesce("tokens", F.lit(0)), "cumulative": F.coalesce("cumulative", F.lit(0))})
     # Thresholds differ by language, so they come to the units before they are counted.
     rated = units.join(base.select("rel_path", "acl_red", "acl_yellow"), "rel_path")
     stats = scoring.unit_stats(rated, "rel_path", F.col("acl_red"), F.col("acl_yellow"))
     nested = units.groupBy("rel_path").agg(F.array_sort(F.collect_list(F.struct("ord", *UNIT_COLUMNS[2:]))).alias("function_metrics"))
     rows = base.join(stats, "rel_path", "left").join(nested, "rel_path", "left")
-    typed_js = F.col("ext").isin(".ts", ".tsx")
-    out: dict[str, Column] = {}
-    whole = {lang: scoring.penalised(lang, typed_js if lang == "JavaScript" else None) for lang in scoring.RULES}
-    conf = scoring.config_penalised()
     rows = rows.withColumn("acl", F.coalesce("max_acl", F.lit(0.0))).withColumn("valid", F.coalesce("n_units", F.lit(0)) > 0)
+    whole = {lang: a.scored() for lang, a in ANALYZERS.items()}
+    if not javascript:
+        whole["JavaScript"] = {"score": F.lit(0), "issues": F.lit("JavaScript/TypeScript parsing is switched off."), "complexity": F.lit(0.0), "type_coverage": F.lit(0.0)}
+    out: dict[str, Column] = {}
     for name in ("score", "issues", "complexity", "type_coverage"):
-        c = F.when(F.col("language") == "Config", conf.get(name, F.lit(0.0 if name == "complexity" else 100.0)))
+        c = F.lit(None)
         for lang, made in whole.items():
-            c = c.when(F.col("language") == lang, made[name])
+            c = F.when(F.col("language") == lang, made[name]).otherwise(c)
         out[name] = c
-    if not javascript:
-        off = {"score": F.lit(0), "issues": F.lit("JavaScript/TypeScript parsing is switched off."), "complexity": F.lit(0.0), "type_coverage": F.lit(0.0)}
-        out = {k: F.when(F.col("language") == "JavaScript", off[k]).otherwise(v) for k, v in out.items()}
     return rows.select(F.col("rel_path").alias("file"), "language", *[v.alias(k) for k, v in out.items()], "loc", "function_metrics", F.col("tokens").cast("int").alias("tokens"), F.col("cumulative").cast("long").alias("cumulative_tokens"), "acl")
 
 
@@ -143,18 +191,31 @@ def environment_health(spark: SparkSession, root: str, entries: DataFrame, files
 
 
 def critical_context(spark: SparkSession, root: str, tokens=X.token_estimate) -> dict:
-    """Tokens of README, AGENTS.md and all signatures, and whether they exceed the budget."""
+    """Tokens of README, AGENTS.md and all signatures, and whether they exceed the budget.
+
+    The estimate needs lengths alone, which are summed; a BPE vocabulary needs the whole text in one row.
+    """
     py = pycode.facts(repo.python_files(spark, root, repo.hidden_or_cache))
-    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rel_path", F.array_join("signatures", "\n").alias("s")))), lambda x: x["s"]), "\n")
+    own = F.array_join("signatures", "\n")
     docs = {}
     for name in ("README.md", "AGENTS.md"):
         path = os.path.join(root, name)
         docs[name] = open(path, encoding="utf-8", errors="ignore").read() if os.path.isfile(path) else ""
-    whole = health.critical_context(F.lit(docs["README.md"]), F.lit(docs["AGENTS.md"]), F.col("s"))
-    n = py.agg(text.alias("s")).select(tokens(whole).alias("n")).first()["n"]
+    if tokens is X.token_estimate:
+        length = health.critical_length(F.lit(len(docs["README.md"])), F.lit(len(docs["AGENTS.md"])), health.joined_length(F.length(own)))
+        n = py.agg(X.tokens_of_length(length).alias("n")).first()["n"]
+    else:
+        text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rel_path", own.alias("s")))), lambda x: x["s"]), "\n")
+        whole = health.critical_context(F.lit(docs["README.md"]), F.lit(docs["AGENTS.md"]), F.col("s"))
+        n = py.agg(text.alias("s")).select(tokens(whole).alias("n")).first()["n"]
     return {"token_count": n, "alert": n > scoring.THRESHOLDS["token_limit"]}
 
 
+def directory_entropy(spark: SparkSession, root: str) -> dict:
+    """Files a directory, hidden directories and caches left out, and whether they are too many."""
+    return health.entropy(repo.directories(spark, root).where(~F.col("hidden"))).first().asDict()
+
+
 def perform_analysis(
     spark: SparkSession, path: str, agent: str = "generic", limit_to_files: list[str] | None = None, thresholds: dict | None = None,
     config: dict | None = None, report_style: str = "full", tokens: str = "chars4", javascript: bool = True,
@@ -163,7 +224,8 @@ def perform_analysis(
     root = path if os.path.isdir(path) else os.path.dirname(os.path.abspath(path))
     config = config if config is not None else repo.load_config(path, {"thresholds": {}})
     count = token_counter(tokens)
-    files = durable(repo.files(spark, path), "files")
+    names = [a.names for a in ANALYZERS.values() if a.names]
+    files = durable(recognised(repo.files(spark, path, names)), "files")
     units, py = units_of(files, count, javascript)
     nodes = files.select("rel_path")
     edges = durable(graph.module_edges(pycode.module_names(py), nodes), "edges")

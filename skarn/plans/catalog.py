@@ -12,9 +12,10 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skarn.functions import configs, pycode
+from skarn.functions import configs, jscode, pycode
 from skarn.functions import text as X
 from skarn.operators import changelog, fix, graph, health, prompts, report, scoring, segment
+from skarn.sources import issues
 from skarn.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -147,9 +148,11 @@ def q05_bloat_token_penalty(t):
 SELECT source, n, round(type_index, 6) AS type_index, CASE WHEN type_index < 90 THEN 'Type Safety Index ' || printf('%.0f', type_index) || '% < 90% (-20)' ELSE '' END AS issue FROM a""")
 def q06_type_coverage(t):
     rows = t("labels").join(t("documents").select("doc_id", "source"), "doc_id")
-    s = rows.groupBy("source").agg(F.count("*").alias("n"), (F.sum("quality") * 100.0 / F.count("*")).alias("type_index"))
-    issue = F.when(F.col("type_index") < 90, F.concat(F.lit("Type Safety Index "), X.percent(F.col("type_index")), F.lit("% < 90% (-20)"))).otherwise("")
-    return s.withColumn("issue", issue)
+    units = rows.select("source", F.lit(0.0).alias("acl"), F.lit(1.0).alias("complexity"), (F.col("quality") == 1).alias("is_typed"))
+    s = scoring.unit_stats(units, "source", F.lit(15), F.lit(10))
+    given = {"loc": 1, "cumulative": 0, "token_limit": 32000, "type_safety": 90}
+    c = scoring.penalised("Python")
+    return s.withColumns({k: F.lit(v) for k, v in given.items()}).select("source", F.col("n_units").alias("n"), c["type_coverage"].alias("type_index"), c["issues"].alias("issue"))
 
 
 @query(f"WITH {MARKDOWN_SQL} SELECT doc_id, ord, name, lineno, loc, tokens, depth AS nesting_depth, round(acl, 6) AS acl FROM mu")
@@ -268,14 +271,13 @@ def q15_inbound_god_modules(t):
 
 
 NATION_SQL = """e AS (SELECT DISTINCT c.c_nationkey AS src, s.s_nationkey AS dst FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer c ON c_custkey = o_custkey
-  JOIN supplier s ON s_suppkey = l_suppkey WHERE l_extendedprice > 104800 AND c.c_nationkey <> s.s_nationkey),
+  JOIN supplier s ON s_suppkey = l_suppkey WHERE c.c_nationkey <> s.s_nationkey),
 r AS (SELECT src AS a, dst AS b FROM e UNION SELECT r.a, e.dst FROM r JOIN e ON e.src = r.b)"""
 
 
-def nation_edges(t, every: bool = False) -> DataFrame:
-    """Edges between nations: of the rows that ``NATION_SQL`` keeps, or of ``every`` row."""
-    rows = t("lineitem") if every else t("lineitem").where("l_extendedprice > 104800")
-    rows = rows.join(t("orders"), F.col("o_orderkey") == F.col("l_orderkey"))
+def nation_edges(t) -> DataFrame:
+    """Edges between nations of customers and suppliers that trade, over every order line."""
+    rows = t("lineitem").join(t("orders"), F.col("o_orderkey") == F.col("l_orderkey"))
     rows = rows.join(t("customer"), F.col("c_custkey") == F.col("o_custkey")).join(t("supplier"), F.col("s_suppkey") == F.col("l_suppkey"))
     return rows.where("c_nationkey <> s_nationkey").select(F.col("c_nationkey").alias("src"), F.col("s_nationkey").alias("dst")).distinct()
 
@@ -296,13 +298,56 @@ def q18_cycle_members(t):
     return graph.closure(nation_edges(t)).where("a = b").select(F.col("a").alias("node"))
 
 
-@query(None)
+#: One depth-first search, a row a step: the path, the nodes entered, how many neighbours each node on the path has tried.
+DFS_SQL = """adj AS (SELECT src, list(dst ORDER BY dst) AS out FROM g GROUP BY src),
+names AS (SELECT list(node ORDER BY node) AS every FROM nodes),
+dfs AS (SELECT 0 AS step, CAST([] AS VARCHAR[]) AS path, CAST([] AS VARCHAR[]) AS entered, CAST([] AS BIGINT[]) AS tried, CAST(NULL AS VARCHAR[]) AS cycle
+  UNION ALL
+  SELECT step + 1,
+    CASE WHEN len(path) = 0 THEN [root] WHEN nb IS NULL THEN path[:-2] WHEN list_contains(entered, nb) THEN path ELSE list_append(path, nb) END,
+    CASE WHEN len(path) = 0 THEN list_append(entered, root) WHEN nb IS NOT NULL AND NOT list_contains(entered, nb) THEN list_append(entered, nb) ELSE entered END,
+    CASE WHEN len(path) = 0 THEN [CAST(0 AS BIGINT)] WHEN nb IS NULL THEN tried[:-2]
+      WHEN list_contains(entered, nb) THEN list_append(tried[:-2], tried[-1] + 1) ELSE list_concat(tried[:-2], [tried[-1] + 1, 0]) END,
+    CASE WHEN len(path) > 1 AND list_contains(path, nb) AND list_position(path, nb) < len(path) THEN path[list_position(path, nb):] END
+  FROM (SELECT dfs.*, out[tried[-1] + 1] AS nb, CASE WHEN len(path) = 0 THEN list_filter(every, lambda x: NOT list_contains(entered, x))[1] END AS root
+    FROM dfs CROSS JOIN names LEFT JOIN adj ON adj.src = path[-1]) WHERE len(path) > 0 OR root IS NOT NULL),
+found AS (SELECT min(step) AS step, list_concat(cycle[list_position(cycle, list_min(cycle)):], cycle[:list_position(cycle, list_min(cycle)) - 1]) AS cycle FROM dfs WHERE cycle IS NOT NULL GROUP BY 2),
+ties AS (SELECT src, dst FROM g UNION SELECT dst, src FROM g),
+near AS (SELECT node AS a, node AS b FROM nodes UNION SELECT near.a, ties.dst FROM near JOIN ties ON ties.src = near.b),
+comps AS (SELECT a AS node, min(b) AS comp FROM near GROUP BY a),
+told AS (SELECT comp, row_number() OVER (PARTITION BY comp ORDER BY step) - 1 AS nth, cycle FROM found JOIN comps ON comps.node = cycle[1])
+SELECT comp, CAST(nth AS BIGINT) AS nth, CAST(unnest(range(len(cycle))) AS BIGINT) AS pos, unnest(cycle) AS file FROM told"""
+
+
+@query(f"""WITH RECURSIVE {NATION_SQL}, g AS (SELECT lpad(CAST(src AS VARCHAR), 2, '0') AS src, lpad(CAST(dst AS VARCHAR), 2, '0') AS dst FROM e),
+nodes AS (SELECT lpad(CAST(n_nationkey AS VARCHAR), 2, '0') AS node FROM nation), {DFS_SQL}""")
 def q18b_cycles(t):
     name = lambda c: F.lpad(F.col(c).cast("string"), 2, "0")
-    edges = nation_edges(t, every=True).select(name("src").alias("src"), name("dst").alias("dst"))
+    edges = nation_edges(t).select(name("src").alias("src"), name("dst").alias("dst"))
     return graph.cycles(t("nation").select(name("n_nationkey").alias("node")), edges)
 
 
+#: Sources of one language call their neighbours, and the first source calls the second in every language.
+CALLS_SQL = """nodes AS (SELECT DISTINCT source || '/' || lang AS node, CAST(substr(source, 4) AS INTEGER) AS n, lang FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL),
+g AS (SELECT a.node AS src, b.node AS dst FROM nodes a JOIN nodes b ON abs(a.n - b.n) = 1 AND (a.lang = b.lang OR a.n = 0 AND b.n = 1))"""
+
+
+@query(f"""WITH RECURSIVE {CALLS_SQL}, p AS (SELECT src AS root, [src] AS path, dst AS tip FROM g
+  UNION ALL SELECT root, list_append(path, tip), dst FROM p JOIN g ON g.src = p.tip WHERE tip > root AND NOT list_contains(path, tip) AND len(path) < 40),
+c AS (SELECT path FROM p WHERE tip = root)
+SELECT array_to_string(path, ' ') AS cycle, CAST(len(path) AS BIGINT) AS size FROM c""")
+def q18c_simple_cycles(t):
+    d = t("documents").where("source is not null and lang is not null")
+    rows = d.select(F.concat("source", F.lit("/"), "lang").alias("node"), F.substring("source", 4, 9).cast("int").alias("n"), "lang").distinct()
+    a, b = rows.alias("a"), rows.alias("b")
+    called = (F.abs(F.col("a.n") - F.col("b.n")) == 1) & ((F.col("a.lang") == F.col("b.lang")) | (F.col("a.n") == 0) & (F.col("b.n") == 1))
+    edges = a.join(b, called).select(F.col("a.node").alias("src"), F.col("b.node").alias("dst"))
+    nodes = rows.select("node")
+    found = graph.simple_cycles(nodes, edges)
+    path = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "file"))), lambda x: x["file"]), " ")
+    return found.groupBy("comp", "nth").agg(path.alias("cycle"), F.count("*").alias("size")).select("cycle", "size")
+
+
 # --- project health ---
 
 HOST_SQL = "h AS (SELECT regexp_extract(url, '^https?://([^/?#]+)', 1) AS host, count(*) AS n FROM pages GROUP BY 1)"
@@ -434,7 +479,7 @@ round(least(100, avg(score) * 0.8::DOUBLE + greatest(0, 100 - (SELECT p FROM pen
 def q28_project_score(t):
     files = markdown_results(t).agg(F.avg("score").alias("file_score"))
     edges = t("lineitem").select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst")).distinct()
-    gods = edges.groupBy("dst").count().where("count > 30").agg(F.count("*").alias("gods"))
+    gods = graph.inbound(t("part").select(F.col("p_partkey").alias("node")), edges).agg(F.count_if(F.col("inbound") > 30).alias("gods"))
     crowded = hosts(t).where("files > 25").agg(F.count("*").alias("crowded"))
     cyclic = graph.closure(nation_edges(t)).where("a = b").agg(F.count("*").alias("cycles"))
     d = t("documents")
@@ -482,11 +527,9 @@ def q33_issue_parse(t):
     return fix.parsed_issues(rows, "text").select("file", "kind", "prompt")
 
 
-@query("SELECT user_id FROM events WHERE value > 100 INTERSECT SELECT user_id FROM events WHERE event_type = (SELECT min(event_type) FROM events)")
+@query("""SELECT DISTINCT url FROM pages WHERE length(html) % 3 = 0 AND (ends_with(url, '7') OR ends_with(url, '25') OR ends_with(url, 'x') OR ends_with(url, '#top'))""")
 def q34_diff_intersection(t):
-    e = t("events")
-    first = e.agg(F.min("event_type").alias("event_type"))
-    return e.where("value > 100").select("user_id").intersect(e.join(first, "event_type").select("user_id"))
+    return fix.changed(t("pages").where(F.length("html") % 3 == 0).select("url"), "url", SUFFIXES)
 
 
 def source_rows(t) -> DataFrame:
@@ -514,9 +557,10 @@ def q36_signatures_imports(t):
 @query(f"""WITH f AS (SELECT lang, arg_min(text, doc_id) AS readme, arg_max(text, doc_id) AS agents, string_agg(source, {NL} ORDER BY doc_id) AS sigs FROM documents GROUP BY lang)
 SELECT lang, length(readme || {NL} || agents || {NL} || sigs) // 4 AS token_count, length(readme || {NL} || agents || {NL} || sigs) // 4 > 800 AS alert FROM f""")
 def q37_critical_context(t):
-    signatures = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("doc_id", "source"))), lambda x: x["source"]), "\n")
-    f = t("documents").groupBy("lang").agg(F.min_by("text", "doc_id").alias("readme"), F.max_by("text", "doc_id").alias("agents"), signatures.alias("sigs"))
-    tokens = X.token_estimate(health.critical_context(F.col("readme"), F.col("agents"), F.col("sigs")))
+    f = t("documents").groupBy("lang").agg(
+        F.length(F.min_by("text", "doc_id")).alias("readme"), F.length(F.max_by("text", "doc_id")).alias("agents"), health.joined_length(F.length("source")).alias("signatures")
+    )
+    tokens = X.tokens_of_length(health.critical_length(F.col("readme"), F.col("agents"), F.col("signatures")))
     return f.select("lang", tokens.alias("token_count"), (tokens > 800).alias("alert"))
 
 
@@ -561,10 +605,16 @@ def q42_hidden_paths(t):
     return t("customer").select("c_custkey", path.alias("path"), X.hidden_path(path).alias("hidden"))
 
 
-@query("""WITH e AS (SELECT max(CASE WHEN lower(s) = 'src3' THEN 1 ELSE 0 END) = 1 AS agents_md, FALSE AS linter_config, FALSE AS lock_file, FALSE AS baml_detected FROM (SELECT DISTINCT source AS s FROM documents)) SELECT * FROM e""")
+ENTRY_SQL = """CASE (c_custkey * 7 + c_nationkey) % 160 WHEN 0 THEN 'Agents.MD' WHEN 1 THEN 'ruff.toml' WHEN 2 THEN 'uv.lock' WHEN 3 THEN 'baml_src'
+  WHEN 4 THEN 'generators.baml' WHEN 5 THEN 'AGENTS.md' WHEN 6 THEN 'poetry.lock' WHEN 7 THEN 'Ruff.toml' ELSE c_name END"""
+
+
+@query(f"""WITH n AS (SELECT c_nationkey AS project, {ENTRY_SQL} AS name, c_custkey % 3 = 0 AS is_dir FROM customer)
+SELECT project, bool_or(lower(name) = 'agents.md') AS agents_md, bool_or(name IN ('ruff.toml', '.flake8', '.eslintrc', 'pyproject.toml')) AS linter_config,
+bool_or(name IN ('package-lock.json', 'poetry.lock', 'uv.lock', 'requirements.txt')) AS lock_file, bool_or(name = 'baml_src' AND is_dir OR name = 'generators.baml') AS baml_detected FROM n GROUP BY project""")
 def q43_environment(t):
-    names = t("documents").select(F.when(F.col("source") == "src3", "Agents.MD").otherwise(F.col("source")).alias("name")).distinct()
-    return health.environment(names.withColumn("is_dir", F.lit(False)))
+    entries = t("customer").select(F.col("c_nationkey").alias("project"), F.expr(ENTRY_SQL).alias("name"), (F.col("c_custkey") % 3 == 0).alias("is_dir"))
+    return health.environment(entries, "project")
 
 
 @query("""WITH d AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN '```python' || chr(10) || lang || chr(10) || '```' WHEN 1 THEN 'a ```' || chr(10) || source || '``` b' ELSE '  ' || lang || ' ' END AS answer, lang, source FROM documents)
@@ -575,12 +625,132 @@ def q44_fenced_code(t):
     return fix.fenced(t("documents").select("doc_id", answer.alias("answer")), "answer").select("doc_id", "code")
 
 
-@query("""WITH f AS (SELECT DISTINCT source || '/' || lang || '/m' || doc_id % 20 || CASE WHEN doc_id % 20 = 0 THEN '/__init__.py' ELSE '.py' END AS p, source || '/' || lang || '/m' || doc_id % 20 AS stem FROM documents),
-i AS (SELECT DISTINCT source || '/' || lang || '/m' || doc_id % 20 || CASE WHEN doc_id % 20 = 0 THEN '/__init__.py' ELSE '.py' END AS src, source, lang, doc_id % 20 AS k, 'm' || (doc_id * 3) % 20 AS m FROM documents)
-SELECT DISTINCT i.src, f.p AS dst FROM i JOIN f ON f.stem = CASE WHEN k = 0 THEN source || '/' || lang || '/m0/' || m ELSE source || '/' || lang || '/' || m END WHERE i.src <> f.p""")
+#: A module for each document, and what it imports: a neighbour, one of the package above, or one by its absolute name.
+MODULES_SQL = """d AS (SELECT source || '/' || lang || '/m' || doc_id // 20 % 9 || CASE WHEN doc_id // 20 % 9 = 0 THEN '/__init__.py' ELSE '.py' END AS src, source, lang,
+  doc_id // 20 % 9 AS k, doc_id // 7 % 10 AS j, doc_id // 180 % 5 AS kind FROM documents),
+f AS (SELECT DISTINCT src AS path, regexp_replace(src, '/__init__\\.py$|\\.py$', '') AS stem FROM d),
+i AS (SELECT DISTINCT src, string_split(src, '/') AS parts,
+  CASE kind WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 1 ELSE 0 END AS level,
+  CASE kind WHEN 0 THEN 'm' || j WHEN 1 THEN lang || '/m' || j WHEN 2 THEN '' WHEN 3 THEN lang || '/m' || j ELSE 'm' || j END AS part FROM d),
+r AS (SELECT src, array_to_string(list_filter(list_append(parts[1:len(parts) - level], part), lambda x: x <> ''), '/') AS base FROM i WHERE level > 0),
+a AS (SELECT part, min(path) AS dst FROM (SELECT DISTINCT part FROM i WHERE level = 0) w JOIN f ON ends_with(f.stem, w.part) GROUP BY part)"""
+
+
+@query(f"""WITH {MODULES_SQL} SELECT src, path AS dst FROM r JOIN f ON f.stem = r.base WHERE src <> path UNION SELECT src, dst FROM i JOIN a USING (part) WHERE level = 0 AND src <> dst""")
 def q45_relative_imports(t):
     d = t("documents")
-    k = F.col("doc_id") % 20
+    step = lambda n, m: (F.floor(F.col("doc_id") / n) % m).cast("int")
+    k, j, kind = step(20, 9), F.concat(F.lit("m"), step(7, 10).cast("string")), step(180, 5)
     path = F.concat("source", F.lit("/"), "lang", F.lit("/m"), k.cast("string"), F.when(k == 0, "/__init__.py").otherwise(".py"))
-    rows = d.select(path.alias("rel_path"), F.concat(F.lit("m"), ((F.col("doc_id") * 3) % 20).cast("string")).alias("module"), F.lit(1).alias("level"))
+    module = F.when(kind.isin(1, 3), F.concat("lang", F.lit("."), j)).when(kind != 2, j)  # null: from . import name
+    rows = d.select(path.alias("rel_path"), module.alias("module"), F.when(kind == 1, 2).when(kind.isin(0, 2), 1).otherwise(0).alias("level"))
     return graph.package_edges(rows, rows.select("rel_path").distinct())
+
+
+# --- more programs: each shape's facts, by hand ---
+
+PROGRAMS = [
+    "def f{k}(x):\n    for i in x:\n        pass\n    else:\n        x = 1\n    return x\n",
+    "def f{k}(x):\n    while x:\n        if x > 1:\n            x = 2\n    return x\n",
+    "def f{k}(x) -> int:\n    try:\n        x = 1\n    except ValueError:\n        x = 2\n    except KeyError:\n        x = 3\n    finally:\n        x = 4\n    return x\n",
+    "def f{k}(x):\n    with open(x) as g:\n        for i in g:\n            x = i\n    return x\n",
+    "def f{k}(x):\n    match x:\n        case 1:\n            x = 2\n        case _:\n            x = 3\n    return x\n",
+    "def f{k}(x):\n    def g(y: int):\n        if y:\n            y = 1\n        return y\n    return g\n",
+    "def f{k}(x):\n    h = lambda y: [z for z in y]\n    return h(x)\n",
+    "class C:\n    async def f{k}(self, x) -> None:\n        async for i in x:\n            pass\n",
+    "x = 1\nif x:\n    def f{k}(a: int, *b):\n        return a and b\n",
+    "def f{k}(:\n    return\n",
+]
+#: Shape, unit, line, complexity, lines, whether typed, nesting depth.
+PROGRAM_UNITS = """(0, 'f', 1, 2, 6, FALSE, 1), (1, 'f', 1, 3, 5, FALSE, 2), (2, 'f', 1, 4, 10, TRUE, 1), (3, 'f', 1, 2, 5, FALSE, 2), (4, 'f', 1, 1, 7, FALSE, 0),
+  (5, 'f', 1, 3, 6, FALSE, 1), (5, 'g', 2, 1, 4, TRUE, 1), (6, 'f', 1, 1, 3, FALSE, 2), (7, 'f', 2, 2, 3, TRUE, 1), (8, 'f', 3, 1, 2, TRUE, 0)"""
+#: Shape, mean complexity of all graphs, type coverage, depth, signatures.
+PROGRAM_FILES = """(0, 2, 0, 1, 'def f#(x):'), (1, 3, 0, 2, 'def f#(x):'), (2, 4, 100, 1, 'def f#(x) -> int:'), (3, 2, 0, 2, 'def f#(x):'), (4, 1, 0, 0, 'def f#(x):'),
+  (5, 3, 50, 1, 'def f#(x):|def g(y: int):'), (6, 1, 0, 2, 'def f#(x):'), (7, 2, 100, 1, 'class C:|async def f#(self, x) -> None:'), (8, 3, 100, 1, 'def f#(a: int, *b):'), (9, 0, 0, 0, '')"""
+
+
+def shaped(t, programs: list[str], n: int) -> DataFrame:
+    """A program for each part, its shape by the key."""
+    shape = (F.col("p_partkey") % n).cast("int")
+    text = F.get(F.array(*map(F.lit, programs)), shape)
+    return t("part").select(F.col("p_partkey").cast("string").alias("rel_path"), F.replace(text, F.lit("{k}"), F.col("p_partkey").cast("string")).alias("content"))
+
+
+@query(f"""WITH s(shape, u, lineno, cc, loc, typed, depth) AS (VALUES {PROGRAM_UNITS})
+SELECT CAST(p_partkey AS VARCHAR) AS rel_path, CASE u WHEN 'f' THEN 'f' || p_partkey ELSE u END AS name, CAST(lineno AS BIGINT) AS lineno, CAST(cc AS DOUBLE) AS complexity, CAST(loc AS BIGINT) AS loc,
+round(depth * 2.0::DOUBLE + cc * 1.5::DOUBLE + loc / 50.0::DOUBLE, 6) AS acl, typed AS is_typed, CAST(depth AS BIGINT) AS nesting_depth FROM part JOIN s ON shape = p_partkey % 10""")
+def q46_python_shapes(t):
+    return pycode.facts(shaped(t, PROGRAMS, 10)).select("rel_path", F.inline("units"))
+
+
+@query(f"""WITH s(shape, cc, coverage, depth, heads) AS (VALUES {PROGRAM_FILES})
+SELECT CAST(p_partkey AS VARCHAR) AS rel_path, shape <> 9 AS parsed, CAST(cc AS DOUBLE) AS mean_complexity, CAST(coverage AS DOUBLE) AS type_coverage, CAST(depth AS BIGINT) AS max_depth,
+replace(replace(heads, '#', CAST(p_partkey AS VARCHAR)), '|', {NL}) AS signatures FROM part JOIN s ON shape = p_partkey % 10""")
+def q47_python_files(t):
+    f = pycode.facts(shaped(t, PROGRAMS, 10))
+    return f.select("rel_path", "parsed", "mean_complexity", "type_coverage", "max_depth", F.array_join("signatures", "\n").alias("signatures"))
+
+
+SCRIPTS = [
+    "function f{k}(a) {\n  if (a && a.b || a.c) {\n    return 1;\n  }\n  return 2;\n}\n",
+    "function f{k}(a: number): number {\n  for (let i = 0; i < a; i++) {\n    while (i) {\n      i--;\n    }\n  }\n  return a;\n}\n",
+    "const f{k} = (a) => {\n  switch (a) {\n    case 1:\n      return 1;\n    case 2:\n      return 2;\n    default:\n      return 3;\n  }\n};\n",
+    "class C {\n  f{k}(a) {\n    try {\n      a();\n    } catch (e) {\n      a(e);\n    }\n  }\n}\n",
+    "const s = `if (${1}) { while (x) }`;\n// if (a) {}\nconst r = /if (x)/g;\nfunction f{k}() { return a ? b : c; }\n",
+    "export async function f{k}(a) {\n  do {\n    a--;\n  } while (a);\n  return [1].map((x) => x + 1);\n}\n",
+]
+#: Shape, unit, line, complexity, lines, whether typed, nesting depth.
+SCRIPT_UNITS = """(0, 'f', 1, 4, 6, FALSE, 1), (1, 'f', 1, 3, 8, TRUE, 2), (2, 'anonymous', 1, 3, 10, FALSE, 1), (3, 'f', 2, 2, 7, FALSE, 2), (4, 'f', 4, 1, 1, FALSE, 0),
+  (5, 'f', 1, 2, 6, FALSE, 1), (5, 'anonymous', 5, 1, 1, FALSE, 0)"""
+
+
+def scripts(t) -> DataFrame:
+    return jscode.facts(shaped(t, SCRIPTS, 6)).select("rel_path", F.inline("units"))
+
+
+@query(f"""WITH s(shape, u, lineno, cc, loc, typed, depth) AS (VALUES {SCRIPT_UNITS})
+SELECT CAST(p_partkey AS VARCHAR) AS rel_path, CASE u WHEN 'f' THEN 'f' || p_partkey ELSE u END AS name, CAST(lineno AS BIGINT) AS lineno, CAST(cc AS DOUBLE) AS complexity, CAST(loc AS BIGINT) AS loc,
+round(depth * 2.0::DOUBLE + cc * 1.5::DOUBLE + loc / 50.0::DOUBLE, 6) AS acl, typed AS is_typed, CAST(depth AS BIGINT) AS nesting_depth FROM part JOIN s ON shape = p_partkey % 6""")
+def q48_javascript_units(t):
+    return scripts(t)
+
+
+@query(f"""WITH s(shape, u, lineno, cc, loc, typed, depth) AS (VALUES {SCRIPT_UNITS}), l AS (SELECT shape, count(*) AS n, avg(cc) AS cc, sum(CAST(typed AS INTEGER)) * 100.0::DOUBLE / count(*) AS idx,
+count(*) FILTER (depth * 2 + cc * 1.5 + loc / 50.0 > 8) AS red, count(*) FILTER (depth * 2 + cc * 1.5 + loc / 50.0 > 6 AND depth * 2 + cc * 1.5 + loc / 50.0 <= 8) AS yellow FROM s GROUP BY shape),
+p AS (SELECT p_partkey, l.*, p_partkey % 2 = 0 AND idx < 90 AS held FROM part JOIN l ON shape = p_partkey % 6)
+SELECT CAST(p_partkey AS VARCHAR) AS rel_path, CAST(100 - 15 * red - 5 * yellow - CASE WHEN held THEN 20 ELSE 0 END AS BIGINT) AS score, round(cc, 6) AS complexity,
+concat_ws(', ', CASE WHEN red > 0 THEN red || ' Red ACL functions (-' || 15 * red || ')' END, CASE WHEN yellow > 0 THEN yellow || ' Yellow ACL functions (-' || 5 * yellow || ')' END,
+  CASE WHEN held THEN 'Type Safety Index ' || printf('%.0f', idx) || '% < 90% (-20)' END) AS issues FROM p""")
+def q49_javascript_score(t):
+    """Every second file is held to types, as TypeScript is."""
+    s = scoring.unit_stats(scripts(t), "rel_path", F.lit(8), F.lit(6))
+    given = {"loc": 10, "cumulative": 0, "token_limit": 32000, "type_safety": 90}
+    c = scoring.penalised("JavaScript", F.col("rel_path").cast("long") % 2 == 0)
+    return s.withColumns({k: F.lit(v) for k, v in given.items()}).select("rel_path", *[c[k].alias(k) for k in ("score", "complexity", "issues")])
+
+
+@query("""SELECT CAST(c_custkey AS VARCHAR) AS rel_path, c_custkey % 7 <> 0 AS valid, CAST(CASE WHEN c_custkey % 7 = 0 THEN 0 ELSE 1 + c_custkey % 4 END AS BIGINT) AS depth FROM customer""")
+def q50_yaml_toml_depth(t):
+    """Nested tables in TOML and nested lists of mappings in YAML; every seventh text is malformed."""
+    n = (1 + F.col("c_custkey") % 4).cast("int")
+    keys = F.transform(F.sequence(F.lit(1), n), lambda k: F.concat(F.lit("k"), k.cast("string")))
+    toml = F.concat(F.lit("a = 1 # {{\n["), F.array_join(keys, "."), F.lit("]\nv = '[[{'\ne = []\n"))
+    levels = F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.concat(F.repeat(F.lit("  "), k), F.lit("k:\n")))
+    yaml = F.concat(F.array_join(levels, ""), F.repeat(F.lit("  "), n), F.lit("v: \"[{\"\n"), F.repeat(F.lit("  "), n), F.lit("e: {}\n"))
+    is_toml = F.col("c_custkey") % 2 == 0
+    broken = F.when(is_toml, F.lit("a = = 1\n")).otherwise("a: [1\nb: }\n")
+    text = F.when(F.col("c_custkey") % 7 == 0, broken).when(is_toml, toml).otherwise(yaml)
+    ext = F.when(is_toml, ".toml").when(F.col("c_custkey") % 3 == 0, ".YAML").otherwise(".yml")
+    return configs.facts(t("customer").select(F.col("c_custkey").cast("string").alias("rel_path"), text.alias("content"), ext.alias("ext")))
+
+
+@query("""SELECT c_custkey, 'src' || c_custkey % 3 || '.py' AS file, CASE WHEN c_custkey % 2 = 0 THEN 'High Cognitive Load' ELSE 'Low Type Safety' END AS kind,
+'Refactor: src' || c_custkey % 3 || '.py (' || CASE WHEN c_custkey % 2 = 0 THEN 'High Cognitive Load' ELSE 'Low Type Safety' END || ')' AS title
+FROM customer WHERE c_custkey % 2 = 0 AND c_mktsegment <> 'BUILDING'""")
+def q51_new_issues(t):
+    """Issues of heavy files that are not open yet; those of one market segment are."""
+    kind = F.when(F.col("c_custkey") % 2 == 0, "High Cognitive Load").otherwise("Low Type Safety")
+    found = t("customer").select("c_custkey", "c_mktsegment", F.concat(F.lit("src"), (F.col("c_custkey") % 3).cast("string"), F.lit(".py")).alias("file"), kind.alias("kind"), F.lit("Do it.").alias("prompt"))
+    wanted = issues.wanted(found).withColumn("key", F.concat("title", F.lit(" "), "c_custkey"))
+    open_ = wanted.where("c_mktsegment = 'BUILDING'").select("key")
+    return fix.new_issues(wanted, open_, "key").select("c_custkey", "file", "kind", "title")

@@ -7,9 +7,10 @@ see the tree, and each file is read once.
 from __future__ import annotations
 
 import os
+import re
 import subprocess
 import tomllib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -89,8 +90,10 @@ def _universal(text: str) -> str:
     return text.replace("\r\n", "\n").replace("\r", "\n")
 
 
-def files(spark: SparkSession, root: str) -> DataFrame:
-    return read_files(spark, listing(root))
+def files(spark: SparkSession, root: str, names: Iterable[str] = ()) -> DataFrame:
+    """All analyzable files, and those whose names match one of some regular expressions."""
+    more = [re.compile(n) for n in names]
+    return read_files(spark, listing(root, lambda n: analyzable(n) or any(p.search(n) for p in more)))
 
 
 def python_files(spark: SparkSession, root: str, prune: Callable[[str], bool] = never) -> DataFrame:

@@ -13,9 +13,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one only where the cluster names none."""
+    """The folder that all executors share; a temporary one only in local mode, where it may be unset."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not (spark.sparkContext.master or "").startswith("local") or "cluster" in spark.sparkContext.master:
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="skarn-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")

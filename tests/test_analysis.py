@@ -104,6 +104,40 @@ def test_command_line(spark, tree, capsys, tmp_path):
     assert cli.main(["fix", root, "--agent", "jules"]) == 0 and "created agents.md" in capsys.readouterr().out
 
 
+def test_score_prints_and_fixes(spark, tree, capsys):
+    root = tree({f"m{i}.py": "import hub\n" for i in range(51)} | {"hub.py": ""})
+    cli.main(["score", root, "--agent", "jules"])
+    out = capsys.readouterr().out
+    assert "Environment Health" in out and "Critical Token Count" in out and "God Modules Detected (Inbound > 50): hub.py" in out and "Missing Critical Agent Docs" in out
+    assert cli.main(["score", root, "--agent", "jules", "--fix", "--fail-under", "0"]) == 0
+    assert "Missing Critical Agent Docs" not in capsys.readouterr().out
+    with open(f"{root}/agents.md") as f:
+        assert "Agent Context" in f.read()
+
+
+def test_repair_writes_what_parses(spark, tree):
+    root = tree({"a.py": "def f(x):\n    return x\n", "b.py": "def g(x: int):\n    return x\n", "c.py": "def h(x):\n    return x\n"})
+    answer = lambda system, user: "def broken(" if "def h" in user else "```python\ndef f(x: int):\n    return x\n```"
+    assert sorted(cli.repair(spark, root, "generic", None, answer)) == ["README.md", "a.py"]
+    with open(f"{root}/a.py") as f:
+        assert f.read() == "def f(x: int):\n    return x"
+
+
+def test_registered_language(spark, tree):
+    def units(files, tokens):
+        given = {"ord": F.lit(0), "name": F.lit("all"), "lineno": F.lit(1), "complexity": F.lit(1.0), "loc": F.lit(1), "acl": F.lit(20.0), "is_typed": F.lit(True), "nesting_depth": F.lit(0)}
+        return files.select("rel_path").withColumns(given)
+
+    score = lambda: {"score": F.lit(100) - F.col("n_red") * 15, "issues": F.lit("heavy")}
+    analysis.register(analysis.Analyzer("Ruby", units, score=score, names=r"\.rb$"))
+    try:
+        a = analysis.perform_analysis(spark, tree({"a.rb": "x = 1\n\ny = 2\n", "b.py": "x = 1\n"}))
+        row = {r["file"]: r for r in a.file_rows()}["a.rb"]
+        assert (row["language"], row["score"], row["issues"], row["loc"], row["type_coverage"]) == ("Ruby", 85, "heavy", 2, 100.0)
+    finally:
+        del analysis.ANALYZERS["Ruby"]
+
+
 def test_changed_files_without_git(tmp_path):
     assert repo.changed_files(str(tmp_path)) == []
 

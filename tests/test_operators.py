@@ -1,10 +1,15 @@
 """Operators over small tables with known results."""
 
 import random
+import subprocess
+from types import SimpleNamespace
 
+import pytest
 from pyspark.sql import functions as F
 
+from skarn import metrics
 from skarn.operators import fix, graph, health, prompts, report, scoring, segment
+from skarn.sources import issues, models
 
 
 def frame(spark, rows, schema):
@@ -209,3 +214,86 @@ def test_fix(spark, tmp_path):
     assert [r["file"] for r in parsed.collect()] == ["a.py", "b.py"] and '"a.py"' in fix.typing_tasks(parsed).first()["json"]
     limited = fix.limited(frame(spark, [("ba.py",), ("c.py",)], "p string"), "p", ["a.py"])
     assert [r["p"] for r in limited.collect()] == ["ba.py"] and fix.limited(limited, "p", []).count() == 0
+
+
+def test_changed_and_limited(spark):
+    rows = frame(spark, [("a.py",), ("a.py",), ("b.py",)], "p string")
+    assert sorted(r["p"] for r in fix.changed(rows, "p").collect()) == ["a.py", "b.py"]
+    assert [r["p"] for r in fix.changed(rows, "p", ["a.py"]).collect()] == ["a.py"] and fix.changed(rows, "p", []).count() == 0
+
+
+class Memory:
+    """A tracker that remembers."""
+
+    def __init__(self, *titles):
+        self.titles, self.bodies = list(titles), {}
+
+    def open_titles(self):
+        return self.titles
+
+    def create(self, title, body):
+        self.titles.append(title)
+        self.bodies[title] = body
+        return f"#{len(self.titles)}"
+
+
+def test_issues(spark):
+    text = "".join(f"### File: `{f}` - {k}\nfix {f}\n\n" for f, k in (("a.py", "High Cognitive Load"), ("b.py", "High Cognitive Load"), ("c.py", "Low Type Safety"), ("b.py", "High Cognitive Load")))
+    parsed = fix.parsed_issues(frame(spark, [(text,)], "t string"), "t")
+    tracker = Memory("Refactor: a.py (High Cognitive Load)")
+    assert issues.publish(parsed, tracker) == ["#2"] and tracker.bodies == {"Refactor: b.py (High Cognitive Load)": "fix b.py"}
+    assert issues.publish(parsed, tracker) == [] and issues.publish(parsed.limit(0), tracker) == []
+
+
+def test_github_tracker(monkeypatch):
+    calls = []
+
+    def run(command, **_):
+        calls.append(command)
+        if "edit" in command and command[-1] == "ai-ready":
+            raise subprocess.CalledProcessError(1, command)
+        return subprocess.CompletedProcess(command, 0, stdout='[{"title": "x"}]' if "list" in command else "https://example.org/1\n")
+
+    monkeypatch.setattr(subprocess, "run", run)
+    tracker = issues.GithubTracker()
+    assert tracker.open_titles() == ["x"] and tracker.create("t", "b") == "https://example.org/1"
+    assert tracker.failed_labels == ["ai-ready"] and calls[1] == ["gh", "issue", "create", "--title", "t", "--body", "b"]
+
+
+def test_model(capsys):
+    seen = []
+
+    def complete(**given):
+        seen.append(given)
+        return SimpleNamespace(choices=[SimpleNamespace(message=SimpleNamespace(content="code"))])
+
+    assert models.Model.from_config({"model": "m", "api_key": "k"}, complete)("s", "u") == "code"
+    assert seen == [{"model": "m", "api_key": "k", "temperature": 0.0, "messages": [{"role": "system", "content": "s"}, {"role": "user", "content": "u"}]}]
+    assert models.Model.from_config(None).name == models.DEFAULT_MODEL
+
+    def broken(**_):
+        raise RuntimeError("no answer")
+
+    assert models.Model(complete=broken)("s", "u") == "" and "no answer" in capsys.readouterr().err
+    try:
+        import litellm  # noqa: F401
+    except ImportError:
+        with pytest.raises(ImportError, match="litellm is required"):
+            models.Model()("s", "u")
+
+
+def test_single_file_measures(tmp_path):
+    p = tmp_path / "a.py"
+    p.write_text("import x\n# note\n\ndef f(a: int):\n    if a:\n        return 1\n\nasync def g(b):\n    return 2\n")
+    path = str(p)
+    assert (metrics.loc(path), metrics.complexity(path), metrics.type_coverage(path), metrics.tokens(path)) == (6, 1.5, 50.0, len(p.read_text()) // 4)
+    assert [u["name"] for u in metrics.units(path)] == ["f", "g"] and metrics.max_depth(p.read_text()) == 1 and metrics.max_depth("def (") == 0
+    assert metrics.load(4, 50, 2) == 11.0 and "types 50%" in metrics.dump(path) and "Yellow: f" in metrics.dump(path, yellow=1)
+    p.write_text("def (")
+    assert (metrics.complexity(path), metrics.type_coverage(path), metrics.units(path)) == (0.0, 0.0, [])
+
+
+def test_environment_table():
+    health_ = {"agents_md": False, "lock_file": True, "baml_detected": True, "agentic_ecosystem": {"has_context_files": False, "found_files": [], "found_frameworks": ["baml"]}}
+    text = report.environment_table(health_, {"avg_files": 3.25, "warning": True}, {"token_count": 12345, "alert": False})
+    assert [line[24:] for line in text.splitlines()[1:]] == ["FAIL", "PASS", "PASS (baml)", "None", "3.2 files/dir (warning)", "12,345 tokens"]
