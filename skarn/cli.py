@@ -24,6 +24,7 @@ def parser() -> argparse.ArgumentParser:
     s.add_argument("--agent", default="generic")
     s.add_argument("--fix", action="store_true", help="create missing documents first, and rewrite files if a model is named")
     s.add_argument("--model", help="a language model for rewrites")
+    s.add_argument("--tokens", default="chars4", help="a .tiktoken file or the name of a vocabulary; by default a quarter of the characters")
     s.add_argument("--fail-under", type=float, default=scoring.PASS_MARK)
     s.add_argument("--report")
     s.add_argument("--report-style", choices=["full", "actionable", "collapsed"], default="full")
@@ -53,9 +54,9 @@ def score(spark, o) -> int:
         limit = [r["path"] for r in fix.changed(changed, "path", limit).orderBy("path").toLocalIterator()]
     if o.fix:
         repair(spark, o.path, o.agent, o.model)
-    a = analysis.perform_analysis(spark, o.path, o.agent, limit, report_style=o.report_style)
+    a = analysis.perform_analysis(spark, o.path, o.agent, limit, report_style=o.report_style, tokens=o.tokens)
     if o.verbosity != "quiet":
-        print(report.environment_table(a.health, analysis.directory_entropy(spark, o.path), analysis.critical_context(spark, o.path)))
+        print(report.environment_table(a.health, analysis.directory_entropy(spark, o.path), analysis.critical_context(spark, o.path, analysis.token_counter(o.tokens))))
         for issue in a.project_issues:
             print(issue)
         shown = report.visible(a.results, o.verbosity).orderBy("file")

@@ -12,7 +12,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skarn.functions import configs, jscode, pycode
+from skarn.functions import configs, jscode, pycode, tokens
 from skarn.functions import text as X
 from skarn.operators import fix, graph, health, report, scoring, segment
 from skarn.sources import repo
@@ -73,19 +73,9 @@ class Analysis:
         return [r.asDict(recursive=True) for r in self.results.orderBy("file").toLocalIterator()]
 
 
-def token_counter(name: str = "chars4"):
-    """Token counts as an expression: a quarter of the characters, or a public BPE vocabulary if it is at hand."""
-    if name == "chars4":
-        return X.token_estimate
-    import tiktoken
-
-    encoding = tiktoken.get_encoding(name)
-
-    @F.pandas_udf("int")
-    def count(text):
-        return text.map(lambda s: len(encoding.encode(s, disallowed_special=())) if isinstance(s, str) else 0)
-
-    return count
+def token_counter(name: str = "chars4") -> Callable[[Column], Column]:
+    """Token counts as an expression: a quarter of the characters, or a BPE vocabulary by file or name."""
+    return X.token_estimate if name == "chars4" else tokens.counter(name)
 
 
 def threshold_table(spark: SparkSession, config: dict, thresholds: dict | None) -> DataFrame:

@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from skarn.functions import configs, jscode, pycode
+from skarn.functions import configs, jscode, pycode, tokens
 from skarn.functions import text as X
 
 
@@ -138,3 +138,23 @@ def test_config_parsers(spark):
     rows = [("a", ".json", '{"a": NaN}'), ("b", ".json", "{"), ("c", ".TOML", "[a.b]\nx = 1"), ("d", ".yaml", "a:\n  b: [1]"), ("e", ".yml", "a: ["), ("f", ".json", None)]
     got = configs.facts(spark.createDataFrame(rows, "rel_path string, ext string, content string")).collect()
     assert {r["rel_path"]: (r["valid"], r["depth"]) for r in got} == {"a": (True, 0), "b": (False, 0), "c": (True, 2), "d": (True, 2), "e": (False, 0), "f": (False, 0)}
+
+
+def test_tokens_of_a_vocabulary(spark, tmp_path):
+    tiktoken = pytest.importorskip("tiktoken")
+    P = pytest.importorskip("public_tokenizers")
+    path = P.path("byte_bpe_50k.tiktoken")
+    lib = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=tokens.read_ranks(path), special_tokens={})
+    texts = ["", None, "def f(x):\n    return x\n", "it's I'll  <|endoftext|>\n\n é 日本 123", "a" * 500]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    got = [r["n"] for r in df.select("k", tokens.counter(path)(F.col("t")).alias("n")).orderBy("k").collect()]
+    assert got == [len(lib.encode_ordinary(t)) if t else 0 for t in texts]
+
+
+def test_analysis_by_a_vocabulary(spark, tree):
+    P = pytest.importorskip("public_tokenizers")
+    pytest.importorskip("tiktoken")
+    from skarn.plans import analysis
+
+    a = analysis.perform_analysis(spark, tree({"a.py": "x = 1\n" * 40, "README.md": "# R\n"}), tokens=P.path("byte_bpe_50k.tiktoken"))
+    assert {r["file"]: r["tokens"] for r in a.file_rows()}["a.py"] == 40 * 4
