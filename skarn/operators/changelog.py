@@ -41,11 +41,11 @@ def categorised(lines: DataFrame) -> DataFrame:
     return lines.select("ord", category.alias("category"), entry.alias("entry")).where("entry is not null")
 
 
-def changelog(version: str, rows: list) -> str:
-    """Markdown of categorised rows in order."""
+def changelog(version: str, rows: list, heading: str = "Release", lead: str = "") -> str:
+    """Markdown of categorised rows in order. What a project says of itself, ``heading`` and ``lead``, is the caller's."""
     if not rows:
         return f"## {version}\n\nNo changes identified in this release."
-    out = [f"## Release {version}\n"]
+    out = [f"## {heading} {version}\n", *[f"{lead}\n"] * bool(lead)]
     for name in (FEATURES, FIXES, MAINTENANCE):
         entries = [r["entry"] for r in rows if r["category"] == name]
         if entries:

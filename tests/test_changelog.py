@@ -9,3 +9,8 @@ def test_categories(spark, tmp_path):
     assert "## Release v2" in text and text.index("Features") < text.index("Bug Fixes") < text.index("Maintenance")
     assert "No changes" in changelog.changelog("v1", [])
     assert changelog.commits(spark, str(tmp_path))[1].count() == 0
+
+
+def test_heading_and_lead():
+    rows = [{"category": changelog.FEATURES, "entry": "- feat: a (1)"}]
+    assert changelog.changelog("v1", rows, "Notes:", "All about a.").splitlines()[:3] == ["## Notes: v1", "", "All about a."]
