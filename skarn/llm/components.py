@@ -12,21 +12,21 @@ class UnionFind:
     """Union by smallest member, with path halving."""
 
     def __init__(self):
-        self.up: dict[int, int] = {}
+        self.up: dict = {}
 
-    def find(self, x: int) -> int:
+    def find(self, x):
         up = self.up
         while (p := up.setdefault(x, x)) != x:
             up[x] = up[p] = up.setdefault(p, p)
             x = up[x]
         return x
 
-    def join(self, a: int, b: int) -> None:
+    def join(self, a, b) -> None:
         a, b = self.find(a), self.find(b)
         if a != b:
             self.up[max(a, b)] = min(a, b)
 
-    def forest(self) -> list[tuple[int, int]]:
+    def forest(self) -> list[tuple]:
         """``(member, smallest member)`` of all but the smallest ones."""
         return [(x, r) for x in list(self.up) if (r := self.find(x)) != x]
 
@@ -34,6 +34,8 @@ class UnionFind:
 def _forest(edges: DataFrame) -> DataFrame:
     """A star forest for each partition's edges; as many rows as its nodes at most."""
 
+    kind = dict(edges.dtypes)["hi"]
+
     def run(batches):
         import pyarrow as pa
 
@@ -44,16 +46,17 @@ def _forest(edges: DataFrame) -> DataFrame:
         rows = sets.forest()
         for i in range(0, len(rows), 10_000):
             hi, lo = zip(*rows[i : i + 10_000])
-            yield pa.RecordBatch.from_arrays([pa.array(hi, pa.int64()), pa.array(lo, pa.int64())], ["hi", "lo"])
+            yield pa.RecordBatch.from_pydict({"hi": hi, "lo": lo}, schema=pa.schema([(c, pa.binary() if kind == "binary" else pa.int64()) for c in ("hi", "lo")]))
 
-    return edges.mapInArrow(run, "hi long, lo long")
+    return edges.mapInArrow(run, f"hi {kind}, lo {kind}")
 
 
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """``node, component`` (the smallest node reachable) of every node that has an edge to another one.
 
     Large and small stars alternate (Kiveris et al., 2014) until nothing changes; each round is a written
-    table, so lineage stays short. No null ends; loops are dropped.
+    table, so lineage stays short. Nodes are longs or binary strings; no null ends; loops are dropped. Stars meet their
+    centre's smallest neighbour in a join between two exchanges, so adaptive execution can split a large star.
     """
     e = edges.select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).where("hi <> lo")
     e = durable(_forest(e), "forest")
@@ -65,7 +68,7 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         mark = now
         both = e.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(e.select("lo", "hi"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
+        large = both.where("v > u").join(durable(least, "least").hint("merge"), "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
         root = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = large.join(root, "hi").select(F.explode(F.array(F.struct("hi", F.col("m").alias("lo")), F.struct(F.col("lo").alias("hi"), F.col("m").alias("lo")))).alias("e"))
         e = durable(small.select("e.*").where("hi <> lo").distinct(), "stars")

@@ -51,7 +51,7 @@ def op7_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.group(table(spark, sf_dir, "documents"), k=2, percent=80)
+    return neardup.group(table(spark, sf_dir, "documents"), k=2, percent=80).drop("key", "root")
 
 
 def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
