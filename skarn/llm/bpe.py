@@ -280,7 +280,7 @@ class ByteLevelEncoder:
         starts = ends - np.diff(ends, prepend=0)
         kind = _CLASS[data]
         # U+00C0 to U+023F are letters of two bytes, but for the signs U+00D7 and U+00F7.
-        two = np.flatnonzero((data >= 0xC3) & (data <= 0xC8))
+        two = np.flatnonzero((data[:-1] >= 0xC3) & (data[:-1] <= 0xC8))
         kind[two] = kind[two + 1] = _LETTER
         kind[two[(data[two] == 0xC3) & ((data[two + 1] == 0x97) | (data[two + 1] == 0xB7))]] = _WIDE
         lead = starts[(ends - starts > 1) & (data[starts] == 0x20)]
