@@ -45,9 +45,10 @@ def decoder(spark: SparkSession, block: int = BLOCK) -> Callable[[Column], Colum
     return jvm.function(spark, _SOURCE, "IdCoder", reads=True, block=block)
 
 
-def write_ids(docs: DataFrame, model: Bpe, end_id: int | None = 2, id_col: str = "doc_id", text_col: str = "text", frame_ids: int = FRAME) -> DataFrame:
+def write_ids(docs: DataFrame, model: Bpe, end_id: int | None = 2, id_col: str = "doc_id", text_col: str = "text", frame_ids: int = FRAME, path: str | None = None) -> DataFrame:
     """Encode every whole text, append ``end_id``, and write the file in ascending id order; returns the table read back.
 
+    It lasts if ``path`` names a folder for it, else as long as the driver.
     A row is a frame: ``part`` and ``frame`` give its place in the file, ``at`` the ids of its part before it, ``doc_ids`` and
     ``lens`` its documents, ``coded`` its blocks. Null text counts as empty; a null id sorts first; rows with equal ids stay
     next to one another and, as order asks for it, in one part. A document is never split: a long one makes a long frame,
@@ -89,7 +90,11 @@ def write_ids(docs: DataFrame, model: Bpe, end_id: int | None = 2, id_col: str =
     n = max(src.rdd.getNumPartitions(), int(spark.conf.get("spark.sql.shuffle.partitions")))
     ordered = src.repartitionByRange(n, F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), "text")
     frames = ordered.mapInArrow(run, "part int, frame int, at long, doc_ids array<long>, lens array<long>, raw binary")
-    return durable(frames.select("part", "frame", "at", "doc_ids", "lens", encoder(spark)(F.col("raw")).alias("coded")), "token-ids", codec="none")
+    coded = frames.select("part", "frame", "at", "doc_ids", "lens", encoder(spark)(F.col("raw")).alias("coded"))
+    if path is None:
+        return durable(coded, "token-ids", codec="none")
+    coded.write.option("compression", "none").parquet(path)
+    return spark.read.parquet(path)
 
 
 def read_ids(frames: DataFrame, digest: bool = False) -> DataFrame:

@@ -205,3 +205,10 @@ def test_token_files(spark, byte_level, frame_ids):
     crc = {r["start"]: r["ids_crc32"] for r in idcodec.read_ids(frames, digest=True).collect()}
     assert crc == {r["start"]: zlib.crc32(np.array(r["ids"], "<u4").tobytes()) for r in got}
     assert idcodec.read_ids(idcodec.write_ids(docs(spark).limit(0), model)).collect() == []
+
+
+def test_token_files_that_last(spark, byte_level, tmp_path):
+    path = f"file://{tmp_path}/ids"
+    idcodec.write_ids(docs(spark), byte_level[0], path=path)
+    lasting = sorted(tuple(r) for r in idcodec.read_ids(spark.read.parquet(path), digest=True).drop("doc_id").collect())
+    assert lasting == sorted(tuple(r) for r in idcodec.read_ids(idcodec.write_ids(docs(spark), byte_level[0]), digest=True).drop("doc_id").collect()) and len(lasting) == 6
