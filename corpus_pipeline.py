@@ -19,17 +19,22 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-copies (five-word shingles, similarity 0.8) stays: the one with the smallest id.
+    """One row of each group of near-copies (five-word shingles, similarity 0.8) stays: one with the smallest id.
 
-    Rows with a null id stay, and texts without words, which are linked with nothing.
+    Rows with a null id stay, and texts without words, which are linked with nothing. Each row is a document: rows that
+    share an id and hold different texts fall by their own groups, and of equal rows one stays.
     """
-    lost = neardup.group(docs, k=5, percent=80).where(~F.col("kept")).select("doc_id")
-    out = docs.join(lost.hint("merge"), "doc_id", "left_anti").select(docs.columns)
-    # Rows that share an id are one document: only then is a choice between them needed.
-    if not docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
-        rows = F.struct(*[F.col(c) for c in docs.columns])
-        single = out.where("doc_id is not null").groupBy("doc_id").agg(F.min(rows).alias("row")).select("row.*")
-        out = single.union(out.where("doc_id is null"))
+    found = durable(neardup.group(docs, k=5, percent=80), "near-duplicates")
+    keyed = docs.withColumns({"__id": F.col("doc_id").cast("long"), "__key": neardup.text_key(F.col("text"))})
+    lost = found.where(~F.col("kept")).select(F.col("doc_id").alias("__id"), F.col("key").alias("__key")).distinct()
+    out = keyed.join(lost.hint("merge"), ["__id", "__key"], "left_anti").select(docs.columns)
+    # Several rows of a group share its smallest id only where ids repeat: then one of them is chosen.
+    several = found.where("kept and root is not null").groupBy("root").agg(F.count("*").alias("n"), F.min("key").alias("least")).where("n > 1")
+    if not several.isEmpty():
+        fate = found.join(several, "root").where("kept").select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), (F.col("key") == F.col("least")).alias("__first")).distinct()
+        keyed = out.withColumns({"__id": F.col("doc_id").cast("long"), "__key": neardup.text_key(F.col("text"))}).join(fate.hint("merge"), ["__id", "__key"], "left")
+        first = keyed.where("__first").groupBy("__id", "__key").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
+        out = keyed.where("__first is null").select(docs.columns).union(first)
     return out
 
 
