@@ -15,10 +15,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that all executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """Folder that all executors share: ``spark.checkpoint.dir``.
+
+    Where that is unset, a temporary one in local mode; elsewhere executors would each write to a disk of their own, so
+    that is refused.
+    """
     conf = spark.sparkContext.getConf()
     found = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not (spark.sparkContext.master or "").startswith("local") or "cluster" in spark.sparkContext.master:
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="skarn-checkpoint-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -28,11 +34,13 @@ def durable(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
     Cuts lineage: a later failure re-reads the committed files instead of replaying Python work,
-    and losing an executor loses nothing.
+    and losing an executor loses nothing. The table goes when the driver's JVM ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
     return spark.read.schema(nullable(df.schema)).parquet(path)
 
 
@@ -89,7 +97,31 @@ def hash_words(buf: np.ndarray, doc_ends: np.ndarray, word_byte: np.ndarray) ->
 
     ``doc_ends`` are end offsets. Returns the 64-bit word hashes in order, and for each text the
     number of words up to its end. The hash is polynomial over lower-cased bytes, finalised with the length.
+    A long buffer is hashed in parts that end between words, so beside the hashes (8 bytes a word) memory is that of
+    a part, or of the longest word.
     """
+    if len(buf) <= 2 * CHUNK_BYTES:
+        return _hash_part(buf, doc_ends, word_byte)
+    hashes, upto = [], np.zeros(len(doc_ends), np.int64)
+    at = n = 0
+    while at < len(buf):
+        stop = at + CHUNK_BYTES
+        while stop < len(buf):
+            gap = np.flatnonzero(~word_byte[LOWER[buf[stop : stop + 4096]]])
+            stop += int(gap[0]) if len(gap) else 4096
+            if len(gap):
+                break
+        stop = min(stop, len(buf))
+        i, j = np.searchsorted(doc_ends, [at, stop], side="right")
+        part, before = _hash_part(buf[at:stop], doc_ends[i:j] - at, word_byte)
+        hashes.append(part)
+        upto[i:j] = before + n
+        n += len(part)
+        at = stop
+    return np.concatenate(hashes), upto
+
+
+def _hash_part(buf: np.ndarray, doc_ends: np.ndarray, word_byte: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if not len(buf):
         return np.zeros(0, np.uint64), np.zeros(len(doc_ends), np.int64)
     low = LOWER[buf]
