@@ -39,9 +39,14 @@ def bisect_order(x: np.ndarray, leaf: int) -> np.ndarray:
 
 
 def quantised(vectors: DataFrame, id_col: str, vec_col: str, scale: float) -> DataFrame:
-    """``id, v``: floor(scale * x) of usable vectors; null vectors, null or non-finite components and null ids drop out."""
-    v = F.transform(F.col(vec_col).cast("array<double>"), lambda x: F.floor(x * F.lit(scale)).cast("long"))
-    fine = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(2.0**53 / max(scale, 1.0)))
+    """``id, v``: floor(scale * x) of usable vectors; null and empty vectors, null or non-finite components and null ids drop out.
+
+    A finite component whose integer doesn't fit into 64 bits raises an error.
+    """
+    fits = lambda x: F.abs(x * F.lit(scale)) < F.lit(2.0**63)
+    whole = lambda x: F.when(fits(x), F.floor(x * F.lit(scale)).cast("long")).otherwise(F.raise_error(F.lit("a component beyond 64 bits")).cast("long"))
+    fine = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))
+    v = F.transform(F.col(vec_col).cast("array<double>"), whole)
     ok = F.forall(F.col(vec_col).cast("array<double>"), fine) & (F.size(vec_col) > 0) & F.col(id_col).isNotNull()
     return vectors.where(ok).select(F.col(id_col).cast("long").alias("id"), v.alias("v"))
 
@@ -84,14 +89,20 @@ def _packed(rows: DataFrame, size: int, reorder: bool) -> DataFrame:
     return rows.mapInArrow(run, "dim int, ids binary, data binary")
 
 
-def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact integer a @ b.T; by floating-point units where every sum stays below 2**53."""
+def product(a: np.ndarray, b: np.ndarray, clip: bool = False) -> np.ndarray:
+    """Exact integer a @ b.T; by floating-point units where every sum stays below 2**53.
+
+    Sums beyond 64 bits raise an error, or come as the nearest 64-bit integer with ``clip``.
+    """
     most = int(np.abs(a).max(initial=0)) * int(np.abs(b).max(initial=0)) * a.shape[1]
-    if most < 2**53:
+    if 0 <= most < 2**53:
         return (a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
-    if most < 2**63:
+    if 0 <= most < 2**63:
         return a @ b.T
-    raise OverflowError("inner products beyond 64 bits")
+    out = a.astype(object) @ b.astype(object).T  # Python's integers
+    if not clip and any(not -(2**63) <= x < 2**63 for x in out.ravel()):
+        raise OverflowError("inner products beyond 64 bits")
+    return np.array([[min(max(x, -(2**63)), 2**63 - 1) for x in row] for row in out], np.int64).reshape(out.shape)
 
 
 class Pack:
@@ -105,12 +116,12 @@ class Pack:
 
     def bounds(self, q: np.ndarray) -> np.ndarray:
         """(queries, blocks): no score of a block is above."""
-        return product(np.maximum(q, 0), self.hi) + product(np.minimum(q, 0), self.lo)
+        return product(np.concatenate([np.maximum(q, 0), np.minimum(q, 0)], 1), np.concatenate([self.hi, self.lo], 1), clip=True)
 
     def search(self, qid: np.ndarray, q: np.ndarray, floor: np.ndarray, k: int):
         """Best ``k`` of each query that reach its floor, and how many blocks were scored."""
         bound = self.bounds(q)
-        order = np.argsort(-bound, axis=1, kind="stable")
+        order = np.argsort(bound, axis=1, kind="stable")[:, ::-1]
         best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64)) for _ in qid]
         kth = floor.copy()
         scored = 0
@@ -132,7 +143,7 @@ class Pack:
                     if not len(ok):
                         continue
                     s, d = np.concatenate([best[r][0], s[ok]]), np.concatenate([best[r][1], ids[ok]])
-                    top = np.lexsort((d, -s))[:k]
+                    top = np.lexsort((d, ~s))[:k]  # ~s orders like -s, without overflow
                     best[r] = s[top], d[top]
                     if len(top) == k:
                         kth[r] = max(kth[r], s[top[-1]])
@@ -143,7 +154,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: float = 25
     """``query_id, rank, vec_id, score``: the ``k`` highest inner products of each query among all other rows.
 
     Ties go to the smaller id. Rows that share the query's id are its own and never candidates; a query id that
-    repeats counts once. Only vectors of the query's dimension are compared.
+    repeats counts once. Only vectors of the query's dimension are compared, and empty ones take no part. Components of any
+    finite size do; scores are exact, and one beyond 64 bits raises an error. A task holds ``PACK`` vectors and ``CHUNK`` queries.
     """
     spark = vectors.sparkSession
     packs = durable(_packed(quantised(vectors, id_col, vec_col, scale), PACK, True).withColumn("pack", F.monotonically_increasing_id()), "packs", codec="none")
@@ -161,7 +173,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: float = 25
                         last = pack, Pack(ids, data, dim)
                     qid = np.frombuffer(qids, np.int64)
                     q = matrix(q, len(qid), dim)
-                    low = np.full(len(qid), -(2**62)) if floor is None else np.frombuffer(floor, np.int64)
+                    low = np.full(len(qid), -(2**63)) if floor is None else np.frombuffer(floor, np.int64)
                     best, kth, scored = last[1].search(qid, q, low, k)
                     if seed:
                         yield pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([qids], pa.binary()), pa.array([kth.tobytes()], pa.binary())], ["dim", "qids", "floor"])
@@ -173,13 +185,17 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: float = 25
         schema = "dim int, qids binary, floor binary" if seed else "query_id long, vec_id long, score long"
         return rows.select("dim", "pack", "ids", "data", "qids", "q", "floor").mapInArrow(run, schema)
 
-    first = packs.groupBy("dim").agg(F.min("pack").alias("pack"))
-    seeds = chunks.join(first, "dim").join(packs.drop("dim"), "pack").withColumn("floor", F.lit(None).cast("binary"))
+    salts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    deal = lambda c: F.pmod(F.xxhash64(c), F.lit(salts)).cast("int")
+    # For its floor each chunk meets one pack: that of the chunk's salt, or any where the salt has none.
+    own = packs.groupBy("dim", deal("pack").alias("salt")).agg(F.min("pack").alias("own"))
+    any_ = own.groupBy("dim").agg(F.min("own").alias("any"))
+    seeds = chunks.withColumn("salt", deal("qids")).join(own, ["dim", "salt"], "left").join(any_, "dim").withColumn("pack", F.coalesce("own", "any"))
+    seeds = seeds.drop("salt", "own", "any").join(packs.drop("dim"), "pack").withColumn("floor", F.lit(None).cast("binary"))
     floors = durable(meet(seeds, True), "floors")
     # Packs are dealt to salts, and every chunk to each salt: the pairs of a salt are one task's.
-    salts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     asked = chunks.join(floors, ["dim", "qids"]).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    meetings = packs.withColumn("salt", F.pmod(F.xxhash64("pack"), F.lit(salts)).cast("int")).join(asked, ["dim", "salt"])
+    meetings = packs.withColumn("salt", deal("pack")).join(asked, ["dim", "salt"])
     best = meet(meetings, False)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = best.withColumn("rank", F.row_number().over(w).cast("int")).where(F.col("rank") <= k)
