@@ -5,8 +5,8 @@ the lower-cased whole text) separates the languages with 1 from those with 0. A
 language whose codeword has the least weighted loss, each bit weighted by its accuracy on the training rows. Two
 codewords at nearly the same loss flag the text as ambiguous.
 
-The classifiers are fitted on at most ``per_language`` labelled rows of each language, those with the smallest
-hashes of their ids; everything else runs over all rows.
+The classifiers are fitted on a bounded sample: at most about ``per_language`` labelled rows of each language and
+``sample`` in all, those with the smallest hashes of their ids; everything else runs over all rows.
 """
 
 from __future__ import annotations
@@ -22,23 +22,28 @@ from skarn.llm.common import LOWER
 
 DIMS = 4096
 PER_LANGUAGE = 250
-#: Learned languages; a label column with more is refused, as the sample must stay bounded.
-MOST_LANGUAGES = 200
+#: Rows of the sample; of more labels than a quarter of it the most frequent ones are learned. It bounds what the driver solves.
+SAMPLE = 4096
 AMBIGUOUS = 0.55
+#: Bytes of a text that are counted at a time.
+SLICE = 1 << 20
 UNKNOWN = "und"
 
 
 def features(texts: list[str | None]) -> np.ndarray:
-    """Square roots of hashed n-gram counts, scaled to length 1; a row a text."""
+    """Square roots of hashed n-gram counts, scaled to length 1; a row a text, whose length takes no memory beyond its copy."""
     out = np.zeros((len(texts), DIMS), np.float32)
     for k, t in enumerate(texts):
         if not t:
             continue
-        raw = t.lower().encode("utf-8", "surrogatepass")
-        x = LOWER[np.frombuffer(b" " + raw + b" ", np.uint8)].astype(np.uint32)
-        two = x[:-1] * np.uint32(0x9E3779B1) + x[1:] * np.uint32(0x85EBCA6B)
-        three = two[:-1] * np.uint32(0xC2B2AE35) + x[2:] * np.uint32(0x27D4EB2F)
-        row = np.bincount(np.concatenate([(x * np.uint32(0x165667B1)) >> np.uint32(20), two >> np.uint32(20), three >> np.uint32(20)]), minlength=DIMS)
+        raw = np.frombuffer(b" " + t.lower().encode("utf-8", "surrogatepass") + b" ", np.uint8)
+        row = np.zeros(DIMS, np.int64)
+        for i in range(0, len(raw), SLICE):  # with the two bytes behind it
+            x = LOWER[raw[i : i + SLICE + 2]].astype(np.uint32)
+            two = x[:-1] * np.uint32(0x9E3779B1) + x[1:] * np.uint32(0x85EBCA6B)
+            three = two[:-1] * np.uint32(0xC2B2AE35) + x[2:] * np.uint32(0x27D4EB2F)
+            grams = np.concatenate([x[:SLICE] * np.uint32(0x165667B1), two[:SLICE], three[:SLICE]])
+            row += np.bincount(grams >> np.uint32(20), minlength=DIMS)
         row = np.sqrt(row)
         out[k] = row / np.linalg.norm(row)
     return out
@@ -76,7 +81,7 @@ class Model:
     trust: np.ndarray  # of each bit, from its accuracy in training
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
-        """Language, score (0 to 1) and whether it is ambiguous."""
+        """Language (of equal ones the first by name), score (0 to 1) and whether it is ambiguous."""
         n = len(texts)
         readable = np.array(list(map(has_letter, texts)), bool)
         if not self.languages:
@@ -91,21 +96,21 @@ class Model:
         return lang, score, (score < AMBIGUOUS) | ~readable
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> Model:
-    """Fit on at most about ``per_language`` rows a language of ``docs`` (text and label not null)."""
-    spark = docs.sparkSession
-    rows = docs.select(F.xxhash64(F.col(id_col).cast("string")).alias("h"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).alias("lang")).where("text is not null and lang is not null")
-    counts = rows.groupBy("lang").count().orderBy("lang").limit(MOST_LANGUAGES + 1).collect()
-    if len(counts) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} labels")
-    languages = [r["lang"] for r in counts]
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, sample: int = SAMPLE) -> Model:
+    """Fit on at most about ``per_language`` rows a language and ``sample`` in all of ``docs`` (text and label not null).
+
+    Of more than ``sample / 4`` labels the most frequent ones are learned, by name where counts are equal.
+    """
+    rows = docs.select(F.xxhash64(F.col(id_col).cast("string")).alias("h"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text is not null and lang is not null")
+    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max(1, sample // 4)).collect()
+    languages = sorted(r["lang"] for r in counts)
     if not languages:
         return Model([], np.ones((0, 1)), np.zeros((DIMS + 1, 1)), np.ones(1))
-    # Rows below a hash limit: about per_language of each, chosen by hash alone and the same at any partitioning.
-    below = F.lit(None)
-    for r in counts:
-        limit = -(2**63) + int(min(1.0, per_language / r["count"]) * (2**64 - 1))
-        below = F.when(F.col("lang") == r["lang"], F.col("h") <= F.lit(min(limit, 2**63 - 1))).otherwise(below)
+    # Rows below a hash limit: about as many of each, chosen by hash alone and the same at any partitioning.
+    most = min(per_language, sample // len(languages))
+    limits = [(r["lang"], min(-(2**63) + int(min(1.0, most / r["count"]) * (2**64 - 1)), 2**63 - 1)) for r in counts]
+    limits = docs.sparkSession.createDataFrame(limits, "lang string, most long")  # sample / 4 rows at most
+    chosen = rows.join(F.broadcast(limits), "lang").where("h <= most")
 
     def run(batches):
         import pyarrow as pa
@@ -114,12 +119,14 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
             f = features(b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.tobytes() for x in f], pa.binary())], ["lang", "f"])
 
-    got = rows.where(below).select("lang", "text").mapInArrow(run, "lang string, f binary").collect()
+    got = chosen.select("lang", "text").mapInArrow(run, "lang string, f binary").collect()  # about ``sample`` rows
     got = sorted((r["lang"], bytes(r["f"])) for r in got)
     lang = np.searchsorted(languages, [g[0] for g in got])
     x = np.array([np.frombuffer(g[1], np.float32) for g in got], np.float64)
     codes = codewords(len(languages))
     y = codes[lang]
+    if not len(x):  # no row of the sample
+        return Model([], np.ones((0, 1)), np.zeros((DIMS + 1, 1)), np.ones(1))
     share = np.bincount(lang, minlength=len(languages)).astype(float)
     w = np.sqrt(len(lang) / (len(languages) * share[lang]))[:, None]  # languages count alike
     xa = np.hstack([x, np.ones((len(x), 1))]) * w
