@@ -25,18 +25,10 @@ WINDOW = 10
 SLOP = 3
 #: Positions between documents of a shard; above SLOP.
 GAP = 16
-#: Benchmark bytes a pass holds in memory; a larger benchmark takes more passes over the index.
-PASS_BYTES = 32 << 20
-
-
-def item_words(texts: list[str | None]) -> list[np.ndarray]:
-    import pyarrow as pa
-
-    out: list[np.ndarray] = []
-    for _, buf, ends in text_chunks(pa.array(texts, pa.large_string())):
-        words, upto = hash_words(buf, ends, ALNUM)
-        out += np.split(words, upto[:-1])
-    return out
+#: Benchmark windows that a pass holds in memory, at some 70 bytes each; a larger benchmark takes more passes over the index.
+PASS_WINDOWS = 200_000
+#: Windows of a piece of an item; items are dealt to passes by pieces.
+PIECE = 4096
 
 
 def windows(words: np.ndarray, size: int) -> np.ndarray:
@@ -46,24 +38,54 @@ def windows(words: np.ndarray, size: int) -> np.ndarray:
     return np.lib.stride_tricks.sliding_window_view(words, min(size, len(words)))
 
 
-class Query:
-    """The distinct windows of some items, their terms ordered by corpus frequency."""
+def item_pieces(benchmark: DataFrame, size: int) -> DataFrame:
+    """``item, piece, n, words``: the word hashes of all items in pieces of at most ``PIECE`` windows (``n``), as a table.
+
+    Pieces overlap by a window less a word, so that each window lies in one.
+    """
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            for row, buf, ends in text_chunks(b.column(1)):
+                words, upto = hash_words(buf, ends, ALNUM)
+                for i, w in enumerate(np.split(words, upto[:-1])):
+                    n = max(len(w) - size + 1, 1) if len(w) else 0
+                    cuts = range(0, n, PIECE)
+                    columns = [[k // PIECE for k in cuts], [min(PIECE, n - k) for k in cuts], [w[k : k + min(PIECE, n - k) + size - 1].tobytes() for k in cuts]]
+                    item = b.column(0).take(pa.array([row + i] * len(cuts), pa.int64()))
+                    yield pa.RecordBatch.from_arrays([item, *[pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.binary()))]], ["item", "piece", "n", "words"])
 
-    def __init__(self, items: list[tuple[str, str | None]], size: int):
-        found: dict[bytes, set[str]] = {}
-        for (item, _), words in zip(items, item_words([t for _, t in items])):
-            for w in windows(words, size):
-                found.setdefault(w.tobytes(), set()).add(item)
+    rows = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text")).where("text is not null")
+    return durable(rows.mapInArrow(run, "item string, piece int, n long, words binary"), "benchmark")
+
+
+class Query:
+    """The distinct windows of some pieces of items, their terms ordered by corpus frequency; compact, as it is broadcast."""
+
+    def __init__(self, pieces: list[tuple[str | None, bytes]], size: int):
+        found: dict[bytes, set[int]] = {}
+        names = sorted({item for item, _ in pieces if item is not None})
+        number = {item: k for k, item in enumerate(names)}
+        for item, words in pieces:
+            for w in windows(np.frombuffer(words, np.uint64), size):
+                found.setdefault(w.tobytes(), set()).update([] if item is None else [number[item]])
         self.size = size
-        self.items = [sorted(s) for s in found.values()]
-        self.lens = np.array([len(k) // 8 for k in found], np.int64)
+        self.names = names
+        self.item_ends = np.cumsum([0, *map(len, found.values())])
+        self.item_numbers = np.fromiter((k for s in found.values() for k in sorted(s)), np.int32)
+        self.lens = np.array([len(k) // 8 for k in found], np.int16)
         flat = np.frombuffer(b"".join(found), np.uint64)
         self.terms = np.unique(flat)
         # Shorter windows repeat their first term, which asks nothing more of a match.
-        starts = np.cumsum(self.lens) - self.lens
+        starts = np.cumsum(self.lens, dtype=np.int64) - self.lens
         place = np.minimum(np.arange(size)[None, :], self.lens[:, None] - 1) if len(found) else np.zeros((0, size), np.int64)
-        self.offset = place
-        self.term = np.searchsorted(self.terms, flat[starts[:, None] + place]) if len(found) else place
+        self.offset = place.astype(np.int16)
+        self.term = np.searchsorted(self.terms, flat[starts[:, None] + place]).astype(np.int32) if len(found) else place.astype(np.int32)
+
+    def items(self, w: int) -> list[str]:
+        return [self.names[k] for k in self.item_numbers[self.item_ends[w] : self.item_ends[w + 1]]]
 
     def order(self, frequency: np.ndarray) -> None:
         """Rarest terms first."""
@@ -103,7 +125,7 @@ def build_index(docs: DataFrame, vocabulary: np.ndarray | None = None, id_col: s
     (sorted), ``counts`` and ``positions`` the lists. With a ``vocabulary`` (sorted term hashes) only its terms
     get lists. Null and empty texts are documents without words.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)  # bounded by PASS_BYTES
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)  # terms of at most PASS_WINDOWS windows
 
     def run(batches):
         import pyarrow as pa
@@ -171,7 +193,7 @@ def frequencies(index: DataFrame, terms: np.ndarray) -> np.ndarray:
 
 
 def _lookup(index: DataFrame, query: Query, slop: int) -> DataFrame:
-    shared = index.sparkSession.sparkContext.broadcast(query)  # bounded by PASS_BYTES
+    shared = index.sparkSession.sparkContext.broadcast(query)  # bounded by PASS_WINDOWS
 
     def run(batches):
         import pyarrow as pa
@@ -188,11 +210,12 @@ def _lookup(index: DataFrame, query: Query, slop: int) -> DataFrame:
                 near: list[set] = [set() for _ in ids]
                 for w, begin, exact in q.match(np.frombuffer(terms, np.uint64), starts, np.frombuffer(pos, np.uint32).astype(np.int64), slop):
                     doc = np.maximum(np.searchsorted(first, begin, side="right") - 1, 0)
+                    owners = q.items(w)
                     for d, s, e in zip(doc.tolist(), (begin - first[doc]).tolist(), exact.tolist()):
                         if e:
                             hits[d].append([s, s + int(q.lens[w])])
-                            items[d].update(q.items[w])
-                        near[d].update(q.items[w])
+                            items[d].update(owners)
+                        near[d].update(owners)
                 columns = [[shard] * len(ids), list(range(len(ids))), ids, n, hits, [sorted(x) for x in items], [sorted(x - y) for x, y in zip(near, items)]]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
 
@@ -200,23 +223,25 @@ def _lookup(index: DataFrame, query: Query, slop: int) -> DataFrame:
     return index.select("shard", "doc_ids", "first", "n_words", "terms", "counts", "positions").mapInArrow(run, schema)
 
 
-def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: int = SLOP, pass_bytes: int = PASS_BYTES) -> DataFrame:
+def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: int = SLOP, pass_windows: int = PASS_WINDOWS) -> DataFrame:
     """``doc_id, n_words, hits, items, near_items`` of every row of ``docs (doc_id, text)`` against ``benchmark (item_id, text)``.
 
     Words are runs of digits, letters A-Z (in lower case) and characters beyond ASCII. An item's windows are its runs of
     ``window`` words; an item of fewer words is one window. ``hits`` are the word ranges of exact occurrences,
     ``items`` the ids (as strings) of the items with one, ``near_items`` those with only proximity matches: all words
-    within ``slop`` of their places. Null texts have no words; items without an id take no part.
+    within ``slop`` of their places. Null texts have no words; the windows of items without an id hit without a name.
+    A benchmark of one pass is known before the index is built, which then holds the lists of its terms only; one of
+    more passes gets an index of all terms. Words of any length of text are hashed in parts.
     """
     spark = docs.sparkSession
-    bench = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text")).where("item is not null and text is not null")
-    total = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    passes = max(1, math.ceil(total / pass_bytes))
-    chunk = F.pmod(F.xxhash64("item", "text"), F.lit(passes))
+    bench = item_pieces(benchmark, window)
+    total = bench.agg(F.sum("n")).first()[0] or 0
+    passes = max(1, math.ceil(total / pass_windows))
+    chunk = F.pmod(F.xxhash64("item", "piece", "words"), F.lit(passes))
     queries = []
-    for k in range(passes):  # one pass' items at a time are on the driver
+    for k in range(passes):  # one pass' pieces at a time are on the driver
         part = bench.where(chunk == k) if passes > 1 else bench
-        queries.append(lambda part=part: Query([(r["item"], r["text"]) for r in part.toLocalIterator()], window))
+        queries.append(lambda part=part: Query([(r["item"], r["words"]) for r in part.select("item", "words").toLocalIterator()], window))
     query = queries[0]()
     index = build_index(docs, query.terms if passes == 1 else None)
     found = None
