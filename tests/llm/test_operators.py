@@ -1,16 +1,20 @@
 """Secrets, chat, language ID, span dedup, near-duplicates, search, decontamination: small cases and brute force."""
 
 import hashlib
+import pickle
 import random
 import re
+import subprocess
+import sys
 import time
 from itertools import combinations
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from skarn.llm import chat, components, decontam, langid, neardup, secrets, spans, topk
+from skarn.llm import chat, common, components, decontam, langid, neardup, secrets, spans, topk
 from skarn.llm import superminhash as smh
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
@@ -127,6 +131,15 @@ def test_open_values_cost_no_more_than_the_text():
     assert time.perf_counter() - began < 30
 
 
+def test_long_chains_and_escapes_cost_no_more_than_the_text():
+    began = time.perf_counter()
+    chain = "token_0 = 'a8Zk29-LLq-77'\n" + "".join(f"token_{k} = token_{k - 1}\n" for k in range(1, 20_000))
+    assert [chain[i:j] for i, j, _ in secrets.literal_spans(chain)] == ["a8Zk29-LLq-77"]
+    for t in ("a=1" + '\\"' * 200_000, "a=1" + "\\'" * 200_000, "a=" + "\\\\" * 200_000, 'token = "' + '\\"' * 200_000):
+        secrets.find_spans(t)
+    assert time.perf_counter() - began < 20
+
+
 def test_secret_frames(spark):
     rows = [(1, "token = abcdefghijklmnop é", "a"), (2, None, "b"), (3, "", "c"), (1, "token = abcdefghijklmnop é", "a"), (None, "deadbeefdeadbeef01", "d")]
     df = spark.createDataFrame(rows, "doc_id long, text string, spans string")
@@ -195,6 +208,71 @@ def test_language_without_labels(spark):
     assert (got["lang_pred"], got["score"]) == ("und", 0.0)
 
 
+def test_many_labels(spark):
+    """300 labels, of which each has words of its own; and no more than a bounded number of them."""
+    rng = random.Random(4)
+    rows = [(k, " ".join(f"{chr(97 + lang % 26)}{chr(97 + lang // 26)}{rng.choice('aeiou')}" * 3 for _ in range(20)), f"l{lang:03}") for k in range(3000) for lang in [k % 300]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("most", F.lit("clash"))
+    model = langid.fit(docs)
+    assert model.languages == [f"l{k:03}" for k in range(300)]
+    got = langid.predict(docs, model).join(docs, "doc_id").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0]
+    assert got > 0.9
+    assert langid.fit(docs.where("lang < 'l009' or doc_id < 1000"), sample=36).languages == [f"l{k:03}" for k in range(9)]
+
+
+def plain_codes(texts, labels, seed_texts):
+    """Error-correcting output codes in plain steps: ridge regression of each bit over n-gram counts, loss-weighted decoding."""
+    names = sorted(set(labels))
+    codes = langid.codewords(len(names))
+
+    def grams(t):
+        row = [0.0] * langid.DIMS
+        x = [c + 32 if 65 <= c <= 90 else c for c in (" " + t.lower() + " ").encode()]
+        for i, c in enumerate(x):
+            row[(c * 0x165667B1 % 2**32) >> 20] += 1
+            if i + 1 < len(x):
+                two = (c * 0x9E3779B1 + x[i + 1] * 0x85EBCA6B) % 2**32
+                row[two >> 20] += 1
+            if i + 2 < len(x):
+                row[((two * 0xC2B2AE35 + x[i + 2] * 0x27D4EB2F) % 2**32) >> 20] += 1
+        row = [v**0.5 for v in row]
+        norm = sum(v * v for v in row) ** 0.5
+        return [v / norm for v in row] + [1.0]
+
+    x = np.array([grams(t) for t in texts])
+    n = [labels.count(c) for c in names]
+    w = np.array([len(texts) / (len(names) * n[names.index(c)]) for c in labels])
+    y = np.array([codes[names.index(c)] for c in labels])
+    weights = np.linalg.solve(x.T @ (x * w[:, None]) + 0.05 * np.eye(x.shape[1]), x.T @ (y * w[:, None]))  # the primal form
+    margin = x @ weights
+    trust = np.clip(2 * (margin * y > 0).mean(0) - 1, 0.05, 1)
+    weights *= 2 / np.abs(margin).mean()
+    out = []
+    for t in seed_texts:
+        m = np.array(grams(t)) @ weights
+        loss = [sum(b * np.exp(-min(8, max(-8, v * c))) for v, c, b in zip(m, code, trust)) for code in codes]
+        share = [np.exp(-6 * v / trust.sum()) for v in loss]
+        out.append((names[int(np.argmax(share))], max(share) / sum(share)))
+    return out
+
+
+def test_predictions_are_those_of_plain_steps(spark, tmp_path):
+    """The registered query against the classifier in plain steps over the same sample."""
+    from skarn.llm.queries import QUERIES
+
+    rng = random.Random(13)
+    words = {"en": "the of and to in that is was", "de": "der die und in den von zu das", "fr": "le de un être et à il avoir"}
+    rows = [(k, " ".join(rng.choice(words[c].split()) for _ in range(rng.randint(3, 30))).title(), c) for k in range(150) for c in [rng.choice("en en de fr".split())]]
+    rows += [(200, None, "en"), (201, "12 34", "de"), (202, "", None), (203, "the of and", None), (203, "the of and", None)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    learn = [(t, c) for k, t, c in rows if t is not None and c is not None and not langid.held_out(str(k))]
+    got = {r["doc_id"]: r for r in QUERIES["op6_language"](spark, str(tmp_path)).collect()}
+    texts = [(k, t) for k, t, _ in rows if t and any(map(str.isalpha, t))]
+    for (k, _), (lang, score) in zip(texts, plain_codes([t for t, _ in learn], [c for _, c in learn], [t for _, t in texts])):
+        assert (got[k]["lang_pred"], got[k]["held_out"]) == (lang, langid.held_out(str(k))) and abs(got[k]["score"] - score) < 1e-4
+    assert [(got[k]["lang_pred"], got[k]["score"]) for k in (200, 201, 202)] == [("und", 0.0)] * 3
+
+
 # --- span dedup ---
 
 
@@ -206,7 +284,7 @@ def test_sentences_are_the_text():
     assert spans.sentences("One two. Three 3.5 four!\nFive") == ["One two. ", "Three 3.5 four!\n", "Five"]
 
 
-def plain_removed(rows, size, least, long_):
+def plain_removed(rows, size, least):
     gone, keys = {k: set() for k, _ in rows}, {}
     for k, t in rows:
         parts = [tuple(s.lower().split()) for s in spans.sentences(t)]
@@ -215,15 +293,14 @@ def plain_removed(rows, size, least, long_):
                 if sum(map(len, parts[i:j])) >= least:
                     keys.setdefault(tuple(parts[i:j]), []).append((k, i, j))
                     break
-            if len(parts[i]) >= long_:
-                keys.setdefault((parts[i],), []).append((k, i, i + 1))
     for places in keys.values():
         for k, i, j in sorted(places)[1:]:
             gone[k] |= set(range(i, j))
     return gone
 
 
-def test_repeated_spans_go(spark):
+@pytest.mark.parametrize("least", [10, spans.MIN_WORDS])
+def test_repeated_spans_go(spark, least):
     rng = random.Random(3)
     passages = [". ".join(prose(rng, 9) for _ in range(6)) + ". " for _ in range(3)]
     rows = []
@@ -233,8 +310,8 @@ def test_repeated_spans_go(spark):
             body.insert(rng.randint(0, len(body)), rng.choice(passages))
         rows.append((k, "".join(body)))
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("places", F.lit(1))
-    gone = plain_removed(rows, 2, 10, 20)
-    got = {r["doc_id"]: r for r in spans.remove(df).collect()}
+    gone = plain_removed(rows, 2, least)
+    got = {r["doc_id"]: r for r in spans.remove(df, min_words=least).collect()}
     assert {k: set(r["removed"]) for k, r in got.items()} == gone and any(gone.values())
     for k, t in rows:
         assert got[k]["text"] == "".join(s for i, s in enumerate(spans.sentences(t)) if i not in gone[k])
@@ -248,13 +325,13 @@ def test_tails_of_repeated_passages_go(spark, tmp_path):
     passage = ". ".join(prose(rng, 9) for _ in range(4)) + ". Yes it is. So it was. "
     rows = [(k, prose(rng, 12) + ". " + passage + prose(rng, 12) + f". {k}.") for k in range(6)] + [(9, "")]
     rows += [(10 + k, "".join(rng.choice(["No. ", "Go on. ", passage, prose(rng, 11) + ". "]) for _ in range(6))) for k in range(20)]
-    gone, keys = plain_removed(rows, 2, 10, 20), {}
+    least = spans.MIN_WORDS
+    gone, keys = plain_removed(rows, 2, least), {}
     for d, t in rows:
         parts = [tuple(s.lower().split()) for s in spans.sentences(t)]
         words = lambda i, j: sum(map(len, parts[i:j]))  # noqa: B023, E731
-        runs = {(i, j) for j in range(len(parts) + 1) for i in [max((i for i in range(j - 1) if words(i, j) >= 10), default=None)] if i is not None}
-        runs |= {(i, j) for i in range(len(parts)) for j in [min((j for j in range(i + 2, len(parts) + 1) if words(i, j) >= 10), default=None)] if j}
-        runs |= {(i, i + 1) for i in range(len(parts)) if len(parts[i]) >= 20}
+        runs = {(i, j) for j in range(len(parts) + 1) for i in [max((i for i in range(j - 1) if words(i, j) >= least), default=None)] if i is not None}
+        runs |= {(i, j) for i in range(len(parts)) for j in [min((j for j in range(i + 2, len(parts) + 1) if words(i, j) >= least), default=None)] if j}
         for i, j in runs:
             keys.setdefault(tuple(parts[i:j]), []).append((d, i, j))
     more = {d: set(g) for d, g in gone.items()}
@@ -270,7 +347,7 @@ def test_tails_of_repeated_passages_go(spark, tmp_path):
 def test_span_edges(spark):
     same = "One two three four five. Six seven eight nine ten. "
     df = spark.createDataFrame([(1, same), (1, same), (None, same), (2, None), (3, ""), (4, same + same)], "doc_id long, text string")
-    got = sorted((r["doc_id"] or 0, r["n_sentences"], list(r["removed"])) for r in spans.remove(df).collect())
+    got = sorted((r["doc_id"] or 0, r["n_sentences"], list(r["removed"])) for r in spans.remove(df, min_words=10).collect())
     assert got == [(0, 2, []), (1, 2, []), (1, 2, []), (2, 0, []), (3, 0, []), (4, 4, [0, 1, 2, 3])]
     assert spans.remove(df.limit(0)).collect() == []
 
@@ -317,6 +394,24 @@ def test_near_duplicate_edges(spark):
     assert neardup.group(df.limit(0)).collect() == []
 
 
+def test_rows_that_share_an_id_are_documents_by_themselves(spark):
+    rng = random.Random(11)
+    a, b, c = (prose(rng, 60) for _ in range(3))
+    near = lambda t: t + " more"
+    rows = [(3, a), (5, a), (5, b), (9, b), (9, near(b)), (-4, c), (-4, near(a)), (5, ""), (7, None), (7, c), (2**62, near(c)), (-(2**63), "lone words here now one")]
+    got = sorted((r["doc_id"], r["key"], r["component_id"]) for r in neardup.group(spark.createDataFrame(rows, "doc_id long, text string"), k=2).collect())
+    keys = {r["text"]: r["k"] for r in spark.createDataFrame(rows, "doc_id long, text string").select("text", neardup.text_key(F.col("text")).alias("k")).collect()}
+    best = {a: -4, near(a): -4, b: 5, near(b): 5, c: -4, near(c): -4}
+    assert got == sorted((d, keys[t], best.get(t, d)) for d, t in rows)
+
+
+def test_smallest_ids_of_nodes(spark):
+    ids = [0, 1, -1, 2**63 - 1, -(2**63), 12345678901]
+    df = spark.createDataFrame([(i, bytearray(b"0123456789abcdef")) for i in ids], "id long, d binary").withColumn("node", neardup.node_of(F.col("id"), F.col("d")))
+    assert [r["id"] for r in df.orderBy("node").collect()] == sorted(ids)
+    assert df.where(neardup.id_of(F.col("node")) != F.col("id")).count() == 0 and df.where("length(node) <> 16").count() == 0
+
+
 def test_signature_estimates_similarity():
     rng = np.random.default_rng(5)
     errors = []
@@ -394,10 +489,34 @@ def test_blocks_are_skipped():
 def test_large_products_stay_exact():
     a = np.array([[2**30, -(2**30)]])
     assert topk.product(a, a).tolist() == [[2**61]]
+    assert topk.product(np.array([[2**40, 3]]), np.array([[2**22, -7], [0, 1]])).tolist() == [[2**62 - 21, 3]]
+    assert topk.product(np.array([[2**40]]), np.array([[2**40], [-(2**40)]]), clip=True).tolist() == [[2**63 - 1, -(2**63)]]
     with pytest.raises(OverflowError):
         topk.product(np.array([[2**40]]), np.array([[2**40]]))
 
 
+def test_large_components_take_part(spark):
+    rng = random.Random(2)
+    vecs = [(0, [1.0, 0.0]), (1, [1e14, 0.0]), (2, [2.0, 0.0]), (3, [-1e14, 5.0]), (50, [0.25, -3.0]), (4, [0.0, 3e13])]
+    vecs += [(10 + k, [rng.uniform(-1, 1) * 10 ** rng.randint(0, 14), rng.uniform(-9, 9)]) for k in range(30)]
+    whole = [(i, [int(np.floor(256 * x)) for x in v]) for i, v in vecs]
+    df = spark.createDataFrame(vecs, "vec_id long, embedding array<double>")
+    got = topk.search(df, df.where("vec_id % 50 = 0")).collect()
+    assert {tuple(r) for r in got} == plain_topk(whole, [q for q in whole if q[0] % 50 == 0], 5)
+    for v, q in (([1e300], [1.0]), ([1e16], [1e16])):
+        df = spark.createDataFrame([(1, v), (50, q)], "vec_id long, embedding array<double>")
+        with pytest.raises(Exception, match="beyond 64 bits"):
+            topk.search(df, df.where("vec_id = 50")).collect()
+
+
+def test_long_vectors(spark):
+    rng = np.random.default_rng(8)
+    vecs = [(i, rng.normal(0, 1, 20_000).tolist()) for i in range(12)]
+    df = spark.createDataFrame(vecs, "vec_id long, embedding array<double>")
+    whole = [(i, [int(x) for x in np.floor(256 * np.array(v))]) for i, v in vecs]
+    assert {tuple(r) for r in topk.search(df, df.where("vec_id = 0")).collect()} == plain_topk(whole, whole[:1], 5)
+
+
 # --- decontamination ---
 
 
@@ -408,7 +527,7 @@ def plain_hits(docs, items, size):
         w = words(t)
         n = min(size, len(w))
         for k in range(len(w) - n + 1 if w else 0):
-            found.setdefault(tuple(w[k : k + n]), set()).add(str(i))
+            found.setdefault(tuple(w[k : k + n]), set()).update([] if i is None else [str(i)])
     out = {}
     for d, t in docs:
         w = words(t)
@@ -422,11 +541,12 @@ def plain_hits(docs, items, size):
     return out
 
 
-@pytest.mark.parametrize("pass_bytes", [1 << 20, 300])
-def test_contamination(spark, pass_bytes):
+@pytest.mark.parametrize("pass_windows,piece", [(1 << 20, 4096), (20, 3)])
+def test_contamination(spark, monkeypatch, pass_windows, piece):
+    monkeypatch.setattr(decontam, "PIECE", piece)
     rng = random.Random(6)
-    items = [(i, prose(rng, rng.choice([3, 10, 25]))) for i in range(12)] + [(50, None), (51, ""), (52, "!!"), (53, "Ünï çode"), (3, "alpha1")]
-    docs = [(0, None), (1, ""), (2, "x ÜNï--çode y"), (3, "?")]
+    items = [(i, prose(rng, rng.choice([3, 10, 25]))) for i in range(12)] + [(50, None), (51, ""), (52, "!!"), (53, "Ünï çode"), (3, "alpha1"), (None, "beta2 no id")]
+    docs = [(0, None), (1, ""), (2, "x ÜNï--çode y"), (3, "?"), (4, "a BETA2 no-id b")]
     for d in range(10, 60):
         w = prose(rng, rng.randint(0, 60)).split()
         if d % 2:
@@ -435,7 +555,7 @@ def test_contamination(spark, pass_bytes):
         docs.append((d, ", ".join(w)))
     df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("hits", F.lit(1)).repartition(3)
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = decontam.digest(decontam.find(df, bench, pass_bytes=pass_bytes)).collect()
+    got = decontam.digest(decontam.find(df, bench, pass_windows=pass_windows)).collect()
     assert {r["doc_id"]: (r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) for r in got} == plain_hits(docs, items, 10)
 
 
@@ -450,6 +570,31 @@ def test_proximity_and_empty(spark):
     assert all(not r["hits"] for r in decontam.find(docs, bench.limit(0)).collect())
 
 
+def test_broadcast_is_within_its_bound():
+    words = np.random.default_rng(0).integers(0, 2**63, 50_009).astype(np.uint64)
+    query = decontam.Query([(f"item {k}", words[i : i + 109].tobytes()) for k, i in enumerate(range(0, 50_000, 100))], 10)
+    query.order(np.zeros(len(query.terms), np.int64))
+    assert len(query.lens) == 50_000 and len(pickle.dumps(query)) < 85 * 50_000
+
+
+def test_long_texts_of_words():
+    """Hashes in parts are those of the whole; 50 MB take less than 1 GB."""
+    rng = np.random.default_rng(1)
+    buf = np.frombuffer(rng.choice(np.frombuffer(b"abcXYZ09 .\n", np.uint8), 400_000).tobytes(), np.uint8)
+    ends = np.sort(np.append(rng.integers(0, len(buf), 40), [0, 0, len(buf), len(buf)]))
+    for kind in (common.ALNUM, common.NOT_SPACE):
+        want = common._hash_part(buf, ends, kind)
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(common, "CHUNK_BYTES", 5000)
+            got = common.hash_words(buf, ends, kind)
+        assert (got[0] == want[0]).all() and (got[1] == want[1]).all()
+    code = "import resource, pyarrow as pa, sys; sys.path.insert(0, '.'); from skarn.llm import common, superminhash, langid; t = 'some words of 1 text, ' * 2_300_000;"
+    code += "c = pa.array([t], pa.large_string()); [None for _, buf, ends in common.text_chunks(c) for _ in [common.hash_words(buf, ends, common.ALNUM)]];"
+    code += "[len(s) for _, s in superminhash.shingle_sets(c, 5)]; langid.features([t]); print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss)"
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=Path(__file__).parents[2], timeout=300)
+    assert int(out.stdout.split()[-1]) < 1_000_000, out.stderr
+
+
 def test_whole_index_gives_the_same(spark):
     docs = spark.createDataFrame([(1, "a b c a"), (2, "b")], "doc_id long, text string").coalesce(1)
     row = decontam.build_index(docs).first()

@@ -59,11 +59,27 @@ def test_texts_stay_without_labels(spark, tmp_path):
     assert [r["doc_id"] for r in corpus_pipeline.language(spark, docs, str(tmp_path)).collect()] == [1]
 
 
+def test_shared_ids_lose_no_text(spark, tmp_path):
+    """Against brute force: each text that is kept or has a near-copy that is kept, at the stage and at the end."""
+    _, sf = tables(spark, tmp_path)
+    rng = random.Random(12)
+    a, b, c, d = (prose(rng, 60) for _ in range(4))
+    data = [(3, a), (5, a), (5, b), (9, b + " x"), (5, c), (5, c), (1, d), (1, d + " y"), (None, a)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in data], COLUMNS)
+    want = [(3, a), (5, b), (5, c), (1, min(d, d + " y")), (None, a)]
+    kept = [(r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicates(spark, docs, sf).collect()]
+    assert {k for k in kept if k[0] != 1} == {k for k in want if k[0] != 1} and len(kept) == len(want)
+    assert [t for i, t in kept if i == 1] in ([d], [d + " y"])
+    docs.write.mode("overwrite").parquet(f"{sf}/documents.parquet")
+    end = sorted(r["decoded_sha256"] for r in corpus_pipeline.run(spark, sf).collect())
+    assert end == sorted(hashlib.sha256(t.encode()).hexdigest() for _, t in kept)
+
+
 def test_shared_ids_and_no_rows(spark, tmp_path):
     _, sf = tables(spark, tmp_path)
     twice = spark.createDataFrame([(1, "b c d e f g", "en", "s", 1), (1, "b c d e f g", "en", "s", 1), (1, "other text of the same id", "en", "s", 1), (None, "no id here at all", "en", "s", 1)], COLUMNS)
     kept = corpus_pipeline.near_duplicates(spark, twice, sf).collect()
-    assert sorted(str(r["doc_id"]) for r in kept) == ["1", "None"]
+    assert sorted((str(r["doc_id"]), r["text"]) for r in kept) == [("1", "b c d e f g"), ("1", "other text of the same id"), ("None", "no id here at all")]
     df = spark.read.parquet(f"{sf}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         df = stage(spark, df, sf)
