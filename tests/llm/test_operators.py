@@ -600,3 +600,35 @@ def test_whole_index_gives_the_same(spark):
     row = decontam.build_index(docs).first()
     assert (list(row["doc_ids"]), list(row["n_words"]), list(row["first"])) == ([1, 2], [4, 1], [0, 4 + decontam.GAP])
     assert sorted(np.frombuffer(row["counts"], np.uint32).tolist()) == [1, 2, 2]
+
+
+# --- very long texts ---
+
+
+def test_one_very_long_text_among_short_ones(spark):
+    """4 MB of text, through each operator on documents."""
+    from skarn.llm import bpe, counts, idcodec
+    from skarn.llm.queries import tokenizer_path
+
+    rng = random.Random(21)
+    item = "q1 q2 q3 q4 q5 q6 q7 q8 q9 q10"
+    body = ". ".join(prose(rng, 12) for _ in range(40_000))
+    long_ = f"{body}. {item}. password = 'hunter2-hunter2'"
+    short = prose(rng, 30) + ". " + item
+    docs = spark.createDataFrame([(1, short, "en"), (2, long_, "en"), (3, long_, "en"), (4, None, None)], "doc_id long, text string, lang string").repartition(2)
+    model = bpe.Bpe.from_file(tokenizer_path("byte_bpe_50k.json"))
+    trip = {r["doc_id"]: r for r in bpe.round_trip(docs, model).collect()}
+    assert trip[2]["decoded_sha256"] == hashlib.sha256(long_.encode()).hexdigest() and trip[2]["ids_sha256"] == trip[3]["ids_sha256"]
+    ids = {r["doc_id"]: r["n_tokens"] for r in idcodec.read_ids(idcodec.write_ids(docs, model), digest=True).collect()}
+    assert ids == {d: r["n_tokens"] + 1 for d, r in trip.items()}
+    n = {r["doc_id"]: r["n_bytes"] for r in counts.count_tokens(docs, bpe.Bpe.from_file(tokenizer_path("word_bpe_49k.json"))).collect()}
+    assert n == {1: len(short), 2: len(long_), 3: len(long_), 4: 0}
+    spans_ = {r["doc_id"]: [long_[s["start"] : s["end"]] for s in r["spans"] if s["kind"] == "literal"] for r in secrets.scan(docs.where("doc_id > 1")).collect()}
+    assert spans_ == {2: ["hunter2-hunter2"], 3: ["hunter2-hunter2"], 4: []}
+    assert {r["doc_id"]: r["lang_pred"] for r in langid.predict(docs, langid.fit(docs)).collect()} == {1: "en", 2: "en", 3: "en", 4: "und"}
+    gone = {r["doc_id"]: (r["n_sentences"], len(r["removed"])) for r in spans.remove(docs, tails=True).collect()}
+    assert gone[2] == (40_002, 0) and gone[3] == (40_002, 40_002) and gone[4] == (0, 0)
+    assert {r["doc_id"]: r["component_id"] for r in neardup.group(docs).collect()} == {1: 1, 2: 2, 3: 2, 4: 4}
+    bench = spark.createDataFrame([(7, item)], "item_id long, text string")
+    hits = {r["doc_id"]: [list(h) for h in r["hits"]] for r in decontam.find(docs, bench).collect()}
+    assert hits == {1: [[30, 40]], 2: [[480_000, 480_010]], 3: [[480_000, 480_010]], 4: []}
