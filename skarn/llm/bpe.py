@@ -1,6 +1,6 @@
 """Byte-pair encoding and decoding by a pair occurrence index (operator 1), and the tokenizer that others share.
 
-The distinct words of a part of a partition are laid out as one linked symbol sequence. An index maps every
+The distinct words of a part of a partition that no part before it had are laid out as one linked symbol sequence. An index maps every
 mergeable pair to all positions where it occurs. Active ranks are applied in ascending order, and only the lists of
 the neighbouring pairs are updated. Consecutive ranks of which none uses the token of another form a wave (122 waves for
 50,000 merges): their lists lie together and are merged at once, overlapping occurrences by rank and then from the left.
@@ -19,11 +19,15 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skarn.llm.common import give_back
+
 #: The pre-token patterns of the two public vocabularies.
 BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 #: Bytes of text that are encoded together; bounds memory, however long texts are.
-PART = 8 << 20
+PART = 2 << 20
+#: Words whose ids are kept for later parts, and their bytes; what doesn't fit is merged again wherever it occurs.
+KNOWN_WORDS, KNOWN_BYTES = 1 << 18, 4 << 20
 
 
 def byte_alphabet() -> list[str]:
@@ -85,6 +89,10 @@ class Bpe:
         self.wave[-1] = self.waves
         if rank.tolist() != list(range(len(known))):
             raise ValueError("ranks are not consecutive")
+        self.known: tuple | None = None  # words, their ids one after another, and the ends of these
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"known": None}
 
     @classmethod
     def from_file(cls, path: str) -> Bpe:
@@ -215,6 +223,31 @@ class Bpe:
         count = np.concatenate([[0], np.cumsum(alive)])
         return sym[alive], count[np.concatenate([[0], ends])]
 
+    def encode_known(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The result of :meth:`encode_bytes`; only distinct words that are not known from earlier calls are merged."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        if not len(ends):
+            return np.zeros(0, np.int32), np.zeros(1, np.int64)
+        words = pa.Array.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(np.concatenate([[0], ends])), pa.py_buffer(data)]).dictionary_encode()
+        which, words = words.indices.to_numpy(), words.dictionary
+        known, ids, upto = self.known or (pa.array([], pa.large_binary()), np.zeros(0, np.int32), np.zeros(1, np.int64))
+        at = pc.index_in(words, value_set=known).fill_null(-1).to_numpy().astype(np.int64)
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            fresh = words.take(pa.array(new))
+            buf, new_ends = text_buffer(fresh)
+            more, offsets = self.encode_bytes(buf, new_ends)
+            at[new] = len(known) + np.arange(len(new))
+            ids, upto = np.concatenate([ids, more]), np.concatenate([upto, offsets[1:] + upto[-1]])
+            room = min(KNOWN_WORDS - len(known), int(np.searchsorted(new_ends, KNOWN_BYTES - known.nbytes, side="right")))
+            if room > 0:
+                kept = len(known) + min(room, len(new))
+                self.known = pa.concat_arrays([known, fresh[: kept - len(known)]]), ids[: upto[kept]].copy(), upto[: kept + 1].copy()
+        lens = np.diff(upto)[at][which]
+        return ids[ragged(upto[at][which], lens)], np.concatenate([[0], np.cumsum(lens)])
+
     def decode_ids(self, ids: Iterable[int]) -> str:
         """Text of ids, special tokens included; bytes that are not UTF-8 become U+FFFD."""
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
@@ -252,7 +285,8 @@ class ByteLevelEncoder:
     """Texts to ids for byte-level vocabularies without a normaliser.
 
     Texts are cut before single spaces into pieces; each cut is a pre-token border as long as no other white space
-    touches the space. Distinct pieces of a part are pre-tokenised and merged once, and their ids gathered.
+    touches the space. Distinct pieces of a part are pre-tokenised once, distinct words of a worker are merged once, and
+    their ids gathered.
     """
 
     def __init__(self, model: Bpe, part: int = PART):
@@ -310,7 +344,7 @@ class ByteLevelEncoder:
             until.append(len(words))
         word_ends = np.concatenate([np.flatnonzero(cut), len(easy) + np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))]).astype(np.int64)
         n_easy = len(word_ends) - len(words)
-        ids, offsets = self.model.encode_bytes(np.concatenate([easy, np.frombuffer(b"".join(words), np.uint8)]), word_ends)
+        ids, offsets = self.model.encode_known(np.concatenate([easy, np.frombuffer(b"".join(words), np.uint8)]), word_ends)
         if marks:
             which = n_easy + np.array([k for k, _ in marks])
             ids = np.insert(ids, offsets[which], [i for _, i in marks])
@@ -348,6 +382,9 @@ class ByteLevelEncoder:
             stop, size = len(buf), self.part
             while at + size < len(buf):  # a part ends at a border or a text's end
                 i, j = np.searchsorted(ends, [at, at + size], side="right")
+                if j > i and ends[j - 1] > at + size // 2:
+                    stop = int(ends[j - 1])
+                    break
                 border = self.borders(buf[at : at + size])[-1:]
                 if j > i or len(border):
                     stop = max([*ends[i:j][-1:].tolist(), *(at + border).tolist()])
@@ -428,6 +465,7 @@ def round_trip(docs: DataFrame, model: Bpe, id_col: str = "doc_id", text_col: st
                 a.append(sha(",".join(map(decimal, ids)).encode()).hexdigest())
                 d.append(sha(b"".join(map(bytes_of, ids)).decode("utf-8", "replace").encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        give_back()
 
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return src.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

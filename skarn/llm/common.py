@@ -48,6 +48,18 @@ def nullable(schema: T.StructType) -> T.StructType:
     return T.StructType([T.StructField(f.name, f.dataType, True) for f in schema])
 
 
+def give_back() -> None:
+    """Free memory of a Python worker goes back to the system; workers live on after their tasks and would hold it."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+    if trim:
+        trim(0)
+
+
 # --- words of a UTF-8 buffer, hashed without creating Python strings -------------------------------------------------
 
 LOWER = np.arange(256, dtype=np.uint8)

@@ -58,6 +58,34 @@ def test_long_runs_of_one_word(byte_level, word):
     assert next(bpe.ByteLevelEncoder(model).encode_batch([word])).tolist() == lib.encode(word, add_special_tokens=False).ids
 
 
+def test_words_are_merged_once_and_in_bounded_memory(byte_level, monkeypatch):
+    """Words that an earlier part had are not merged again, and room for known words changes no id."""
+    import tracemalloc
+
+    model, lib = bpe.Bpe.from_file(tokenizer_path("byte_bpe_50k.json")), byte_level[1]
+    merged, merge = [], model.encode_bytes
+    monkeypatch.setattr(model, "encode_bytes", lambda data, ends: merged.append(len(ends)) or merge(data, ends))
+    enc = bpe.ByteLevelEncoder(model, 200)
+    text = "some words, and more words; 12 of them " * 50
+    want = lib.encode(text, add_special_tokens=False).ids
+    assert next(enc.encode_batch([text])).tolist() == want and sum(merged) < 30
+    before = len(merged)
+    assert next(enc.encode_batch([text])).tolist() == want and len(merged) == before
+    for words, size in ((0, 1 << 20), (3, 1 << 20), (1 << 18, 0), (1 << 18, 9)):
+        monkeypatch.setattr(bpe, "KNOWN_WORDS", words)
+        monkeypatch.setattr(bpe, "KNOWN_BYTES", size)
+        model.known = None
+        assert next(enc.encode_batch([text])).tolist() == want
+        assert model.known is None or len(model.known[0]) <= words and len(model.known[1]) == model.known[2][-1]
+    rng = random.Random(4)
+    long = " ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(1_200_000))
+    tracemalloc.start()
+    next(bpe.ByteLevelEncoder(byte_level[0]).encode_batch([long]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200 << 20, peak
+
+
 def other_vocabulary(suffix=""):
     """A vocabulary of bytes and ten merges."""
     spec = {"type": "BPE", "end_of_word_suffix": suffix}
