@@ -14,7 +14,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skarn.llm.bpe import PART, Bpe, text_buffer
+from skarn.llm.bpe import Bpe, text_buffer
 
 #: Fixed value: the pre-token pattern of the public vocabulary.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -23,6 +23,9 @@ WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _SPACE = np.zeros(256, bool)
 _SPACE[[*range(9, 14), 32]] = True
 
+#: Bytes of text that are counted together.
+PART = 8 << 20
+
 
 def whole_tokens(model: Bpe) -> frozenset[str]:
     """Vocabulary strings that, as a pre-token, are exactly one token; bounded by the vocabulary."""

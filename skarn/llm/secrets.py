@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 
 from pyspark.sql import DataFrame
@@ -34,8 +35,8 @@ PLACEHOLDER = re.compile(r"(?i)^(x+|\*+|\.+|none|null|true|false|changeme|exampl
 #: Score from which a literal counts.
 LITERAL_SCORE = 0.6
 LITERAL_MIN = 8
-#: Keys within the unquoted value of another key take values below this length whole, so that a run of keys costs no square.
-INNER_MOST = 1024
+#: Values longer than this that overlap are scored together, so that keys within values cost no square.
+LONG = 1024
 
 _TOKEN = re.compile(
     r"""(?P<str>"(?:[^"\\\n]|\\[^\n])*"|'(?:[^'\\\n]|\\[^\n])*'|`[^`\n]*`)"""
@@ -53,11 +54,16 @@ _REST = re.compile(r"[ \t]*\r?\n")
 _BLOCK = re.compile(r"[ \t]*[|>][-+0-9]{0,2}[ \t]*(?:\x20#[^\n]*)?\r?\n")
 _ITEM = re.compile(r"""[ \t]*(-[ \t]+)?(?!["'(\[{#&*])(\S*[^\s:,])[ \t\r]*(?=\n|\Z|\x20\#)""")
 _RUN = re.compile(r"\S+")
-_NEXT_KEY = re.compile(r"""[,;&|]+["']?[A-Za-z_][A-Za-z0-9_.\-]*["']?[=:]|</?[A-Za-z][A-Za-z0-9]*(?:/?>|\Z)""")
+_NEXT_KEY = re.compile(r"""[,;&|]["']?[A-Za-z_][A-Za-z0-9_.\-]*["']?[=:]|</?[A-Za-z][A-Za-z0-9]*(?:/?>|\Z)""")
 _CALL = re.compile(r"[A-Za-z_$][\w$]*(?:(?:\.|->|::|\?\.)[A-Za-z_$][\w$]*)*[(\[]")
-#: Paths of names, references, anchors and operators before a name, and commands.
-_CODE = re.compile(r"[A-Za-z_$][\w$]*(?:(?:\.|->|::|\?\.)[A-Za-z_$][\w$]*)+|[&*@!~$-]+[A-Za-z_][A-Za-z_.\->:]*|\$\w+|\$\(.*|[@%]\w+%?")
+#: Paths of names and references; anchors and operators before a name, and the name.
+_CODE = re.compile(r"[A-Za-z_$][\w$]*(?:(?:\.|->|::|\?\.)[A-Za-z_$][\w$]*)+|\$\w+|[@%]\w+%?")
+_SIGNED = re.compile(r"[&*@!~$-]+[A-Za-z_]")
+_SIGNED_NAME = re.compile(r"[A-Za-z_.\->:]*")
 _OPENS = {")": "(", "]": "[", "}": "{", ">": "<"}
+_BRACKETS = re.compile(r"""["'`()\[\]{}<>]""")
+_TRIMMED = frozenset(",;\"'`)]}>")
+_LEAD = re.compile(r"[ \t]*(?:-[ \t]*)?")
 _WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 
 
@@ -79,6 +85,36 @@ def literal_score(value: str) -> float:
     return min(1.0, bits / 4.0) * (0.6 + 0.2 * min(2, mixed - 1)) if mixed else 0.0
 
 
+def literal_scores(text: str, spans: list[tuple[int, int]]) -> list[float]:
+    """:func:`literal_score` of each span, in order of their starts; of long ones that overlap the characters are counted once."""
+    out, counts, lo, hi, reach = [], Counter(), 0, 0, 0
+    for k, (i, j) in enumerate(spans):
+        long_ = j - i > LONG
+        if not long_ or i >= reach and (k + 1 == len(spans) or spans[k + 1][0] >= j):
+            out.append(literal_score(text[i:j]))
+            reach = max(reach, j) if long_ else reach
+            continue
+        reach = max(reach, j)
+        if i >= hi:
+            counts, lo, hi = Counter(), i, i
+        counts.subtract(text[lo:i])
+        if j > hi:
+            counts.update(text[hi:j])
+        else:
+            counts.subtract(text[j:hi])
+        lo, hi = i, j
+        counts = +counts
+        plain = PLACEHOLDER.match(text[i : i + 8] + text[j - 8 : j])  # what lies between decides for runs of one sign alone
+        if any(map(str.isspace, counts)) or plain and (plain[1][0] not in "xX*." or len(set("".join(counts).lower())) == 1):
+            out.append(0.0)
+            continue
+        n = j - i
+        bits = -sum(c / n * math.log2(c / n) for c in counts.values())
+        mixed = any(map(str.isdigit, counts)) + any(map(str.isalpha, counts)) + any(not c.isalnum() for c in counts)
+        out.append(min(1.0, bits / 4.0) * (0.6 + 0.2 * min(2, mixed - 1)))
+    return out
+
+
 def _line_parts(text: str, start: int, end: int) -> list[tuple]:
     """Each line of a stretch of text as a literal of its own, without the white space around it."""
     return [("lit", m.start(), m.end()) for m in _LINE.finditer(text, start, end)]
@@ -89,10 +125,7 @@ def _indent(text: str, at: int) -> int:
 
 
 def _yaml_value(text: str, start: int, key: int, pos: int) -> list[tuple]:
-    """A YAML value that begins below its key: a block, an indented plain word or a list of words."""
-    lead = text[start:key].strip(" \t")
-    if lead not in ("", "-"):
-        return []
+    """A YAML value that begins below its key, the first of its line: a block, an indented plain word or a list of words."""
     block = _BLOCK.match(text, pos)
     bare_end = block or _REST.match(text, pos)
     if not bare_end:
@@ -145,43 +178,96 @@ def _typed(text: str, toks: list, k: int) -> int:
     return -1
 
 
-def _bare_end(text: str, i: int, most: int | None) -> int:
-    """Where the unquoted value at ``i`` ends if it is more than the lexer's token, else -1 (names and code).
+class _Runs:
+    """Ends of the unquoted values of a text.
 
-    It goes up to white space, or to a tag or a separator before the next key, without closing signs that it doesn't open.
-    ``most`` is set for a key within another's value: from that length on the lexer's token does.
+    Keys within a value have values of their own, up to the same white space. What holds for the whole run of
+    characters (its end, its brackets, the next key, where closing signs begin) is found once for all of them.
     """
-    run = (_RUN.match(text, i) if most is None else _RUN.match(text, i, i + most))[0]
-    if len(run) == most:
-        return -1
-    after = i + len(run)
-    if cut := _NEXT_KEY.search(run, 1):
-        run = run[: cut.start()]
-    if code := _CALL.match(run):
-        # A call or subscript: its bracket is closed before anything but a letter or sign, or goes on behind the run.
-        opened = run[code.end() - 1]
-        closed = {"(": ")", "[": "]"}[opened]
-        depth = 0
-        for n in range(code.end() - 1, len(run)):
-            depth += (run[n] == opened) - (run[n] == closed)
-            if not depth:
-                if n + 1 == len(run) or not (run[n + 1].isalnum() or run[n + 1] in "_!@#$%^&~"):
+
+    def __init__(self, text: str):
+        self.text, self.start, self.stop = text, 0, 0
+
+    def _enter(self, i: int) -> None:
+        self.start, self.stop = i, _RUN.match(self.text, i).end()
+        self.ended = self.stop >= len(self.text) or bool(_REST.match(self.text, self.stop))
+        self.next = self.named = self.name_stop = -1
+        self.tails: dict[int, int] = {}
+        self.at: dict[str, list[int]] = {c: [] for c in "\"'`()[]{}<>"}
+        self.close: dict[int, int] = {}
+        opened: dict[str, list[int]] = {"(": [], "[": []}
+        for m in _BRACKETS.finditer(self.text, i, self.stop):
+            c = m[0]
+            self.at[c].append(m.start())
+            if c in "([":
+                opened[c].append(m.start())
+            elif c in ")]" and opened[_OPENS[c]]:
+                self.close[opened[_OPENS[c]].pop()] = m.start()
+
+    def _cut(self, i: int) -> int:
+        """Where a tag or a separator before the next key stands, behind ``i``."""
+        if self.next <= i:
+            m = _NEXT_KEY.search(self.text, i + 1, self.stop)
+            self.next = m.start() if m else self.stop
+            while m and self.next > i + 1 and self.text[self.next] in ",;&|" and self.text[self.next - 1] in ",;&|":
+                self.next -= 1
+        return self.next
+
+    def _trimmed(self, i: int, end: int) -> int:
+        """The end without commas, semicolons, odd quotes and closing signs that the value doesn't open."""
+        if end not in self.tails:
+            tail = end
+            while tail > self.start and self.text[tail - 1] in _TRIMMED:
+                tail -= 1
+            self.tails[end] = tail
+        last = max(self.tails[end], i)
+        if last == end:
+            return end
+        for c in "\"'`)]}>":
+            at = self.at[c]
+            stop = bisect_left(at, end)
+            n = stop - bisect_left(at, i)
+            if c in _OPENS:
+                opens = self.at[_OPENS[c]]
+                kept = min(n, bisect_left(opens, end) - bisect_left(opens, i))
+            else:
+                kept = n - n % 2
+            if kept:
+                last = max(last, at[stop - n + kept - 1] + 1)
+        return last
+
+    def _code(self, i: int, end: int) -> bool:
+        """Whether names, references or commands stand there."""
+        if self.text.startswith("$(", i) and end > i + 1 or _CODE.fullmatch(self.text, i, end):
+            return True
+        if not (m := _SIGNED.match(self.text, i, end)):
+            return False
+        if not self.named <= m.end() <= self.name_stop:
+            self.named, self.name_stop = m.end(), _SIGNED_NAME.match(self.text, m.end(), self.stop).end()
+        return self.name_stop >= end
+
+    def end(self, i: int) -> int:
+        """Where the unquoted value at ``i`` ends if it is more than the lexer's token, else -1 (names and code).
+
+        It goes up to white space, or to a tag or a separator before the next key, without closing signs that it doesn't open.
+        """
+        text = self.text
+        if not self.start <= i < self.stop:
+            self._enter(i)
+        stop = self._cut(i)
+        if code := _CALL.match(text, i, stop):
+            # A call or subscript: its bracket is closed before anything but a letter or sign, or goes on behind the run.
+            n = self.close.get(code.end() - 1, stop)
+            if n < stop:
+                if n + 1 == stop or not (text[n + 1].isalnum() or text[n + 1] in "_!@#$%^&~"):
                     return -1
-                break
-        else:
-            if run[-1] in "([{," or not _REST.match(text, after) and after < len(text):
+            elif text[stop - 1] in "([{," or not self.ended:
                 return -1
-    count, end = Counter(run), len(run)
-    while end:
-        c = run[end - 1]
-        if not (c in ",;" or c in "\"'`" and count[c] % 2 or c in _OPENS and count[c] > count[_OPENS[c]]):
-            break
-        count[c] -= 1
-        end -= 1
-    return -1 if not end or _CODE.fullmatch(run, 0, end) else i + end
+        end = self._trimmed(i, stop)
+        return -1 if end == i or self._code(i, end) else end
 
 
-def _value(text: str, pos: int, most: int | None = None) -> tuple[list[tuple], int]:
+def _value(text: str, pos: int, runs: _Runs) -> tuple[list[tuple], int]:
     """The parts of the value after a sign, and where it ends.
 
     Within brackets, after a sign or a plus, and behind a backslash it goes on over line ends; the next name that
@@ -228,12 +314,12 @@ def _value(text: str, pos: int, most: int | None = None) -> tuple[list[tuple], i
             else:
                 while (n := _TOKEN.match(text, j)) and n.lastgroup in ("name", "bare", "plus"):
                     j = n.end()  # a bare value that the lexer cut
-                whole = max(j, _bare_end(text, i, most)) if not parts else j
-                parts.append(("ref", text[i:whole], i, whole))
+                whole = max(j, runs.end(i)) if not parts else j
+                parts.append(("ref", i, whole))
             wanted = False
         elif kind == "plus":
             if wanted and not depth:
-                if not (parts or below) and (whole := _bare_end(text, i, most)) > 0:
+                if not (parts or below) and (whole := runs.end(i)) > 0:
                     parts.append(("lit", i, whole))
                     end = j
                 break
@@ -248,7 +334,7 @@ def _value(text: str, pos: int, most: int | None = None) -> tuple[list[tuple], i
         elif depth and (c == "#" or text.startswith("//", i)):
             stop = text.find("\n", i)
             j = len(text) if stop < 0 else stop
-        elif kind == "other" and wanted and not (parts or depth or below) and (whole := _bare_end(text, i, most)) > 0:
+        elif kind == "other" and wanted and not (parts or depth or below) and (whole := runs.end(i)) > 0:
             parts.append(("lit", i, whole))
             wanted = False
         else:
@@ -258,9 +344,10 @@ def _value(text: str, pos: int, most: int | None = None) -> tuple[list[tuple], i
 
 
 def lex_pairs(text: str) -> list[tuple[str, list]]:
-    """``(name, parts)`` of each assignment; a part is ``("lit", start, end)``, ``("ref", name, start, end)`` or,
+    """``(name, parts)`` of each assignment; a part is ``("lit", start, end)``, ``("ref", start, end)`` or,
     for names within brackets, ``("name", name)``. Names are read line by line, values as far as they go."""
     pairs = []
+    runs = _Runs(text)
     at = 0
     while at < len(text):  # only lines with an assignment sign are lexed
         nxt = min((i for i in (text.find("=", at), text.find(":", at)) if i >= 0), default=-1)
@@ -271,7 +358,7 @@ def lex_pairs(text: str) -> list[tuple[str, list]]:
         stop = len(text) if stop < 0 else stop
         toks = [(m.lastgroup, m.start(), m.end()) for m in _TOKEN.finditer(text, start, stop)]
         k = 0
-        run = start  # the end of the run of characters in which the last value began
+        lead = _LEAD.match(text, start).end()
         while k < len(toks) - 1:
             kind, i, j = toks[k]
             sign = k + 1
@@ -283,27 +370,24 @@ def lex_pairs(text: str) -> list[tuple[str, list]]:
             name = text[i + 1 : j - 1] if kind == "str" else text[i:j]
             pos = toks[sign][2]
             colon = text[pos - 1] == ":"
-            most = INNER_MOST if pos <= run else None
             typed = _typed(text, toks, sign + 1) if colon else -1
-            parts = _yaml_value(text, start, i, pos) if colon else []
+            parts = _yaml_value(text, start, i, pos) if colon and i == lead else []
             if parts:
                 end = pos
             elif typed > 0 and k and text[toks[k - 1][1] : toks[k - 1][2]] in _HEADS:
                 end = pos
             elif typed > 0:
-                parts, end = _value(text, toks[typed][2], most)
+                parts, end = _value(text, toks[typed][2], runs)
                 inner = toks[typed - 1]
                 if name_score(text[inner[1] : inner[2]]) >= 0.3:
                     end = inner[1]  # the last name before the sign is a target as well
             else:
-                parts, end = _value(text, pos, most)
+                parts, end = _value(text, pos, runs)
             k = sign + 1
             while k < len(toks) and toks[k][1] < end:
                 k += 1
             if parts:
                 pairs.append((name, parts))
-                if pos > run and parts[0][0] in ("lit", "ref"):
-                    run = _RUN.match(text, parts[0][-2]).end() if not text[parts[0][-2]].isspace() else run
         at = stop + 1
     return pairs
 
@@ -314,6 +398,7 @@ def literal_spans(text: str) -> list[tuple[int, int, float]]:
     if not pairs:
         return []
     value = dict(pairs)  # the last assignment of a name counts for references
+    sizes = set(map(len, value))  # only what is as long as a name is looked up
     best: dict[tuple[int, int], float] = {}
     done: set[str] = set()
     scored = sorted(((name_score(name), parts) for name, parts in pairs), key=lambda x: -x[0])
@@ -324,18 +409,19 @@ def literal_spans(text: str) -> list[tuple[int, int, float]]:
         todo = list(parts)
         while todo:
             part = todo.pop()
-            if part[0] in ("ref", "name"):
-                if part[1] in value:
-                    if part[1] not in done:
-                        done.add(part[1])
-                        todo += value[part[1]]
+            if part[0] != "lit":
+                name = part[1] if part[0] == "name" else text[part[1] : part[2]] if part[2] - part[1] in sizes else None
+                if name in value:
+                    if name not in done:
+                        done.add(name)
+                        todo += value[name]
                     continue
                 if part[0] == "name":
                     continue
-                part = ("lit", part[2], part[3])
-            if part[1:] not in best:
-                best[part[1:]] = target * literal_score(text[part[1] : part[2]])
-    return [(i, j, s) for (i, j), s in best.items() if s >= LITERAL_SCORE]
+            best.setdefault(part[1:], target)
+    spans = sorted(best)
+    scores = [best[x] * y for x, y in zip(spans, literal_scores(text, spans))]
+    return [(i, j, s) for (i, j), s in zip(spans, scores) if s >= LITERAL_SCORE]
 
 
 def find_spans(text: str | None) -> list[tuple[int, int, int, float]]:

@@ -131,6 +131,23 @@ def test_open_values_cost_no_more_than_the_text():
     assert time.perf_counter() - began < 30
 
 
+def test_keys_within_long_values_are_read_whole():
+    """Beyond 1024 characters as well as below, at a cost that follows the text."""
+    for n in (3, 40, 2000):
+        text = "a=b!" + "token=ab1!" * n
+        want = [(text.index("=", 10 * k + 4) + 1, len(text)) for k in range(n)]
+        got = {x[:2]: x[2] for x in secrets.literal_spans(text)}
+        assert sorted(got) == [(i, j) for i, j in want if secrets.literal_score(text[i:j]) * 0.9 >= secrets.LITERAL_SCORE]
+        assert all(abs(s - 0.9 * secrets.literal_score(text[i:j])) < 1e-9 for (i, j), s in got.items())
+        brackets = "password=" + "token=Zq8!(" * n + "b" * 30 + ")" * (n + 5)
+        second = brackets.index("=", brackets.index("=", 9) + 1) + 1
+        assert n < 40 or {(9, len(brackets) - 5), (second, len(brackets) - 6)} <= {x[:2] for x in secrets.literal_spans(brackets)}
+    began = time.perf_counter()
+    for t in ("token=ab1!" * 50_000, "key=)a1]" * 30_000, "k:-b" * 50_000, "k=f(b=" * 50_000, "k=$(" * 50_000, "a:b!" * 50_000):
+        secrets.find_spans(t)
+    assert time.perf_counter() - began < 40
+
+
 def test_long_chains_and_escapes_cost_no_more_than_the_text():
     began = time.perf_counter()
     chain = "token_0 = 'a8Zk29-LLq-77'\n" + "".join(f"token_{k} = token_{k - 1}\n" for k in range(1, 20_000))
